@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from outage_spark.functions.scalars import basename
@@ -178,7 +179,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "bigint")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(f"{home}/out")
 
 
