@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from outage_spark.functions.scalars import exact_mean
 from outage_spark.functions.text import outage_line
-from outage_spark.operators.spread import OrderedRows, concat_text, lookup_join
+from outage_spark.operators.spread import OrderedRows, concat_text, lookup_join, settle
 
 ASK = ["postcode", "start_date", "end_date"]
 
@@ -100,50 +100,60 @@ def planned_for(requests: DataFrame, planned: DataFrame) -> DataFrame:
     return joined.fillna(0, ["n_outages"])
 
 
-def _running_days(value: str, ascending: bool) -> Column:
-    order = F.col("day").asc() if ascending else F.col("day").desc()
-    # One row per (postcode, day) here, so a window holds at most the days of the calendar.
-    window = Window.partitionBy("postcode").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.sum(value).over(window)
-
-
 def planned_counts(requests: DataFrame, planned: DataFrame, semantics: str = "overlap") -> DataFrame:
-    """Number of planned outages per request without listing them.
+    """Number of planned outages per request (``n_outages``) without listing them.
 
     ``overlap``: outages begun by the asked end minus outages over before the asked start.
     ``reference``: outages that begin on or after the asked start and have an end.
     """
-    asks = asks_of(requests) if semantics == "overlap" else requests.select(*ASK).distinct()
-    start, end = F.to_date("start_ts"), F.to_date("end_ts")
-    if semantics == "overlap":
-        usable = planned.where(F.col("start_ts") <= F.col("end_ts"))
-        begun = _days_total(asks, "end_date", usable.select("postcode", start.alias("day")), ascending=True)
-        # Over before the asked start: the end day is earlier, so count up to the day before.
-        over = _days_total(
-            asks, "start_date", usable.select("postcode", F.date_add(end, 1).alias("day")), ascending=True
-        )
-        per_ask = asks.join(begun, ["postcode", "end_date"]).join(
-            over.withColumnRenamed("_n", "_over"), ["postcode", "start_date"]
-        )
-        per_ask = per_ask.select(*ASK, (F.col("_n") - F.col("_over")).alias("n_outages"))
-    elif semantics == "reference":
-        usable = planned.where(F.col("end_ts").isNotNull())
-        later = _days_total(asks, "start_date", usable.select("postcode", start.alias("day")), ascending=False)
-        per_ask = asks.where(F.col("end_date").isNotNull()).join(later, ["postcode", "start_date"])
-        per_ask = per_ask.select(*ASK, F.col("_n").alias("n_outages"))
-    else:
+    if semantics not in ("overlap", "reference"):
         raise ValueError(f"unknown semantics: {semantics}")
-    return lookup_join(requests, per_ask, ASK, salt_by="request_id").fillna(0, ["n_outages"])
-
-
-def _days_total(asks: DataFrame, day: str, outages: DataFrame, ascending: bool) -> DataFrame:
-    """Running number of ``outages`` at each asked ``day`` (inclusive), from the given end of the calendar."""
-    counted = outages.groupBy("postcode", "day").agg(F.count(F.lit(1)).alias("_n"), F.lit(False).alias("_asked"))
-    asked = asks.select("postcode", F.col(day).alias("day"), F.lit(0).cast("bigint").alias("_n")).distinct()
-    both = counted.unionByName(asked.withColumn("_asked", F.lit(True)))
-    per_day = both.groupBy("postcode", "day").agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
-    total = per_day.withColumn("_n", _running_days("_n", ascending))
-    return total.where("_asked").select("postcode", F.col("day").alias(day), "_n")
+    totals = settle(_day_totals(requests, planned))
+    if semantics == "reference":
+        at_start = totals.select("postcode", F.col("day").alias("start_date"), "later")
+        joined = lookup_join(requests, at_start, ["postcode", "start_date"], salt_by="request_id")
+        count, asked = F.col("later"), F.col("end_date").isNotNull()
+    else:
+        at_end = totals.select("postcode", F.col("day").alias("end_date"), "begun")
+        at_start = totals.select("postcode", F.col("day").alias("start_date"), "over")
+        joined = lookup_join(requests, at_end, ["postcode", "end_date"], salt_by="request_id")
+        joined = lookup_join(joined, at_start, ["postcode", "start_date"], salt_by="request_id")
+        count, asked = F.col("begun") - F.col("over"), F.col("start_date") <= F.col("end_date")
+    n = F.when(asked, F.coalesce(count, F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    return joined.select(*requests.columns, n.alias("n_outages"))
+
+
+def _day_totals(requests: DataFrame, planned: DataFrame) -> DataFrame:
+    """Per postcode and asked day: outages ``begun`` by then, ``over`` before it, and starting then or ``later``."""
+
+    def marks(df: DataFrame, day: Column, **given: int) -> DataFrame:
+        values = [F.lit(given.get(name, 0)).cast("bigint").alias(name) for name in ("begun", "over", "later", "asked")]
+        return df.select("postcode", day.alias("day"), *values)
+
+    start, after = F.to_date("start_ts"), F.date_add(F.to_date("end_ts"), 1)
+    well_formed = planned.where(F.col("start_ts") <= F.col("end_ts"))
+    each_day = (
+        marks(well_formed, start, begun=1)
+        .unionByName(marks(well_formed, after, over=1))
+        .unionByName(marks(planned.where(F.col("end_ts").isNotNull()), start, later=1))
+        .unionByName(marks(requests, F.col("start_date"), asked=1))
+        .unionByName(marks(requests, F.col("end_date"), asked=1))
+        .where(F.col("day").isNotNull())
+        .groupBy("postcode", "day")
+        .agg(*[F.sum(name).alias(name) for name in ("begun", "over", "later", "asked")])
+    )
+    # One row per (postcode, day) by now, so a window holds at most the days of the calendar.
+    past = Window.partitionBy("postcode").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("postcode").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
+    totals = each_day.select(
+        "postcode",
+        "day",
+        F.sum("begun").over(past).alias("begun"),
+        F.sum("over").over(past).alias("over"),
+        F.sum("later").over(ahead).alias("later"),
+        "asked",
+    )
+    return totals.where("asked > 0").drop("asked")
 
 
 def planned_summary(requests: DataFrame, planned: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
@@ -193,7 +203,7 @@ def planned_conflicts(planned: DataFrame, runs: int | None = None) -> DataFrame:
     points = usable.select("postcode", "outage_id", point.alias("p")).select("postcode", "outage_id", "p.*")
     points = points.withColumn("starts", F.lit(1) - F.col("ends"))
     swept = OrderedRows(points, ["postcode"], ["at", "side", "outage_id"], runs)
-    swept = swept.with_sum_before("starts", "_begun").with_sum_before("ends", "_over").done()
+    swept = swept.with_sum_before("starts", "_begun").with_sum_before("ends", "_over").rows
     counted = swept.groupBy("postcode", "outage_id").agg(
         F.max(F.when(F.col("side") == 1, F.col("at"))).alias("start_ts"),
         F.max(F.when(F.col("side") == 0, F.col("at"))).alias("end_ts"),

@@ -3,11 +3,11 @@
 Two problems keep coming back in this library:
 
 * *A running value per key* (row number, running sum, last known value, next row). A window over the
-  key puts a hot key into one task. ``OrderedRows`` sorts by (key, order) into range partitions
-  instead, so a hot key is spread over as many tasks as it needs, works inside each partition, and
-  carries the state over the partition borders. Partitions are contiguous, so at most one key per
-  partition needs a carried value: the carried table is never longer than the number of partitions,
-  which is the proof that broadcasting it is safe.
+  key puts a hot key into one task. ``OrderedRows`` counts rows per key first. Rows of hot keys are
+  sorted by (key, order) into range partitions, so a hot key is spread over as many tasks as it
+  needs; the work is done inside each partition and the state is carried over the borders.
+  Partitions are contiguous, so at most one key per partition needs a carried value: the carried
+  table is never longer than the number of partitions, which is why broadcasting it is safe.
 * *A lookup in a table with one row per key* where the asking side may be hot. ``lookup_join``
   broadcasts the table only after measuring it; past the limit it salts the join.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 RUN = "_run"
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 16
+HOT_ROWS = 1_000_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -41,82 +42,113 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class OrderedRows:
-    """Rows sorted by ``keys`` then ``order`` over range partitions.
-
-    ``order`` must be unique within a key, so that even one key can be cut anywhere. The partitioned
-    rows are settled, because partition borders are sampled and must stay the same for both passes.
-    """
-
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], runs: int | None = None):
-        self.keys, self.order = list(keys), list(order)
-        columns = [F.col(c) for c in (*self.keys, *self.order)]
-        spread = df.repartitionByRange(runs, *columns) if runs else df.repartitionByRange(*columns)
-        self._base = settle(spread.withColumn(RUN, F.spark_partition_id()))
-        self.rows = self._base
-
-    @property
-    def _local(self):
-        return Window.partitionBy(RUN, *self.keys).orderBy(*self.order)
-
-    @property
-    def _across(self):
-        return Window.partitionBy(*self.keys).orderBy(RUN)
+class _Part:
+    """Rows with the window that sees a whole key, or, when spread over runs, a key's rows of one run."""
 
-    def _summary(self, value: Column) -> DataFrame:
-        return self._base.groupBy(RUN, *self.keys).agg(value.alias("_value"))
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[str], spread: bool):
+        self.rows = self.base = rows
+        self.keys, self.spread = keys, spread
+        self.window = Window.partitionBy(*([RUN] if spread else []), *keys).orderBy(*order)
+        self.runs = Window.partitionBy(*keys).orderBy(RUN)
+        self.earlier_runs = self.runs.rowsBetween(Window.unboundedPreceding, -1)
 
-    def _carry(self, summary: DataFrame, carried: Column) -> DataFrame:
-        """Attach one carried value per (run, key) that continues over a run border."""
+    def carry(self, value: Column, carried: Column) -> None:
+        """Add ``_carried``: ``value`` is summed up per (run, key), ``carried`` taken from other runs of the key."""
+        if not self.spread:
+            self.rows = self.rows.withColumn("_carried", F.lit(None))
+            return
         names = {c: f"_carry_{c}" for c in (RUN, *self.keys)}
-        carry = (
-            summary.select(RUN, *self.keys, carried.alias("_carried"))
-            .where(F.col("_carried").isNotNull())
-            .withColumnsRenamed(names)
-        )
+        summary = self.base.groupBy(RUN, *self.keys).agg(value.alias("_value"))
+        carry = summary.select(RUN, *self.keys, carried.alias("_carried"))
+        carry = carry.where(F.col("_carried").isNotNull()).withColumnsRenamed(names)
         match = F.col(RUN) == F.col(names[RUN])
         for key in self.keys:
             match = match & F.col(key).eqNullSafe(F.col(names[key]))
         # Bounded: at most one key per run continues over a border.
-        return self.rows.join(F.broadcast(carry), match, "left").drop(*names.values())
+        self.rows = self.rows.join(F.broadcast(carry), match, "left").drop(*names.values())
+
+    def add(self, name: str, value: Column) -> None:
+        self.rows = self.rows.withColumn(name, value).drop("_carried")
+
+
+class OrderedRows:
+    """Running values within ``keys`` in ``order``, which must be unique within a key.
+
+    Keys of up to ``hot_rows`` rows take a plain window. Larger ones are cut into range partitions;
+    those rows are settled, because partition borders are sampled and must stay the same for both
+    passes. Without keys, or with a given number of ``runs``, all rows go the second way.
+    """
+
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[str],
+        runs: int | None = None,
+        hot_rows: int = HOT_ROWS,
+    ):
+        keys, order = list(keys), list(order)
+        self._order = order
+        plain, hot = (None, df) if runs or not keys else _split_hot(df, keys, hot_rows)
+        self._parts = [] if plain is None else [_Part(plain, keys, order, spread=False)]
+        if hot is not None:
+            columns = [F.col(c) for c in (*keys, *order)]
+            spread = hot.repartitionByRange(runs, *columns) if runs else hot.repartitionByRange(*columns)
+            settled = settle(spread.withColumn(RUN, F.spark_partition_id()))
+            self._parts.append(_Part(settled, keys, order, spread=True))
 
     def with_number(self, name: str, start: int = 1) -> OrderedRows:
         """Row number within the key."""
-        before = F.sum("_value").over(self._across.rowsBetween(Window.unboundedPreceding, -1))
-        rows = self._carry(self._summary(F.count(F.lit(1))), before)
-        number = F.row_number().over(self._local) + F.coalesce(F.col("_carried"), F.lit(0)) + (start - 1)
-        self.rows = rows.withColumn(name, number.cast("bigint")).drop("_carried")
+        for part in self._parts:
+            part.carry(F.count(F.lit(1)), F.sum("_value").over(part.earlier_runs))
+            number = F.row_number().over(part.window) + F.coalesce(F.col("_carried"), F.lit(0)) + (start - 1)
+            part.add(name, number.cast("bigint"))
         return self
 
     def with_sum_before(self, value: str, name: str) -> OrderedRows:
         """Sum of ``value`` over the earlier rows of the key, 0 for the first."""
-        frame = self._local.rowsBetween(Window.unboundedPreceding, -1)
-        before = F.sum("_value").over(self._across.rowsBetween(Window.unboundedPreceding, -1))
-        rows = self._carry(self._summary(F.sum(value)), before)
-        total = F.coalesce(F.sum(value).over(frame), F.lit(0)) + F.coalesce(F.col("_carried"), F.lit(0))
-        self.rows = rows.withColumn(name, total).drop("_carried")
+        for part in self._parts:
+            part.carry(F.sum(value), F.sum("_value").over(part.earlier_runs))
+            local = F.sum(value).over(part.window.rowsBetween(Window.unboundedPreceding, -1))
+            part.add(name, F.coalesce(local, F.lit(0)) + F.coalesce(F.col("_carried"), F.lit(0)))
         return self
 
     def with_last_known(self, value: str, name: str) -> OrderedRows:
         """Latest non-null ``value`` at or before the row, within the key."""
-        frame = self._local.rowsBetween(Window.unboundedPreceding, 0)
-        position = F.when(F.col(value).isNotNull(), F.struct(*self.order))
-        before = F.last("_value", ignorenulls=True).over(self._across.rowsBetween(Window.unboundedPreceding, -1))
-        rows = self._carry(self._summary(F.max_by(F.col(value), position)), before)
-        known = F.coalesce(F.last(value, ignorenulls=True).over(frame), F.col("_carried"))
-        self.rows = rows.withColumn(name, known).drop("_carried")
+        position = F.when(F.col(value).isNotNull(), F.struct(*self._order))
+        for part in self._parts:
+            last = F.last("_value", ignorenulls=True).over(part.earlier_runs)
+            part.carry(F.max_by(F.col(value), position), last)
+            local = F.last(value, ignorenulls=True).over(part.window.rowsBetween(Window.unboundedPreceding, 0))
+            part.add(name, F.coalesce(local, F.col("_carried")))
         return self
 
     def with_next(self, columns: Sequence[str], name: str) -> OrderedRows:
         """Struct of ``columns`` from the next row of the key, null for the last row."""
-        first = F.min_by(F.struct(*columns), F.struct(*self.order))
-        rows = self._carry(self._summary(first), F.lead("_value").over(self._across))
-        following = F.lead(F.struct(*columns)).over(self._local)
-        self.rows = rows.withColumn(name, F.coalesce(following, F.col("_carried"))).drop("_carried")
+        for part in self._parts:
+            first = F.min_by(F.struct(*columns), F.struct(*self._order))
+            part.carry(first, F.lead("_value").over(part.runs))
+            local = F.lead(F.struct(*columns)).over(part.window)
+            part.add(name, F.coalesce(local, F.col("_carried")))
         return self
 
-    def done(self) -> DataFrame:
-        return self.rows.drop(RUN)
+    @property
+    def rows(self) -> DataFrame:
+        frames = [part.rows.drop(RUN) for part in self._parts]
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
+
+def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys with more than ``hot_rows`` rows or None)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = settle(counts.where(F.col("_n") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    if hot.isEmpty():
+        return df, None
+    match = F.lit(True)
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
+    hot = F.broadcast(hot) if is_small(hot) else hot
+    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
 
 
 def is_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -173,7 +205,7 @@ def assign_ids(
     df: DataFrame, order: Sequence[str], start: int = 1, name: str = "id", runs: int | None = None
 ) -> DataFrame:
     """Dense identity numbers in ``order`` without a single-task window."""
-    return OrderedRows(df, [], order, runs).with_number(name, start).done()
+    return OrderedRows(df, [], order, runs).with_number(name, start).rows
 
 
 def concat_text(
@@ -191,7 +223,7 @@ def concat_text(
     and a huge key is many parts that no single task has to hold; in part order they hold every piece.
     """
     pieces = df.where(F.col(text).isNotNull()).withColumn("_chars", F.length(text) + len(sep))
-    rows = OrderedRows(pieces, keys, order, runs).with_sum_before("_chars", "_before").done()
+    rows = OrderedRows(pieces, keys, order, runs).with_sum_before("_chars", "_before").rows
     ordering = ", ".join(f"`{c}`" for c in order)
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
     return (

@@ -512,21 +512,12 @@ def stream_session_counts(spark, d):
 
 
 @query
-def stream_weather_join(spark, d):
+def stream_weather_at_request(spark, d):
     asked = standins.requests_from_events(_event_stream(spark, d)).select("request_id", "postcode", "asked_at")
-    seen = _event_stream(spark, d).select(
-        (F.col("user_id") % 25 + standins.FIRST_POSTCODE).cast("string").alias("postcode"),
-        F.col("ts").alias("observed_at"),
-        F.col("value").alias("temp_c"),
-    )
-    joined = jobs.run_to_end(jobs.weather_stream_join(asked, seen, "1 hour")).drop("batch_id")
-    return joined.select(
-        "request_id",
-        "postcode",
-        F.col("asked_at").cast("timestamp_ntz").alias("asked_at"),
-        F.col("observed_at").cast("timestamp_ntz").alias("observed_at"),
-        "temp_c",
-    )
+    seen = standins.observations_from_events(_event_stream(spark, d))
+    home = jobs.scratch_home(spark)
+    jobs.weather_stream(asked, seen, home).awaitTermination()
+    return spark.read.parquet(f"{home}/out").drop("batch_id")
 
 
 @query

@@ -135,6 +135,11 @@ def _status(prelude: tuple[str, ...], requests: str) -> str:
 
 
 STATUS = _status((POSTCODES, PLANNED, HISTORY, REQUESTS), "requests")
+WEATHER_AT_REQUEST = (
+    _with(REQUESTS, WEATHER)
+    + """SELECT request_id, r.postcode, asked_at, observed_at, condition_text, temp_c
+    FROM requests r ASOF LEFT JOIN weather w ON r.postcode = w.postcode AND r.asked_at >= w.observed_at"""
+)
 WATERMARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
@@ -221,9 +226,7 @@ ORACLES: dict[str, str] = {
     "triage_unplanned": _with(PLANNED, REQUESTS, TODAY)
     + """SELECT request_id, postcode, start_date FROM requests
         WHERE request_id IN (SELECT request_id FROM today WHERE n = 0)""",
-    "weather_at_request": _with(REQUESTS, WEATHER)
-    + """SELECT request_id, r.postcode, asked_at, observed_at, condition_text, temp_c
-        FROM requests r ASOF LEFT JOIN weather w ON r.postcode = w.postcode AND r.asked_at >= w.observed_at""",
+    "weather_at_request": WEATHER_AT_REQUEST,
     "vector_topk": _with(HITS) + "SELECT * FROM hits",
     "vector_topk_index": _with(HITS) + "SELECT * FROM hits",
     "planned_conflicts": _with(PLANNED)
@@ -351,9 +354,7 @@ ORACLES: dict[str, str] = {
         sessions AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM gaps)
         SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM sessions
         GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= {WATERMARK}""",
-    "stream_weather_join": _with(REQUESTS, WEATHER)
-    + """SELECT request_id, r.postcode, asked_at, observed_at, temp_c FROM requests r JOIN weather w
-        ON r.postcode = w.postcode AND observed_at <= asked_at AND observed_at >= asked_at - INTERVAL 1 HOUR""",
+    "stream_weather_at_request": WEATHER_AT_REQUEST,
     "stream_conversation_context": """SELECT conv_id, turn, row_number() OVER w - 1 AS context_turns,
         CAST(greatest(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0)
             AS BIGINT) AS context_chars,

@@ -72,8 +72,11 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
+    return observations_from_events(table(spark, folder, "events"))
+
+
+def observations_from_events(events: DataFrame) -> DataFrame:
     """Weather seen at every event: text from the event type, temperature from its value."""
-    events = table(spark, folder, "events")
     text = F.element_at(
         F.create_map(
             *[

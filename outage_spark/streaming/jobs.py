@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from outage_spark.functions.scalars import basename
 from outage_spark.functions.text import separator_chunks
 from outage_spark.operators.ingest import chunk_ids, explode_chunks
-from outage_spark.operators.spread import checkpoint_folder
+from outage_spark.operators.spread import checkpoint_folder, settle
+from outage_spark.operators.weather import OBSERVATION, weather_asof
 from outage_spark.plans.triage import outage_status
 
 # Ingest
@@ -102,22 +103,32 @@ def triage_stream(requests: DataFrame, postcodes: DataFrame, planned: DataFrame,
     return outage_status(requests, postcodes, planned, history)
 
 
-def weather_stream_join(
-    requests: DataFrame, observations: DataFrame, tolerance: str = "1 hour", delay: str = "1 hour"
-) -> DataFrame:
-    """Each request with every observation of its postcode in the ``tolerance`` before it."""
-    asked = requests.withColumn("asked_at", F.col("asked_at").cast("timestamp")).withWatermark("asked_at", delay)
-    seen = (
-        observations.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-        .withWatermark("observed_at", delay)
-        .withColumnRenamed("postcode", "_postcode")
-    )
-    near = (
-        (F.col("postcode") == F.col("_postcode"))
-        & (F.col("observed_at") <= F.col("asked_at"))
-        & (F.col("observed_at") >= F.col("asked_at") - F.expr(f"INTERVAL {tolerance}"))
-    )
-    return asked.join(seen, near).drop("_postcode")
+def weather_stream(requests: DataFrame, observations: DataFrame, home: str) -> StreamingQuery:
+    """Latest weather known for each arriving request, written to ``home``/out.
+
+    Both streams advance in one query. Per batch, requests take the latest observation at or before
+    them from the batch itself or from the carried state, which is one row per postcode in
+    ``home``/last. A stream-stream join would pair every request with every observation in reach,
+    which grows with the square of a busy postcode; here each row is sorted once.
+    """
+    asked = requests.select("postcode", F.struct(*requests.columns).alias("asked"))
+    seen = observations.select("postcode", F.struct("postcode", *OBSERVATION).alias("seen"))
+    asked_columns = requests.columns
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        arrived = settle(batch)
+        now = arrived.where("asked IS NOT NULL").select("asked.*").select(*asked_columns)
+        fresh = arrived.where("seen IS NOT NULL").select("seen.*")
+        if batch_id > 0:
+            earlier = batch.sparkSession.read.schema(fresh.schema).parquet(f"{home}/last/batch_id={batch_id - 1}")
+            fresh = fresh.unionByName(earlier)
+        weather_asof(now, fresh).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
+        last = fresh.groupBy("postcode").agg(F.max_by(F.struct(*OBSERVATION), F.struct(*OBSERVATION)).alias("_last"))
+        last.select("postcode", "_last.*").write.mode("overwrite").parquet(f"{home}/last/batch_id={batch_id}")
+
+    both = asked.unionByName(seen, allowMissingColumns=True)
+    writer = both.writeStream.foreachBatch(answer).option("checkpointLocation", f"{home}/state")
+    return writer.trigger(availableNow=True).start()
 
 
 # Conversation state
@@ -159,6 +170,11 @@ def conversation_state(stream: DataFrame, max_turns: int = 4, clear: str = "clea
 # Bounded runs
 
 
+def scratch_home(spark: SparkSession) -> str:
+    """A new folder for one run in the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a query over all rows there are now and read its output back, with ``batch_id``.
 
@@ -166,7 +182,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     overwrites. In update mode a key can come out of several batches; the last one counts.
     """
     spark = stream.sparkSession
-    home = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    home = scratch_home(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
