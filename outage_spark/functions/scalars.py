@@ -47,7 +47,7 @@ def round2(value: Column | str) -> Column:
 def exact_mean(value: Column | str) -> Column:
     """Mean that does not depend on how rows are partitioned: decimal sum, one double division."""
     number = _col(value).cast("decimal(18,6)")
-    return F.sum(number).cast("double") / F.count(number)
+    return F.try_divide(F.sum(number).cast("double"), F.count(number))
 
 
 def staff_adjusted(base: Column | str, staff: Column | str, full_staff: int = 15) -> Column:

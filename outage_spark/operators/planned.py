@@ -111,13 +111,13 @@ def planned_counts(requests: DataFrame, planned: DataFrame, semantics: str = "ov
     totals = settle(_day_totals(requests, planned))
     if semantics == "reference":
         at_start = totals.select("postcode", F.col("day").alias("start_date"), "later")
-        joined = lookup_join(requests, at_start, ["postcode", "start_date"], salt_by="request_id")
+        joined = lookup_join(requests, at_start, ["postcode", "start_date"], salt_by="request_id", settled=True)
         count, asked = F.col("later"), F.col("end_date").isNotNull()
     else:
         at_end = totals.select("postcode", F.col("day").alias("end_date"), "begun")
         at_start = totals.select("postcode", F.col("day").alias("start_date"), "over")
-        joined = lookup_join(requests, at_end, ["postcode", "end_date"], salt_by="request_id")
-        joined = lookup_join(joined, at_start, ["postcode", "start_date"], salt_by="request_id")
+        joined = lookup_join(requests, at_end, ["postcode", "end_date"], salt_by="request_id", settled=True)
+        joined = lookup_join(joined, at_start, ["postcode", "start_date"], salt_by="request_id", settled=True)
         count, asked = F.col("begun") - F.col("over"), F.col("start_date") <= F.col("end_date")
     n = F.when(asked, F.coalesce(count, F.lit(0))).otherwise(F.lit(0)).cast("bigint")
     return joined.select(*requests.columns, n.alias("n_outages"))

@@ -160,18 +160,20 @@ class VectorIndex:
 
 def build_index(
     corpus: DataFrame, n_lists: int = 16, vec_id: str = "vec_id", vec: str = "embedding", seed: int = 7,
-    path: str | None = None,
+    path: str | None = None, train_fraction: float = 1.0,
 ) -> VectorIndex:
     """Group unit vectors into ``n_lists`` lists by k-means; with ``path``, store them one folder per list.
 
-    Stored lists are partitions, so a search reads only the lists it probes.
+    Stored lists are partitions, so a search reads only the lists it probes. ``train_fraction`` of
+    the rows place the centres; every row is listed, and exact searches do not depend on the centres.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     stored = _vectors(corpus, vec_id, vec)
     features = stored.withColumn("features", array_to_vector(F.col("v").cast("array<double>")))
-    model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(features)
+    training = features if train_fraction >= 1.0 else features.sample(train_fraction, seed)
+    model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(training)
     centres = np.array(model.clusterCenters())
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 

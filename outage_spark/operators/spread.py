@@ -165,14 +165,15 @@ def lookup_join(
     how: str = "left",
     salt_by: str | None = None,
     max_bytes: int = BROADCAST_BYTES,
+    settled: bool = False,
 ) -> DataFrame:
     """Join ``left`` to a table that has one row per key.
 
-    The table is settled and measured. Small: broadcast, so ``left`` is not shuffled at all. Large:
+    The table is settled (unless it comes from a settled one) and measured. Small: broadcast, so ``left`` is not shuffled at all. Large:
     ``left`` is salted on ``salt_by`` (a column that varies within a hot key) and the table, which
     is unique per key, is repeated once per salt.
     """
-    table = settle(table)
+    table = table if settled else settle(table)
     if is_small(table, max_bytes):
         return left.join(F.broadcast(table), list(on), how)
     if salt_by is None:
