@@ -84,10 +84,11 @@ def html_text(html: Column | str) -> Column:
 def outage_line(start: Column | str, end: Column | str, reason: Column | str) -> Column:
     """One line of a reply about a planned outage."""
     moment = "yyyy-MM-dd HH:mm"
-    return F.format_string(
-        "%s to %s: %s",
+    return F.concat(
         F.date_format(_col(start), moment),
-        F.date_format(_col(end), moment),
+        F.lit(" to "),
+        F.coalesce(F.date_format(_col(end), moment), F.lit("further notice")),
+        F.lit(": "),
         F.coalesce(_col(reason), F.lit("no reason given")),
     )
 

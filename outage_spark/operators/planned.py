@@ -158,7 +158,8 @@ def _day_totals(requests: DataFrame, planned: DataFrame) -> DataFrame:
 
 def planned_summary(requests: DataFrame, planned: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
     """The reply text per ask: one line per outage in start order, in numbered parts."""
-    lines = planned_matches(requests, planned).withColumn("line", outage_line("start_ts", "end_ts", "reason"))
+    lined = planned.withColumn("line", outage_line("start_ts", "end_ts", "reason"))
+    lines = planned_matches(requests, lined, ("outage_id", "start_ts", "end_ts", "line"))
     return concat_text(lines, ASK, ["start_ts", "outage_id"], "line", "\n", part_chars).select(
         *ASK, "part", F.col("pieces").alias("n_lines"), F.col("line").alias("reply")
     )

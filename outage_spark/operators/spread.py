@@ -76,7 +76,7 @@ class OrderedRows:
 
     Keys of up to ``hot_rows`` rows take a plain window. Larger ones are cut into range partitions;
     those rows are settled, because partition borders are sampled and must stay the same for both
-    passes. Without keys, or with a given number of ``runs``, all rows go the second way.
+    passes. Without keys, with ``hot_rows=0`` or a given number of ``runs``, all rows go the second way.
     """
 
     def __init__(
@@ -89,7 +89,8 @@ class OrderedRows:
     ):
         keys, order = list(keys), list(order)
         self._order = order
-        plain, hot = (None, df) if runs or not keys else _split_hot(df, keys, hot_rows)
+        everything = runs or not keys or not hot_rows
+        plain, hot = (None, df) if everything else _split_hot(df, keys, F.count(F.lit(1)), hot_rows)
         self._parts = [] if plain is None else [_Part(plain, keys, order, spread=False)]
         if hot is not None:
             columns = [F.col(c) for c in (*keys, *order)]
@@ -138,10 +139,10 @@ class OrderedRows:
         return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
-def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary keys, rows of keys with more than ``hot_rows`` rows or None)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = settle(counts.where(F.col("_n") > hot_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+def _split_hot(df: DataFrame, keys: Sequence[str], weight: Column, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys whose ``weight`` is over the limit or None)."""
+    weights = df.groupBy(*keys).agg(weight.alias("_weight"))
+    hot = settle(weights.where(F.col("_weight") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
     if hot.isEmpty():
         return df, None
     match = F.lit(True)
@@ -224,14 +225,16 @@ def concat_text(
     and a huge key is many parts that no single task has to hold; in part order they hold every piece.
     """
     pieces = df.where(F.col(text).isNotNull()).withColumn("_chars", F.length(text) + len(sep))
-    rows = OrderedRows(pieces, keys, order, runs).with_sum_before("_chars", "_before").rows
     ordering = ", ".join(f"`{c}`" for c in order)
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    return (
-        rows.withColumn("part", F.floor(F.col("_before") / part_chars).cast("int"))
-        .groupBy(*keys, "part")
-        .agg(
-            F.expr(f"listagg(`{text}`, '{quoted}') WITHIN GROUP (ORDER BY {ordering})").alias(text),
-            F.count(F.lit(1)).alias("pieces"),
-        )
-    )
+    joined = F.expr(f"listagg(`{text}`, '{quoted}') WITHIN GROUP (ORDER BY {ordering})").alias(text)
+
+    def join_parts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, "part").agg(joined, F.count(F.lit(1)).alias("pieces"))
+
+    plain, hot = (None, pieces) if runs else _split_hot(pieces, keys, F.sum("_chars"), part_chars)
+    frames = [] if plain is None else [join_parts(plain.withColumn("part", F.lit(0)))]
+    if hot is not None:
+        rows = OrderedRows(hot, keys, order, runs, hot_rows=0).with_sum_before("_chars", "_before").rows
+        frames.append(join_parts(rows.withColumn("part", F.floor(F.col("_before") / part_chars).cast("int"))))
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
