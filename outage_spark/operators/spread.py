@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUN = "_run"
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -152,10 +153,20 @@ def _split_hot(df: DataFrame, keys: Sequence[str], weight: Column, limit: int) -
     return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
 
 
+def _row_bytes(table: DataFrame) -> Column:
+    """Size of a row: 16 bytes per fixed-width column, the real length of text and arrays."""
+    width = F.lit(16 * len(table.columns)).cast("bigint")
+    for field in table.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = width + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+    return width
+
+
 def is_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a settled table against the broadcast limit."""
-    width = F.octet_length(F.to_json(F.struct("*"))) + 16 * len(table.columns)
-    size = table.agg(F.sum(width.cast("bigint"))).first()[0]
+    size = table.agg(F.sum(_row_bytes(table))).first()[0]
     return (size or 0) <= max_bytes
 
 
