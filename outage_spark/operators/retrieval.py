@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -271,7 +272,6 @@ def ann_recall(exact: DataFrame, found: DataFrame) -> DataFrame:
 
 def embed(df: DataFrame, fn: Callable, text: str = "text", name: str = "embedding") -> DataFrame:
     """Add vectors from ``fn(pandas.Series of text) -> sequence of float lists``, in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:

@@ -31,6 +31,9 @@ EVENTS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 )
 
+# What the binary file source gives.
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
 # They must equal the reference's for right results.
 CONDITIONS = ("Fine_Conditions", "Rain", "Storms", "High Temperature")
 ADVERSE_CONDITIONS = ("Rain", "Storms", "High Temperature")

@@ -96,7 +96,7 @@ def read_postcodes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_docs(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """Text files: one row per file, or per line."""
-    rows = spark.read.option("wholetext", whole).text(path)
+    rows = spark.read.text(path, wholetext=whole)
     return rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from outage_spark import schemas
 from outage_spark.functions.scalars import basename
 from outage_spark.functions.text import separator_chunks
 from outage_spark.operators.ingest import chunk_ids, explode_chunks
@@ -23,7 +24,7 @@ from outage_spark.plans.triage import outage_status
 
 def new_files(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of files with their base name and content; the query checkpoint remembers those done."""
-    files = spark.readStream.format("binaryFile").load(folder)
+    files = spark.readStream.schema(schemas.BINARY_FILE).format("binaryFile").load(folder)
     return files.select(basename("path").alias("file_name"), "content")
 
 
