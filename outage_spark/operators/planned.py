@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outage_spark.functions.scalars import exact_mean
 from outage_spark.functions.text import outage_line
 from outage_spark.operators.spread import OrderedRows, concat_text, lookup_join, settle
 
@@ -52,48 +51,74 @@ def asks_of(requests: DataFrame) -> DataFrame:
     return requests.where(F.col("start_date") <= F.col("end_date")).select(*ASK).distinct()
 
 
-def _days(low: str, high: str) -> Column:
+def _days(low: Column | str, high: Column | str) -> Column:
     return F.explode(F.sequence(F.to_date(low), F.to_date(high)))
 
 
-def outage_days(planned: DataFrame) -> DataFrame:
-    """One row per outage and day it touches. Outages without an end, or ending before their start, match nothing."""
-    return planned.where(F.col("start_ts") <= F.col("end_ts")).withColumn("day", _days("start_ts", "end_ts"))
+def _well_formed(planned: DataFrame) -> DataFrame:
+    """Outages without an end, or ending before their start, match nothing."""
+    return planned.where(F.col("start_ts") <= F.col("end_ts"))
 
 
 def outages_per_day(planned: DataFrame) -> DataFrame:
     """Outages that touch each (postcode, day); counted before the shuffle."""
-    return outage_days(planned).groupBy("postcode", "day").agg(F.count(F.lit(1)).alias("planned_count"))
+    touched = _well_formed(planned).select("postcode", _days("start_ts", "end_ts").alias("day"))
+    return touched.groupBy("postcode", "day").agg(F.count(F.lit(1)).alias("planned_count"))
 
 
-def planned_matches(requests: DataFrame, planned: DataFrame, outage_cols=("outage_id", "start_ts", "end_ts", "reason")):
-    """Every (ask, outage) overlap, once.
+def _meet(requests: DataFrame, outages: DataFrame, columns) -> DataFrame:
+    """Every (ask, outage row) that share a day, once. ``outages`` has ``_first`` and ``_last`` dates.
 
-    Asks and outages are spread over the days they touch and joined on (postcode, day). A pair can
-    meet on several days; it is kept on the first common one, which is where the later of the two
-    begins, so no deduplication shuffle follows. Distinct asks keep a hot postcode small on the
-    asking side; AQE splits a hot (postcode, day) on the outage side.
+    Both sides are spread over the days they touch and joined on (postcode, day). A pair can meet on
+    several days; it is kept on the first common one, which is where the later of the two begins, so
+    no deduplication shuffle follows.
     """
     asks = asks_of(requests).withColumn("day", _days("start_date", "end_date"))
     asks = asks.withColumn("_ask_begins", F.col("day") == F.col("start_date"))
-    outages = outage_days(planned.select("postcode", *outage_cols))
-    outages = outages.withColumn("_outage_begins", F.col("day") == F.to_date("start_ts"))
-    met = asks.join(outages, ["postcode", "day"]).where(F.col("_ask_begins") | F.col("_outage_begins"))
-    return met.select(*ASK, *outage_cols)
+    spread = outages.withColumn("day", _days("_first", "_last"))
+    spread = spread.withColumn("_outage_begins", F.col("day") == F.col("_first"))
+    met = asks.join(spread, ["postcode", "day"]).where(F.col("_ask_begins") | F.col("_outage_begins"))
+    return met.select(*ASK, *columns)
+
+
+def _spans(planned: DataFrame, *totals: Column) -> DataFrame:
+    """Totals per (postcode, first day, last day): whether an outage is in a range depends on these only."""
+    first, last = F.to_date("start_ts").alias("_first"), F.to_date("end_ts").alias("_last")
+    return _well_formed(planned).groupBy("postcode", first, last).agg(*totals)
+
+
+def planned_matches(
+    requests: DataFrame, planned: DataFrame, columns=("outage_id", "start_ts", "end_ts", "reason")
+) -> DataFrame:
+    """The outages of every ask. AQE splits a (postcode, day) with very many outages."""
+    outages = _well_formed(planned).select(
+        "postcode", *columns, F.to_date("start_ts").alias("_first"), F.to_date("end_ts").alias("_last")
+    )
+    return _meet(requests, outages, columns)
 
 
 def planned_for(requests: DataFrame, planned: DataFrame) -> DataFrame:
-    """One row per request: number, first start, last end and mean hours of its planned outages."""
+    """One row per request: number, first start, last end and mean hours of its planned outages.
+
+    Outages are summed up per span before they meet the asks, so a hot postcode shrinks to a few
+    rows per day.
+    """
     hours = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("end_ts")) / F.lit(3.6e9)
+    spans = _spans(
+        planned,
+        F.count(F.lit(1)).alias("n"),
+        F.min("start_ts").alias("first_start"),
+        F.max("end_ts").alias("last_end"),
+        F.sum(hours.cast("decimal(18,6)")).alias("hours"),
+    )
     per_ask = (
-        planned_matches(requests, planned)
-        .withColumn("_hours", hours)
+        _meet(requests, spans, ("n", "first_start", "last_end", "hours"))
         .groupBy(*ASK)
         .agg(
-            F.count(F.lit(1)).alias("n_outages"),
-            F.min("start_ts").alias("first_start"),
-            F.max("end_ts").alias("last_end"),
-            F.round(exact_mean("_hours"), 4).alias("mean_hours"),
+            F.sum("n").alias("n_outages"),
+            F.min("first_start").alias("first_start"),
+            F.max("last_end").alias("last_end"),
+            F.round(F.sum("hours").cast("double") / F.sum("n"), 4).alias("mean_hours"),
         )
     )
     joined = lookup_join(requests, per_ask, ASK, salt_by="request_id")
@@ -131,7 +156,7 @@ def _day_totals(requests: DataFrame, planned: DataFrame) -> DataFrame:
         return df.select("postcode", day.alias("day"), *values)
 
     start, after = F.to_date("start_ts"), F.date_add(F.to_date("end_ts"), 1)
-    well_formed = planned.where(F.col("start_ts") <= F.col("end_ts"))
+    well_formed = _well_formed(planned)
     each_day = (
         marks(well_formed, start, begun=1)
         .unionByName(marks(well_formed, after, over=1))
@@ -160,9 +185,10 @@ def planned_summary(requests: DataFrame, planned: DataFrame, part_chars: int = 1
     """The reply text per ask: one line per outage in start order, in numbered parts."""
     lined = planned.withColumn("line", outage_line("start_ts", "end_ts", "reason"))
     lines = planned_matches(requests, lined, ("outage_id", "start_ts", "end_ts", "line"))
-    return concat_text(lines, ASK, ["start_ts", "outage_id"], "line", "\n", part_chars).select(
-        *ASK, "part", F.col("pieces").alias("n_lines"), F.col("line").alias("reply")
-    )
+    spans = _spans(lined, F.sum(F.length("line") + 1).alias("_chars"))
+    weights = _meet(requests, spans, ["_chars"]).groupBy(*ASK).agg(F.sum("_chars").alias("_weight"))
+    replies = concat_text(lines, ASK, ["start_ts", "outage_id"], "line", "\n", part_chars, weights=weights)
+    return replies.select(*ASK, "part", F.col("pieces").alias("n_lines"), F.col("line").alias("reply"))
 
 
 def next_planned(planned: DataFrame, as_of) -> DataFrame:

@@ -107,6 +107,11 @@ def similar(
     return _ranked(hits, k)
 
 
+def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 4) -> DataFrame:
+    """The k nearest corpus texts per question; both tables are (vec_id, embedding, text)."""
+    return similar(questions, corpus, k).join(corpus.select("vec_id", "text"), "vec_id")
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return top_per_key(hits, ["question_id"], [F.desc("score"), F.asc("vec_id")], k)
 

@@ -28,12 +28,15 @@ HOT_ROWS = 1_000_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder of the cluster; a temporary one only in local mode where none is set."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="outage_spark_")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -91,7 +94,7 @@ class OrderedRows:
         keys, order = list(keys), list(order)
         self._order = order
         everything = runs or not keys or not hot_rows
-        plain, hot = (None, df) if everything else _split_hot(df, keys, F.count(F.lit(1)), hot_rows)
+        plain, hot = (None, df) if everything else _split_hot(df, keys, _weigh(df, keys, F.count(F.lit(1))), hot_rows)
         self._parts = [] if plain is None else [_Part(plain, keys, order, spread=False)]
         if hot is not None:
             columns = [F.col(c) for c in (*keys, *order)]
@@ -140,9 +143,14 @@ class OrderedRows:
         return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], weight: Column, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of keys whose ``weight`` is over the limit or None)."""
-    weights = df.groupBy(*keys).agg(weight.alias("_weight"))
+def _weigh(df: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(weight.alias("_weight"))
+
+
+def _split_hot(
+    df: DataFrame, keys: Sequence[str], weights: DataFrame, limit: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys whose ``_weight`` is over the limit or None)."""
     hot = settle(weights.where(F.col("_weight") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
     if hot.isEmpty():
         return df, None
@@ -229,13 +237,15 @@ def concat_text(
     sep: str = "\n",
     part_chars: int = 1_000_000,
     runs: int | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Join the text pieces of a key in order, as numbered parts.
 
     A new part starts once ``part_chars`` characters are full, so an ordinary key is one part (0)
     and a huge key is many parts that no single task has to hold; in part order they hold every piece.
+    ``weights`` (keys, ``_weight``) gives the characters per key where they are known more cheaply.
     """
-    pieces = df.where(F.col(text).isNotNull()).withColumn("_chars", F.length(text) + len(sep))
+    pieces = df.where(F.col(text).isNotNull()).withColumn("_chars", F.length(text) + max(len(sep), 1))
     ordering = ", ".join(f"`{c}`" for c in order)
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
     joined = F.expr(f"listagg(`{text}`, '{quoted}') WITHIN GROUP (ORDER BY {ordering})").alias(text)
@@ -243,7 +253,8 @@ def concat_text(
     def join_parts(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys, "part").agg(joined, F.count(F.lit(1)).alias("pieces"))
 
-    plain, hot = (None, pieces) if runs else _split_hot(pieces, keys, F.sum("_chars"), part_chars)
+    weights = weights if weights is not None else _weigh(pieces, keys, F.sum("_chars"))
+    plain, hot = (None, pieces) if runs else _split_hot(pieces, keys, weights, part_chars)
     frames = [] if plain is None else [join_parts(plain.withColumn("part", F.lit(0)))]
     if hot is not None:
         rows = OrderedRows(hot, keys, order, runs, hot_rows=0).with_sum_before("_chars", "_before").rows

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from outage_spark.operators.ingest import append_new, chunk_ids, chunk_separators, ingest_delta, table_diff, unprocessed
+from outage_spark.plans.ingest import ingest_batch
 from outage_spark.sources import readers, standins
 from outage_spark.sources.writers import append, ensure_tables, write_table
 
@@ -113,3 +114,25 @@ def test_table_diff(spark):
     new = spark.createDataFrame([(1, "x", 1), (2, "y", 2), (3, None, None), (5, None, None)], schema)
     got = sorted(map(tuple, table_diff(old, new, ["k"]).collect()), key=lambda r: r[1])
     assert got == [("update", 2, "y", 2), ("delete", 4, "d", 4), ("insert", 5, None, None)]
+
+
+def test_ingest_batch_takes_each_file_once(spark, tmp_path):
+    folder = str(tmp_path / "docs")
+    write(tmp_path / "docs" / "a.txt", "first " * 300)
+    write(tmp_path / "docs" / "b.txt", b"\xff\xfe broken")
+
+    def run():
+        return [r.file_name for r in ingest_batch(spark, folder, lambda raw: raw.decode(), "outage_ingest").collect()]
+
+    def stored():
+        chunks = spark.table("outage_ingest.docs_text").select("chunk_id", "text").collect()
+        return len(chunks), sorted(r.file_name for r in spark.table("outage_ingest.docs_track").collect())
+
+    assert run() == ["b.txt"]
+    assert stored() == (3, ["a.txt"])
+    write(tmp_path / "docs" / "b.txt", "repaired")
+    assert run() == []
+    assert stored() == (4, ["a.txt", "b.txt"])
+    spark.sql("TRUNCATE TABLE outage_ingest.docs_track")  # as if a run had stopped before tracking
+    assert run() == []
+    assert stored() == (4, ["a.txt", "b.txt"])
