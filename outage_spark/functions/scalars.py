@@ -60,7 +60,7 @@ def staff_adjusted(base: Column | str, staff: Column | str, full_staff: int = 15
 
 def parse_ts(value: Column | str) -> Column:
     """Timestamp without zone, or null where the text is no timestamp."""
-    return F.try_to_timestamp(_col(value)).cast("timestamp_ntz")
+    return _col(value).try_cast("timestamp_ntz")
 
 
 def as_of(ts: Column | str | None = None) -> Column:

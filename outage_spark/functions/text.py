@@ -83,11 +83,14 @@ def html_text(html: Column | str) -> Column:
 
 def outage_line(start: Column | str, end: Column | str, reason: Column | str) -> Column:
     """One line of a reply about a planned outage."""
-    moment = "yyyy-MM-dd HH:mm"
+
+    def minute(moment: Column) -> Column:
+        return F.substring(moment.cast("string"), 1, 16)
+
     return F.concat(
-        F.date_format(_col(start), moment),
+        minute(_col(start)),
         F.lit(" to "),
-        F.coalesce(F.date_format(_col(end), moment), F.lit("further notice")),
+        F.coalesce(minute(_col(end)), F.lit("further notice")),
         F.lit(": "),
         F.coalesce(_col(reason), F.lit("no reason given")),
     )

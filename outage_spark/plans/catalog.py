@@ -286,8 +286,8 @@ def context_turns(spark, d):
 
 @query
 def surrogate_id(spark, d):
-    chunks = ingest.chunk_fixed(_docs(spark, d))
-    return spread.assign_ids(chunks, ["doc_id", "chunk_no"]).select("id", "doc_id", "chunk_no")
+    chunks = ingest.chunk_fixed(_docs(spark, d)).select("doc_id", "chunk_no")
+    return spread.assign_ids(chunks, ["doc_id", "chunk_no"])
 
 
 @query

@@ -78,8 +78,7 @@ def windowed_counts(
     stream: DataFrame, ts: str, size: str, slide: str | None = None, delay: str = "1 hour", keys=()
 ) -> DataFrame:
     """Counts per tumbling or sliding window; rows later than ``delay`` are dropped."""
-    # Watermarks need a zoned time column.
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    timed = stream.withColumn(ts, _zoned(ts)).withWatermark(ts, delay)
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     counted = timed.groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(_ntz("w.start").alias("window_start"), _ntz("w.end").alias("window_end"), *keys, "n")
@@ -87,13 +86,22 @@ def windowed_counts(
 
 def session_counts(stream: DataFrame, ts: str, gap: str, delay: str = "1 hour", keys=()) -> DataFrame:
     """Counts per session of rows that are less than ``gap`` apart."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    timed = stream.withColumn(ts, _zoned(ts)).withWatermark(ts, delay)
     counted = timed.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(_ntz("w.start").alias("window_start"), _ntz("w.end").alias("window_end"), *keys, "n")
 
 
+# Watermarks need a zoned time column. Times are read as UTC whatever the session zone, so that
+# window borders fall on the hours and days of the data.
+EPOCH = "1970-01-01 00:00:00"
+
+
+def _zoned(name: str) -> Column:
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(name)))
+
+
 def _ntz(name: str) -> Column:
-    return F.col(name).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(name), F.lit(EPOCH).cast("timestamp_ntz"))
 
 
 # Joins

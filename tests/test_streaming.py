@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outage_spark import schemas
+from outage_spark.functions.text import outage_line
 from outage_spark.operators.conversation import context_turns
 from outage_spark.operators.estimate import hours_by
 from outage_spark.operators.weather import weather_asof
@@ -153,3 +154,18 @@ def test_resent_rows_are_dropped(feed):
     source.add(("a", ts("2030-01-01 10:02")), ("c", ts("2030-01-01 10:05")))
     kept = jobs.run_to_end(jobs.dedupe_stream(source.stream(), ["file_name"], "ts", "1 hour"))
     assert sorted(r.file_name for r in kept.collect()) == ["a", "b", "c"]
+
+
+def test_windows_do_not_depend_on_the_session_zone(spark, feed):
+    source = feed("events", "ts TIMESTAMP_NTZ, k STRING")
+    # 02:30 does not exist on this day in the zone set here.
+    source.add((ts("2030-03-10 00:30"), "a"), (ts("2030-03-10 02:30"), "a"), (ts("2030-03-12 00:00"), "a"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = jobs.run_to_end(jobs.windowed_counts(source.stream(), "ts", "1 day")).drop("batch_id").collect()
+        line = spark.range(1).select(outage_line(F.lit("2030-03-10 02:30:00").cast("timestamp_ntz"), F.lit(None), F.lit("x")))
+        said = line.first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [tuple(map(str, r)) for r in got] == [("2030-03-10 00:00:00", "2030-03-11 00:00:00", "2")]
+    assert said == "2030-03-10 02:30 to further notice: x"
