@@ -151,21 +151,23 @@ def planned_counts(requests: DataFrame, planned: DataFrame, semantics: str = "ov
 def _day_totals(requests: DataFrame, planned: DataFrame) -> DataFrame:
     """Per postcode and asked day: outages ``begun`` by then, ``over`` before it, and starting then or ``later``."""
 
-    def marks(df: DataFrame, day: Column, **given: int) -> DataFrame:
-        values = [F.lit(given.get(name, 0)).cast("bigint").alias(name) for name in ("begun", "over", "later", "asked")]
-        return df.select("postcode", day.alias("day"), *values)
+    names = ("begun", "over", "later", "asked")
 
+    def mark(day: Column, **given: Column | int) -> Column:
+        values = [F.lit(given.get(name, 0)).cast("bigint").alias(name) for name in names]
+        return F.struct(day.alias("day"), *values)
+
+    # One scan per table: each row marks the days it counts on.
     start, after = F.to_date("start_ts"), F.date_add(F.to_date("end_ts"), 1)
-    well_formed = _well_formed(planned)
+    well_formed = F.coalesce(F.col("start_ts") <= F.col("end_ts"), F.lit(False)).cast("int")
+    ends = F.col("end_ts").isNotNull().cast("int")
+    of_outage = F.array(mark(start, begun=well_formed, later=ends), mark(after, over=well_formed))
+    of_request = F.array(mark(F.col("start_date"), asked=1), mark(F.col("end_date"), asked=1))
+    marks = planned.select("postcode", F.inline(of_outage)).unionByName(
+        requests.select("postcode", F.inline(of_request))
+    )
     each_day = (
-        marks(well_formed, start, begun=1)
-        .unionByName(marks(well_formed, after, over=1))
-        .unionByName(marks(planned.where(F.col("end_ts").isNotNull()), start, later=1))
-        .unionByName(marks(requests, F.col("start_date"), asked=1))
-        .unionByName(marks(requests, F.col("end_date"), asked=1))
-        .where(F.col("day").isNotNull())
-        .groupBy("postcode", "day")
-        .agg(*[F.sum(name).alias(name) for name in ("begun", "over", "later", "asked")])
+        marks.where(F.col("day").isNotNull()).groupBy("postcode", "day").agg(*[F.sum(name).alias(name) for name in names])
     )
     # One row per (postcode, day) by now, so a window holds at most the days of the calendar.
     past = Window.partitionBy("postcode").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)

@@ -158,17 +158,25 @@ def _grid(asked: DataFrame, stored: DataFrame, k: int, block_rows: int = BLOCK_R
 
 
 class VectorIndex:
-    """Corpus rows with their ``list_id``, and per list its centre and the widest angle to it."""
+    """Corpus rows with their ``list_id``; per list its centre, the widest angle to it and the longest vector."""
 
-    def __init__(self, table: DataFrame, centres: np.ndarray, radii: np.ndarray):
-        self.table, self.centres, self.radii = table, centres, radii
+    def __init__(self, table: DataFrame, centres: np.ndarray, radii: np.ndarray, longest: np.ndarray):
+        self.table, self.centres, self.radii, self.longest = table, centres, radii, longest
+
+    def best_possible(self, questions: np.ndarray) -> np.ndarray:
+        """Upper bound of the score in each list: the angle to the centre less the list's widest angle."""
+        lengths = np.linalg.norm(questions, axis=1, keepdims=True)
+        cosines = (questions @ self.centres.T) / np.maximum(lengths, 1e-12)
+        nearest = np.cos(np.maximum(np.arccos(np.clip(cosines, -1.0, 1.0)) - self.radii, 0.0))
+        # The slack covers rounded scores and float noise in the angles.
+        return lengths * self.longest * np.maximum(nearest, 0.0) + 1e-5
 
 
 def build_index(
     corpus: DataFrame, n_lists: int = 16, vec_id: str = "vec_id", vec: str = "embedding", seed: int = 7,
     path: str | None = None, train_fraction: float = 1.0,
 ) -> VectorIndex:
-    """Group unit vectors into ``n_lists`` lists by k-means; with ``path``, store them one folder per list.
+    """Group vectors into ``n_lists`` lists by k-means; with ``path``, store them one folder per list.
 
     Stored lists are partitions, so a search reads only the lists it probes. ``train_fraction`` of
     the rows place the centres; every row is listed, and exact searches do not depend on the centres.
@@ -178,7 +186,8 @@ def build_index(
 
     stored = _vectors(corpus, vec_id, vec)
     features = stored.withColumn("features", array_to_vector(F.col("v").cast("array<double>")))
-    training = features if train_fraction >= 1.0 else features.sample(train_fraction, seed)
+    training = features.where(F.exists("v", lambda x: x != 0))  # a zero vector has no direction
+    training = training if train_fraction >= 1.0 else training.sample(train_fraction, seed)
     model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(training)
     centres = np.array(model.clusterCenters())
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
@@ -186,24 +195,27 @@ def build_index(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cosines = _matrix(batch.column(1)) @ centres.T
+                vectors = _matrix(batch.column(1))
+                norms = np.linalg.norm(vectors, axis=1)
+                cosines = (vectors @ centres.T) / np.maximum(norms, 1e-12)[:, None]
                 lists = cosines.argmax(axis=1)
                 angles = np.arccos(np.clip(cosines[np.arange(len(lists)), lists], -1.0, 1.0))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(angles), pa.array(lists.astype(np.int32))],
-                    names=["vec_id", "v", "angle", "list_id"],
+                    [batch.column(0), batch.column(1), *map(pa.array, (angles, norms, lists.astype(np.int32)))],
+                    names=["vec_id", "v", "angle", "norm", "list_id"],
                 )
 
-    placed = stored.mapInArrow(place, "vec_id bigint, v array<float>, angle double, list_id int")
+    placed = stored.mapInArrow(place, "vec_id bigint, v array<float>, angle double, norm double, list_id int")
     if path:
         placed.write.mode("overwrite").partitionBy("list_id").parquet(path)
         placed = corpus.sparkSession.read.parquet(path)
     else:
         placed = settle(placed)
-    radii = np.zeros(len(centres))
-    for row in placed.groupBy("list_id").agg(F.max("angle").alias("radius")).collect():  # n_lists rows
-        radii[row["list_id"]] = row["radius"]
-    return VectorIndex(placed, centres, radii)
+    radii, longest = np.zeros(len(centres)), np.zeros(len(centres))
+    reach = placed.groupBy("list_id").agg(F.max("angle").alias("radius"), F.max("norm").alias("longest"))
+    for row in reach.collect():  # n_lists rows
+        radii[row["list_id"]], longest[row["list_id"]] = row["radius"], row["longest"]
+    return VectorIndex(placed, centres, radii, longest)
 
 
 def search_index(
@@ -225,23 +237,20 @@ def search_index(
     if not is_small(asked):
         return _ranked(_grid(asked, index.table.select("vec_id", "v"), k), k)
     question_ids, matrix = _local(asked)
-    cosines = np.clip(matrix @ index.centres.T, -1.0, 1.0)
+    closeness = matrix @ index.centres.T
     n_probe = min(n_probe, len(index.centres))
-    probed = np.zeros_like(cosines, dtype=bool)
-    nearest = np.argpartition(-cosines, n_probe - 1, axis=1)[:, :n_probe]
+    probed = np.zeros_like(closeness, dtype=bool)
+    nearest = np.argpartition(-closeness, n_probe - 1, axis=1)[:, :n_probe]
     np.put_along_axis(probed, nearest, True, axis=1)
     first = settle(_ranked(_probe(index.table, question_ids, matrix, probed, k), k).drop("rank"))
     if not exact:
         return _ranked(first, k)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    angles = np.arccos(np.clip(cosines / np.maximum(lengths, 1e-12), -1.0, 1.0))
-    bound = lengths * np.cos(np.maximum(angles - index.radii, 0.0)) + 1e-5
     floor = dict.fromkeys(question_ids.tolist(), -np.inf)
     worst = first.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
     for row in worst.where(F.col("n") == k).collect():  # one row per question, within the broadcast limit
         floor[row["question_id"]] = row["kth"]
     kth = np.array([floor[q] for q in question_ids.tolist()])
-    left = (bound >= kth[:, None]) & ~probed
+    left = (index.best_possible(matrix) >= kth[:, None]) & ~probed
     return _ranked(first.unionByName(_probe(index.table, question_ids, matrix, left, k)), k)
 
 

@@ -71,6 +71,15 @@ def test_stored_index_prunes_lists(data, tmp_path):
     assert "PartitionFilters: [isnotnull(list_id" in plan
 
 
+def test_index_of_vectors_of_any_length(data):
+    df, _ = data
+    stretched = df.withColumn(
+        "embedding", F.transform("embedding", lambda v: (v * (F.col("vec_id") % 7)).cast("float"))
+    )
+    index = R.build_index(stretched, n_lists=8)
+    assert rows(R.search_index(index, stretched, K, 1)) == rows(R.similar(stretched, stretched, K))
+
+
 def test_recall_of_a_quick_search(data):
     df, _ = data
     exact = R.similar(df, df, K)
