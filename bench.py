@@ -20,7 +20,7 @@ HEADLINE = (
     "planned_for_requests",
     "planned_overlap",
     "planned_summary",
-    "weather_at_request",
+    "weather_asof",
     "estimate_duration",
     "hours_by_area_condition",
     "chunk_fixed",

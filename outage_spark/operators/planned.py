@@ -148,6 +148,20 @@ def planned_counts(requests: DataFrame, planned: DataFrame, semantics: str = "ov
     return joined.select(*requests.columns, n.alias("n_outages"))
 
 
+def planned_numbered(planned: DataFrame, runs: int | None = None) -> DataFrame:
+    """Outages with an end, numbered per postcode from the last start back (``from_last`` = 1 for the last).
+
+    The ``reference`` reply to an ask is every outage from its start on: those with ``from_last`` up
+    to the ask's ``planned_counts(..., "reference")``. One numbered table answers all asks; listing
+    the replies ask by ask would repeat the later outages in each of them.
+    """
+    ended = planned.where(F.col("end_ts").isNotNull() & F.col("start_ts").isNotNull())
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    back = ended.withColumn("_back", -F.timestamp_diff("MICROSECOND", epoch, F.col("start_ts")))
+    numbered = OrderedRows(back, ["postcode"], ["_back", "outage_id"], runs).with_number("from_last").rows
+    return numbered.select("postcode", "outage_id", "start_ts", "end_ts", "reason", "from_last")
+
+
 def _day_totals(requests: DataFrame, planned: DataFrame) -> DataFrame:
     """Per postcode and asked day: outages ``begun`` by then, ``over`` before it, and starting then or ``later``."""
 

@@ -255,7 +255,8 @@ def concat_text(
 
     weights = weights if weights is not None else _weigh(pieces, keys, F.sum("_chars"))
     plain, hot = (None, pieces) if runs else _split_hot(pieces, keys, weights, part_chars)
-    frames = [] if plain is None else [join_parts(plain.withColumn("part", F.lit(0)))]
+    # Joining text does not shrink it, so rows are shuffled as they are and joined once, after it.
+    frames = [] if plain is None else [join_parts(plain.repartition(*keys).withColumn("part", F.lit(0)))]
     if hot is not None:
         rows = OrderedRows(hot, keys, order, runs, hot_rows=0).with_sum_before("_chars", "_before").rows
         frames.append(join_parts(rows.withColumn("part", F.floor(F.col("_before") / part_chars).cast("int"))))

@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from outage_spark import schemas
 from outage_spark.functions import scalars, text
 from outage_spark.functions.weather import classify_weather
-from outage_spark.operators import conversation, estimate, generate, ingest, lookup, planned, retrieval, spread
-from outage_spark.operators.weather import weather_asof
+from outage_spark.operators import (
+    conversation,
+    estimate,
+    generate,
+    ingest,
+    lookup,
+    planned,
+    retrieval,
+    spread,
+    weather,
+)
 from outage_spark.plans import triage
 from outage_spark.sources import standins
 from outage_spark.sources.readers import split_errors
@@ -90,6 +99,11 @@ def planned_literal(spark, d):
     )
 
 
+@query
+def planned_numbered(spark, d):
+    return planned.planned_numbered(standins.planned(spark, d))
+
+
 @query
 def planned_overlap(spark, d):
     return planned.planned_counts(standins.requests(spark, d), standins.planned(spark, d)).select(
@@ -190,8 +204,8 @@ def triage_unplanned(spark, d):
 
 
 @query
-def weather_at_request(spark, d):
-    return weather_asof(_asked(spark, d), standins.observations(spark, d))
+def weather_asof(spark, d):
+    return weather.weather_asof(_asked(spark, d), standins.observations(spark, d))
 
 
 def _asked(spark, d):
@@ -512,7 +526,7 @@ def stream_session_counts(spark, d):
 
 
 @query
-def stream_weather_at_request(spark, d):
+def stream_weather_asof(spark, d):
     asked = standins.requests_from_events(_event_stream(spark, d)).select("request_id", "postcode", "asked_at")
     seen = standins.observations_from_events(_event_stream(spark, d))
     home = jobs.scratch_home(spark)

@@ -135,7 +135,7 @@ def _status(prelude: tuple[str, ...], requests: str) -> str:
 
 
 STATUS = _status((POSTCODES, PLANNED, HISTORY, REQUESTS), "requests")
-WEATHER_AT_REQUEST = (
+WEATHER_ASOF = (
     _with(REQUESTS, WEATHER)
     + """SELECT request_id, r.postcode, asked_at, observed_at, condition_text, temp_c
     FROM requests r ASOF LEFT JOIN weather w ON r.postcode = w.postcode AND r.asked_at >= w.observed_at"""
@@ -189,6 +189,9 @@ ORACLES: dict[str, str] = {
     + """SELECT r.request_id, r.postcode, r.start_date, r.end_date, count(p.outage_id) AS n_outages
         FROM requests r LEFT JOIN planned p ON r.postcode = p.postcode AND CAST(p.start_ts AS DATE) >= r.start_date
          AND (CAST(p.end_ts AS DATE) >= r.end_date OR CAST(p.end_ts AS DATE) <= r.end_date) GROUP BY ALL""",
+    "planned_numbered": _with(PLANNED)
+    + """SELECT postcode, outage_id, start_ts, end_ts, reason,
+        row_number() OVER (PARTITION BY postcode ORDER BY start_ts DESC, outage_id) AS from_last FROM planned""",
     "planned_overlap": _with(PLANNED, REQUESTS)
     + """SELECT r.request_id, r.postcode, r.start_date, r.end_date, count(p.outage_id) AS n_outages
         FROM requests r LEFT JOIN planned p ON r.postcode = p.postcode AND CAST(p.start_ts AS DATE) <= r.end_date
@@ -226,7 +229,7 @@ ORACLES: dict[str, str] = {
     "triage_unplanned": _with(PLANNED, REQUESTS, TODAY)
     + """SELECT request_id, postcode, start_date FROM requests
         WHERE request_id IN (SELECT request_id FROM today WHERE n = 0)""",
-    "weather_at_request": WEATHER_AT_REQUEST,
+    "weather_asof": WEATHER_ASOF,
     "vector_topk": _with(HITS) + "SELECT * FROM hits",
     "vector_topk_index": _with(HITS) + "SELECT * FROM hits",
     "planned_conflicts": _with(PLANNED)
@@ -354,7 +357,7 @@ ORACLES: dict[str, str] = {
         sessions AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM gaps)
         SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM sessions
         GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= {WATERMARK}""",
-    "stream_weather_at_request": WEATHER_AT_REQUEST,
+    "stream_weather_asof": WEATHER_ASOF,
     "stream_conversation_context": """SELECT conv_id, turn, row_number() OVER w - 1 AS context_turns,
         CAST(greatest(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0)
             AS BIGINT) AS context_chars,

@@ -11,6 +11,7 @@ from outage_spark.operators.planned import (
     planned_for,
     planned_in_range,
     planned_matches,
+    planned_numbered,
     planned_summary,
 )
 from tests.conftest import PLANNED, day, ts
@@ -93,6 +94,15 @@ def test_counts_equal_brute_force(spark, many):
     assert [r.n_outages for r in got] == literal
 
 
+@pytest.mark.parametrize("runs", [None, 6])
+def test_numbered_outages_give_the_reference_reply(spark, many, runs):
+    frame, _, asks = many
+    numbered = planned_numbered(frame, runs).collect()
+    for r in planned_counts(ask(spark, *asks[:25]), frame, "reference").collect():
+        reply = {o.outage_id for o in numbered if o.postcode == r.postcode and o.from_last <= r.n_outages}
+        assert reply == set(ids(planned_in_range(frame, r.postcode, r.start_date, r.end_date, "reference")))
+
+
 def test_requests_without_dates_or_postcode_are_kept(spark, planned):
     requests = ask(spark, ("2001", None, None), (None, "2030-03-11", "2030-03-11"), ("2001", "2030-03-11", None))
     for semantics in ("overlap", "reference"):
