@@ -9,7 +9,7 @@ Two problems keep coming back in this library:
   Partitions are contiguous, so at most one key per partition needs a carried value: the carried
   table is never longer than the number of partitions, which is why broadcasting it is safe.
 * *A lookup in a table with one row per key* where the asking side may be hot. ``lookup_join``
-  broadcasts the table only after measuring it; past the limit it salts the join.
+  broadcasts the table only after measuring it; past the limit only the hot keys' rows are broadcast.
 """
 
 from __future__ import annotations
@@ -147,18 +147,29 @@ def _weigh(df: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
     return df.groupBy(*keys).agg(weight.alias("_weight"))
 
 
-def _split_hot(
-    df: DataFrame, keys: Sequence[str], weights: DataFrame, limit: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of keys whose ``_weight`` is over the limit or None)."""
+def _hot_keys(keys: Sequence[str], weights: DataFrame, limit: int) -> DataFrame | None:
+    """Keys whose ``_weight`` is over the limit, as ``_hot_`` columns, or None; few, by the limit."""
     hot = settle(weights.where(F.col("_weight") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
     if hot.isEmpty():
-        return df, None
+        return None
+    return F.broadcast(hot) if is_small(hot) else hot
+
+
+def _with_keys(df: DataFrame, keys: Sequence[str], hot: DataFrame, how: str) -> DataFrame:
     match = F.lit(True)
     for key in keys:
         match = match & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
-    hot = F.broadcast(hot) if is_small(hot) else hot
-    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
+    return df.join(hot, match, how)
+
+
+def _split_hot(
+    df: DataFrame, keys: Sequence[str], weights: DataFrame, limit: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys whose ``_weight`` is over the limit or None)."""
+    hot = _hot_keys(keys, weights, limit)
+    if hot is None:
+        return df, None
+    return _with_keys(df, keys, hot, "left_anti"), _with_keys(df, keys, hot, "left_semi")
 
 
 def _row_bytes(table: DataFrame) -> Column:
@@ -186,18 +197,34 @@ def lookup_join(
     salt_by: str | None = None,
     max_bytes: int = BROADCAST_BYTES,
     settled: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``left`` to a table that has one row per key.
 
-    The table is settled (unless it comes from a settled one) and measured. Small: broadcast, so ``left`` is not shuffled at all. Large:
-    ``left`` is salted on ``salt_by`` (a column that varies within a hot key) and the table, which
-    is unique per key, is repeated once per salt.
+    The table is settled (unless it comes from a settled one) and measured. Small: broadcast, so
+    ``left`` is not shuffled at all. Large: rows of hot keys are joined to the few table rows of
+    those keys, the other rows by an ordinary shuffle join. A stream cannot be counted first; it is
+    salted on ``salt_by`` (a column that varies within a hot key) with the table repeated per salt.
     """
+    on = list(on)
     table = table if settled else settle(table)
     if is_small(table, max_bytes):
-        return left.join(F.broadcast(table), list(on), how)
+        return left.join(F.broadcast(table), on, how)
+    if left.isStreaming:
+        return _salted_join(left, table, on, how, salt_by)
+    hot = _hot_keys(on, _weigh(left, on, F.count(F.lit(1))), hot_rows)
+    if hot is None:
+        return left.join(table, on, how)
+    # One table row per hot key, and at most one hot key per hot_rows rows of left.
+    rows_of_hot = settle(_with_keys(table, on, hot, "left_semi"))
+    rows_of_hot = F.broadcast(rows_of_hot) if is_small(rows_of_hot) else rows_of_hot
+    plain = _with_keys(left, on, hot, "left_anti").join(table, on, how)
+    return plain.unionByName(_with_keys(left, on, hot, "left_semi").join(rows_of_hot, on, how))
+
+
+def _salted_join(left: DataFrame, table: DataFrame, on: list[str], how: str, salt_by: str | None) -> DataFrame:
     if salt_by is None:
-        return left.join(table, list(on), how)
+        return left.join(table, on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
