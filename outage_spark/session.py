@@ -13,6 +13,10 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Settled tables go when nothing refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Streaming state on local disk instead of the heap, so it may grow past memory.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     "spark.ui.enabled": "false",
 }
 

@@ -163,8 +163,8 @@ def test_windows_do_not_depend_on_the_session_zone(spark, feed):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         got = jobs.run_to_end(jobs.windowed_counts(source.stream(), "ts", "1 day")).drop("batch_id").collect()
-        line = spark.range(1).select(outage_line(F.lit("2030-03-10 02:30:00").cast("timestamp_ntz"), F.lit(None), F.lit("x")))
-        said = line.first()[0]
+        start = F.lit("2030-03-10 02:30:00").cast("timestamp_ntz")
+        said = spark.range(1).select(outage_line(start, F.lit(None), F.lit("x"))).first()[0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [tuple(map(str, r)) for r in got] == [("2030-03-10 00:00:00", "2030-03-11 00:00:00", "2")]
