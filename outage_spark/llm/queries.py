@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from outage_spark.llm.mixture import op7_mixture
 from outage_spark.llm.quality_rules import OP10_SQL, op10_quality_rules
 
 QUERIES = {
+    "op7_mixture": op7_mixture,
     "op10_quality_rules": op10_quality_rules,
 }
 
