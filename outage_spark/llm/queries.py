@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from outage_spark.llm.mixture import op7_mixture
+from outage_spark.llm.personal_data import op9_personal_data
 from outage_spark.llm.quality_rules import OP10_SQL, op10_quality_rules
 
 QUERIES = {
     "op7_mixture": op7_mixture,
+    "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
 }
 
