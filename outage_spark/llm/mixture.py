@@ -23,9 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from outage_spark.llm.text import store, table, word_count
+from outage_spark.llm.text import nullable, store, table, word_count
 from outage_spark.operators.spread import assign_ids, lookup_join
 
 WEIGHTS = (5, 2, 1)
@@ -197,7 +196,7 @@ def mix(
         _even(F.lit(seed + 1), *key).alias("_mix_u"),
         F.lit(None).cast("bigint").alias("_mix_copies"),
     )
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
+    schema = nullable(rows.schema)
     done: list[DataFrame] = []
     blocks_now, level = -(-largest // block_rows), 0
     while True:

@@ -13,6 +13,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from outage_spark.operators.spread import checkpoint_folder
 
@@ -88,5 +89,10 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def nullable(schema: T.StructType) -> T.StructType:
+    """The schema of what a Python function returns: any column may be null."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
