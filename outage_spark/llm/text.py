@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from outage_spark.operators.spread import checkpoint_folder
 
 BLANKS = r"[\x20\x09-\x0D]+"
+NOT_ALNUM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ALNUM = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -28,11 +29,11 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
-def word_count(text: str | Column) -> Column:
-    """Number of words as BIGINT, without a lambda: pieces less the empty ones at either end."""
+def word_count(text: str | Column, blanks: str = BLANKS) -> Column:
+    """Number of words as BIGINT, without a lambda: pieces after blanks at either end are cut off."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    inner = F.regexp_replace(text, rf"^{BLANKS}|{BLANKS}$", "")
-    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, BLANKS))).cast("bigint")
+    inner = F.regexp_replace(text, rf"^{blanks}|{blanks}$", "")
+    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, blanks))).cast("bigint")
 
 
 def ascii_lower(text: str | Column) -> Column:

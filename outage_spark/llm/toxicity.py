@@ -51,7 +51,7 @@ PRIOR = {"insult": 4.0, "insult+target": 1.0, "insult-negated": -3.0, "insult-re
          "threat": 0.5, "threat+target": 2.5, "threat-negated": -0.5, "threat-reported": -0.5}
 PRIOR_INTERCEPT = -1.5
 NEGATION_REACH = 3
-PRODUCTIVE = 8
+PRODUCTIVE = 5
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
