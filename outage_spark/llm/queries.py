@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from outage_spark.llm.decontamination import OP6_SQL, op6_decontamination
+from outage_spark.llm.jaccard_join import op4_jaccard_join
 from outage_spark.llm.mixture import op7_mixture
 from outage_spark.llm.personal_data import op9_personal_data
 from outage_spark.llm.quality_rules import OP10_SQL, op10_quality_rules
@@ -10,6 +11,7 @@ from outage_spark.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op7_mixture": op7_mixture,
     "op9_personal_data": op9_personal_data,

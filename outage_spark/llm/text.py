@@ -7,9 +7,10 @@ the bytes at which ``bytes.split()`` cuts, so Python and JVM code agree. A null
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,26 @@ def nullable(schema: T.StructType) -> T.StructType:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each key from a stream that is sorted by ``keys``, as one table per key."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows, bool)
+        for name in keys:
+            values = batch.column(name).to_numpy(zero_copy_only=False)
+            changed[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            key = tuple(batch.column(name)[low].as_py() for name in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
