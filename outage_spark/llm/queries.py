@@ -7,11 +7,13 @@ from outage_spark.llm.jaccard_join import op4_jaccard_join
 from outage_spark.llm.mixture import op7_mixture
 from outage_spark.llm.personal_data import op9_personal_data
 from outage_spark.llm.quality_rules import OP10_SQL, op10_quality_rules
+from outage_spark.llm.repeated_passages import OP5_SQL, op5_repeated_passages
 from outage_spark.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_decontamination": op6_decontamination,
     "op7_mixture": op7_mixture,
     "op9_personal_data": op9_personal_data,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_repeated_passages": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
 }
