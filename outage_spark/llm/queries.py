@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as run_pipeline
 from outage_spark.llm.decontamination import OP6_SQL, op6_decontamination
 from outage_spark.llm.jaccard_join import op4_jaccard_join
 from outage_spark.llm.mixture import op7_mixture
@@ -11,6 +13,7 @@ from outage_spark.llm.repeated_passages import OP5_SQL, op5_repeated_passages
 from outage_spark.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "pipeline": run_pipeline,
     "op2_toxicity": op2_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeated_passages": op5_repeated_passages,
@@ -20,7 +23,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL = {
+SQL = ({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {}) | {
     "op5_repeated_passages": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
