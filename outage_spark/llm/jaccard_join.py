@@ -40,7 +40,7 @@ SHINGLE = 4
 CELLS = 1 << 20
 FREQUENT = 64
 PAIRS_BELOW = 128
-BINS = 64
+BINS = 128
 BLOCK = 512
 NO_ID = -(1 << 63)
 
@@ -186,29 +186,52 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _may_link(sizes: np.ndarray, bins: np.ndarray, i: int, rest: np.ndarray, percent: int) -> np.ndarray:
-    """Which of ``rest`` can be linked to ``i`` by size and by tokens per bin."""
-    n, m = sizes[i], sizes[rest]
-    rest = rest[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
-    if not len(rest):
-        return rest
-    mine, theirs = bins[i], bins[rest]
-    bound = np.minimum(mine, theirs).sum(axis=1, dtype=np.int64)
+def _enough(n: np.ndarray, m: np.ndarray, bound: np.ndarray, percent: int) -> np.ndarray:
+    return bound * (100 + percent) >= percent * (n + m)
+
+
+def _may_link(columns: dict, bins: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs are of two classes (and two blocks, in a pair of blocks) and can be linked by size and tokens per bin."""
+    n, m = columns["n"][i], columns["n"][j]
+    good = (columns["class"][i] != columns["class"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    good &= (columns["low"][i] == columns["high"][i]) | (columns["own"][i] != columns["own"][j])
+    at = np.flatnonzero(good)
+    mine, theirs = bins[i[at]], bins[j[at]]
     # A full bin may hold any number, so its sets are compared in any case.
-    unsure = (mine == 255).any() | (theirs == 255).any(axis=1)
-    return rest[unsure | (bound * (100 + percent) >= percent * (n + sizes[rest]))]
+    unsure = (mine == 255).any(axis=1) | (theirs == 255).any(axis=1)
+    bound = np.minimum(mine, theirs).sum(axis=1, dtype=np.int64)
+    return at[unsure | _enough(n[at], m[at], bound, percent)]
+
+
+def _pairs_within(cuts: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within groups, in bounded portions: all groups of one small size together, large ones row by row."""
+    sizes = np.diff(cuts)
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        starts = cuts[:-1][sizes == size]
+        if size <= 64:
+            a, b = np.triu_indices(size, 1)
+            step = max(1, most // len(a))
+            for at in range(0, len(starts), step):
+                some = starts[at : at + step, None]
+                yield (some + a).ravel(), (some + b).ravel()
+            continue
+        for start in starts.tolist():
+            for k in range(1, size):
+                yield np.full(k, start + k), np.arange(start, start + k)
 
 
 def _link_block(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """(name, name) edges that span the classes within one block."""
     sizes = np.array([len(s) for s in sets])
     bins = np.stack([np.frombuffer(_bins(s), np.uint8) for s in sets])
+    columns = {"n": sizes, "class": np.arange(len(sets)), "low": np.zeros(len(sets)), "high": np.zeros(len(sets))}
     classes, edges = _Classes(len(sets)), []
-    for i in range(1, len(sets)):
-        for j in _may_link(sizes, bins, i, np.arange(i), percent).tolist():
-            if classes.find(i) != classes.find(j) and linked(sets[i], sets[j], percent):
-                classes.join(i, j)
-                edges.append((int(names[i]), int(names[j])))
+    for i, j in _pairs_within(np.array([0, len(sets)])):
+        good = _may_link(columns | {"own": columns["class"]}, bins, i, j, percent)
+        for a, b in zip(i[good].tolist(), j[good].tolist()):
+            if classes.find(a) != classes.find(b) and linked(sets[a], sets[b], percent):
+                classes.join(a, b)
+                edges.append((int(names[a]), int(names[b])))
     return edges
 
 
@@ -234,11 +257,14 @@ def _class_blocks(rows: DataFrame, sets: DataFrame, percent: int, shingle: int)
     near = near.repartition("j", "least", "block").sortWithinPartitions("j", "least", "block", "set_key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["j", "least", "block"]):
-            names, at = np.unique(group.column("set_key").to_numpy(), return_index=True)
-            if len(names) > 1:
-                bodies = group.column("_text")
-                yield _edges(_link_block(names, [tokens_of(bodies[int(k)].as_py(), shingle) for k in at], percent))
+        for part, cuts in groups(batches, ["j", "least", "block"]):
+            keys, bodies, found = part.column("set_key").to_numpy(), part.column("_text"), []
+            for low, high in zip(cuts, cuts[1:]):
+                names, at = np.unique(keys[low:high], return_index=True)
+                if len(names) > 1:
+                    sets = [tokens_of(bodies[int(low + k)].as_py(), shingle) for k in at]
+                    found += _link_block(names, sets, percent)
+            yield _edges(found)
 
     return near.mapInArrow(compare, "a bigint, b bigint")
 
@@ -258,42 +284,61 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     held = held.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for group in groups(batches, ["key", "low", "high"]):
-            sizes, classes = group.column("n").to_numpy(), group.column("class").to_numpy()
-            if len(sizes) < 2 or (classes == classes[0]).all():
-                continue
-            names, own = group.column("set_key").to_numpy(), group.column("own").to_numpy()
-            across = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-            bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-            for i in range(1, len(sizes)):
-                rest = np.flatnonzero((classes[:i] != classes[i]) & ((own[:i] != own[i]) | (not across)))
-                for j in _may_link(sizes, bins, i, rest, percent).tolist():
-                    found.add((int(min(names[i], names[j])), int(max(names[i], names[j]))))
-            if len(found) >= 10_000:
-                yield _edges(list(found))
-                found = set()
-        yield _edges(list(found))
+        seen: set[int] = set()
+        for part, cuts in groups(batches, ["key", "low", "high"]):
+            columns = {c: part.column(c).to_numpy() for c in ("n", "class", "set_key", "own", "low", "high")}
+            bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            for i, j in _pairs_within(cuts):
+                good = _may_link(columns, bins, i, j, percent)
+                a, b = columns["set_key"][i[good]], columns["set_key"][j[good]]
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                # The same pair comes from many keys; most repeats go before the shuffle.
+                mixed = (mix(a.view(np.uint64)) ^ b.view(np.uint64)).tolist()
+                fresh = [k for k, m in enumerate(mixed) if m not in seen and not seen.add(m)]
+                if len(seen) > 500_000:
+                    seen.clear()
+                yield _edges(list(zip(a[fresh].tolist(), b[fresh].tolist())))
 
     return held.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs whose whole sets are linked."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    texts = store(_texts(rows, members.join(sets.select("set_key", "id_key", "row_key"), "set_key")).select("set_key", "_text"))
-    texts = texts.dropDuplicates(["set_key"])
-    both = pairs.join(texts.select(F.col("set_key").alias("a"), F.col("_text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("set_key").alias("b"), F.col("_text").alias("text_b")), "b")
+    """The pairs whose whole sets are linked.
+
+    Pairs are checked by connected group, or by pairs of blocks of a large one, so a text travels once
+    per group and not once per pair.
+    """
+    roots = components(pairs)
+    group = F.coalesce("root", "a")
+    grouped = pairs.join(roots, pairs["a"] == roots["node"], "left").select("a", "b", group.alias("g"))
+    sizes = roots.groupBy(F.col("root").alias("g")).agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK).alias("blocks"))
+    own = [F.pmod(F.xxhash64(c), F.col("blocks")).cast("int") for c in ("a", "b")]
+    spot = F.struct("g", F.least(*own).alias("low"), F.greatest(*own).alias("high"))
+    placed = store(grouped.join(sizes, "g").select("a", "b", spot.alias("s")))
+    members = placed.select(F.explode(F.array("a", "b")).alias("set_key"), "s").groupBy("set_key").agg(F.collect_set("s").alias("s"))
+    wanted = members.join(sets.select("set_key", "id_key", "row_key"), "set_key")
+    texts = _texts(rows, wanted).select(F.explode("s").alias("s"), F.lit(0).alias("pair"), F.col("set_key").alias("a"), F.lit(None).cast("bigint").alias("b"), "_text")
+    both = texts.unionByName(placed.select("s", F.lit(1).alias("pair"), "a", "b", F.lit(None).cast("string").alias("_text")))
+    both = both.select("s.*", "pair", "a", "b", "_text")
+    both = both.repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "pair")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, now = {}, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            sides = zip(batch.column("text_a"), batch.column("text_b"))
-            good = [linked(tokens_of(x.as_py(), shingle), tokens_of(y.as_py(), shingle), percent) for x, y in sides]
-            yield _edges([(x, y) for x, y, g in zip(a, b, good) if g])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
+            spots = zip(*(batch.column(c).to_pylist() for c in ("g", "low", "high")))
+            rest = zip(batch.column("pair").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("_text"))
+            good = []
+            for spot, (is_pair, a, b, body) in zip(spots, rest):
+                if spot != now:
+                    sets, now = {}, spot
+                if not is_pair:
+                    if a not in sets:
+                        sets[a] = tokens_of(body.as_py(), shingle)
+                elif linked(sets[a], sets[b], percent):
+                    good.append((a, b))
+            yield _edges(good)
+
+    return both.mapInArrow(compare, "a bigint, b bigint")
 
 
 def similar_classes(

@@ -145,11 +145,14 @@ def _located(passages: DataFrame, phrase: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(phrase)
-        for group in groups(batches, ["anchor", "piece"]):
-            least, most = group.column("least").to_pylist(), group.column("most").to_pylist()
-            if len(least) > 1 or least[0] < most[0]:
-                for row in zip(group.column("passage_key").to_pylist(), group.column("passage").to_pylist(), least, most):
-                    shard.add(*row)
+        for part, cuts in groups(batches, ["anchor", "piece"]):
+            least, most = part.column("least").to_numpy(), part.column("most").to_numpy()
+            keys, passages = part.column("passage_key").to_pylist(), part.column("passage")
+            for low, high in zip(cuts.tolist(), cuts.tolist()[1:]):
+                if high - low == 1 and least[low] == most[low]:
+                    continue
+                for k in range(low, high):
+                    shard.add(keys[k], passages[k].as_py(), int(least[k]), int(most[k]))
                 if shard.full():
                     yield packed(list(shard.occurrences()))
                     shard = _Shard(phrase)

@@ -7,7 +7,7 @@ the bytes at which ``bytes.split()`` cuts, so Python and JVM code agree. A null
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,15 @@ def ascii_lower(text: str | Column) -> Column:
     return F.translate(F.col(text) if isinstance(text, str) else text, upper, upper.lower())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, wherever the optimiser moves or copies the expression.
+
+    A filter above a projection is pushed below it with its columns written out; inside a lambda they
+    would then be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
@@ -77,10 +86,10 @@ def hash_windows(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(size):
-        total += mix(words[i : i + n] + _POWERS[(size + i) % 64]) * _POWERS[i]
-    return mix(total)
+    total = words[:n] * _POWERS[0]
+    for i in range(1, size):
+        total += words[i : i + n] * _POWERS[i]
+    return mix(total + _POWERS[size])
 
 
 def store(df: DataFrame) -> DataFrame:
@@ -100,10 +109,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
-    """The rows of each key from a stream that is sorted by ``keys``, as one table per key."""
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups from a stream sorted by ``keys``: a table of some groups, and where each begins (and the last ends)."""
     held: list[pa.RecordBatch] = []
-    last: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -111,13 +119,26 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         for name in keys:
             values = batch.column(name).to_numpy(zero_copy_only=False)
             changed[1:] |= values[1:] != values[:-1]
-        cuts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
-        for low, high in zip(cuts, cuts[1:]):
-            key = tuple(batch.column(name)[low].as_py() for name in keys)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(low, high - low))
+        if held:
+            last = held[-1]
+            changed[0] = any(last.column(k)[last.num_rows - 1] != batch.column(k)[0] for k in keys)
+        cuts = np.flatnonzero(changed)
+        if len(cuts):
+            whole = pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))]) if held or cuts[-1] else None
+            if whole is not None and whole.num_rows:
+                yield whole, _begins(whole, keys)
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
     if held:
-        yield pa.Table.from_batches(held)
+        whole = pa.Table.from_batches(held)
+        yield whole, _begins(whole, keys)
+
+
+def _begins(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    changed = np.ones(table.num_rows, bool)
+    changed[1:] = False
+    for name in keys:
+        values = table.column(name).to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    return np.append(np.flatnonzero(changed), table.num_rows)
