@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outage_spark.llm.text import NOT_ALNUM, ascii_lower, table
+from outage_spark.llm.text import NOT_ALNUM, ascii_lower, bound, table
 
 SHINGLE = 5
 BANDS = 20
@@ -59,10 +59,11 @@ TEMPLATES = {
 }
 
 
-def shingles(text: Column | str) -> Column:
-    """Array of 64-bit hashes of the five-word shingles of a text, in order; empty under five words."""
-    words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), NOT_ALNUM), lambda w: w != "")
-    return _hashes(words)
+def shingled(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep`` and ``all``: 64-bit hashes of the five-word shingles of a text, in order; empty under five words."""
+    lower = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    words = F.filter(F.split(lower, NOT_ALNUM), lambda w: w != "")
+    return rows.select(*keep, bound(words, _hashes).alias("all"))
 
 
 def _hashes(words: Column) -> Column:
@@ -89,7 +90,7 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
         for part, text in enumerate(parts)
     ]
     rows = spark.range(1).select(F.explode(F.array(*texts)).alias("t")).select("t.*")
-    rows = rows.select("license", "part", shingles("text").alias("all"))
+    rows = shingled(rows, "text", "license", "part")
     return rows.select("license", "part", F.array_distinct("all").alias("set"), F.size("all").alias("size"))
 
 
@@ -107,7 +108,7 @@ def license_windows(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEM
     lengths, known = _constants(spark, templates)
     # A literal array, so that a whole text is looked at once before any window is cut.
     table_of_hashes = F.array(*[F.lit(h) for h in known])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), shingles(text).alias("all"))
+    rows = shingled(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", "doc_id")
     rows = rows.where(F.arrays_overlap("all", table_of_hashes))
     cuts = []
     for length in lengths:
@@ -116,9 +117,9 @@ def license_windows(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEM
         cuts.append(F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(length).alias("length"))))
     windows = rows.select("doc_id", "all", F.explode(F.concat(*cuts)).alias("w"))
     windows = windows.select("doc_id", F.col("w.start").alias("start"), F.col("w.length").alias("length"), F.slice("all", F.col("w.start") + 1, F.col("w.length")).alias("window"))
-    windows = windows.where(F.arrays_overlap("window", table_of_hashes)).withColumn("bands", _bands(F.col("window")))
+    windows = windows.where(F.arrays_overlap("window", table_of_hashes)).withColumn("bands", bound(F.col("window"), _bands))
     wanted = template_table(spark, templates)
-    wanted = wanted.select("license", "part", "set", F.col("size").alias("length"), F.explode(F.array_distinct(_bands(F.col("set")))).alias("band"))
+    wanted = wanted.select("license", "part", "set", F.col("size").alias("length"), F.explode(F.array_distinct(bound(F.col("set"), _bands))).alias("band"))
     found = windows.select("doc_id", "start", "length", "window", F.explode(F.array_distinct("bands")).alias("band"))
     # Bounded: BANDS rows per template text.
     pairs = found.join(F.broadcast(wanted), ["length", "band"])

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outage_spark.llm.text import store, table
+from outage_spark.llm.text import bound, store, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -128,22 +128,24 @@ def occurrences(found: DataFrame, row_key: list[str]) -> DataFrame:
     A base span stands as it is. Any other token counts without its outer punctuation, and only if no
     base span overlaps it.
     """
-    spans = F.transform("base", lambda s: F.struct(s.start, s.end, s.value, s.kind))
-    free = F.filter(
-        F.transform(
-            "tokens",
-            lambda t: F.struct(
-                (t.start + F.length(F.regexp_extract(t.value, r"^[^\p{L}\p{N}+@]*+", 0))).alias("start"),
-                (t.end - F.length(F.regexp_extract(t.value, r"[^\p{L}\p{N}]*$", 0))).alias("end"),
-                F.regexp_replace(t.value, r"^[^\p{L}\p{N}+@]++|[^\p{L}\p{N}]+$", "").alias("value"),
-                F.lit(None).cast("int").alias("kind"),
+
+    def both(base: Column) -> Column:
+        spans = F.transform(base, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), s.kind.alias("kind")))
+        free = F.filter(
+            F.transform(
+                "tokens",
+                lambda t: F.struct(
+                    (t.start + F.length(F.regexp_extract(t.value, r"^[^\p{L}\p{N}+@]*+", 0))).alias("start"),
+                    (t.end - F.length(F.regexp_extract(t.value, r"[^\p{L}\p{N}]*$", 0))).alias("end"),
+                    F.regexp_replace(t.value, r"^[^\p{L}\p{N}+@]++|[^\p{L}\p{N}]+$", "").alias("value"),
+                    F.lit(None).cast("int").alias("kind"),
+                ),
             ),
-        ),
-        lambda t: (t.end > t.start) & ~F.exists("base", lambda s: (s.start < t.end) & (s.end > t.start)),
-    )
-    rows = found.select(*row_key, "_text", _all().alias("base"), "tokens")
-    rows = rows.where((F.size("base") > 0) | (F.size("tokens") > 0))
-    rows = rows.select(*row_key, "_text", F.explode(F.concat(spans, free)).alias("s"))
+            lambda t: (t.end > t.start) & ~F.exists(base, lambda s: (s.start < t.end) & (s.end > t.start)),
+        )
+        return F.concat(spans, free)
+
+    rows = found.select(*row_key, "_text", F.explode(bound(_all(), both)).alias("s"))
     # The context is looked for near the span only: a word of more than 40 characters is cut there.
     before = F.substring(F.col("_text"), F.greatest(F.col("s.start") - 41, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(41)))
     after = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(41))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outage_spark.llm.text import BLANKS, words_of
+from outage_spark.llm.text import BLANKS, bound, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals")
 
@@ -46,39 +46,45 @@ def _tail(array: Column) -> Column:
     return F.slice(array, F.lit(2), F.greatest(F.size(array), F.lit(1)))
 
 
+def _windows(words: Column) -> Column:
+    """Hashes of the three-word windows, in order; null if there are none."""
+    places = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3))
+    return F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def _covered(windows: Column) -> Column:
+    """Number of words in windows that are found twice; null if none is."""
+    # Only a text with such a window is sorted: windows by (hash, place), so equal ones are neighbours.
+    twice = F.size(F.array_distinct(windows)) < F.size(windows)
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def places(rows: Column) -> Column:
+        pairs = F.zip_with(rows, _tail(rows), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
+
+    def words(at: Column) -> Column:
+        # A window covers three words, fewer of them its own if the next one begins before it ends.
+        own = F.zip_with(at, _tail(at), lambda a, b: F.coalesce(F.least(F.lit(3), b - a), F.lit(3)))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+    return F.when(twice, bound(bound(placed, places), words))
+
+
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the measurements of every whole text."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, body.alias("_text"), words_of(body).alias("_words"))
-    n = F.size("_words")
-    windows = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-        ),
-    )
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     text_length = F.length("_text")
     rows = rows.select(
         *keep,
-        n.cast("bigint").alias("n_words"),
+        F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.translate("_text", " \t\n\x0b\f\r", "")).cast("bigint").alias("word_chars"),
         (text_length - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
         (text_length - F.length(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint").alias("n_capitals"),
         lines.alias("_lines"),
-        windows.alias("_windows"),
+        bound(bound(F.col("_words"), _windows), _covered).alias("_covered"),
     )
-    # Only a text with a window found twice is sorted: windows by (hash, place), so equal ones are neighbours.
-    twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("_placed", F.when(twice, placed))
-    pairs = F.zip_with("_placed", _tail(F.col("_placed")), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)))
-    places = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    rows = rows.withColumn("_places", places)
-    # A window covers three words, fewer of them its own if the next one begins before it ends.
-    own = F.zip_with("_places", _tail(F.col("_places")), lambda a, b: F.coalesce(F.least(F.lit(3), b - a), F.lit(3)))
-    covered = F.aggregate(own, F.lit(0).cast("bigint"), lambda total, x: total + x)
     return rows.select(
         *keep,
         "n_words",
@@ -86,7 +92,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         "n_symbols",
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        F.coalesce("_covered", F.lit(0)).cast("bigint").alias("n_repeat_words"),
         "n_capitals",
     )
 
