@@ -246,8 +246,9 @@ def _with_hits(docs: DataFrame, hits: DataFrame, doc_id: str) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those that hold a window of a benchmark item."""
     hits = store(find_contamination(docs, items, doc_id, text, **options))
-    rows = docs.withColumn("_row_key", F.xxhash64(text))
-    return _with_hits(rows, hits, doc_id).where(F.col("_hit_n_hit").isNull()).select(*docs.columns)
+    # The row as one value, so that its names cannot clash with those of the hits.
+    rows = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_row_key"))
+    return _with_hits(rows, hits, "_id").where(F.col("_hit_n_hit").isNull()).select("doc.*")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ What is frequent comes from counts over all documents in a fixed number of hash
 decide the order; the result is exact whatever they are.
 
 Large families of near copies would make nearly every pair a candidate. Therefore classes are formed
-first: documents with the same least hash are compared in blocks, by two hash orders with different
-blocks, with whole sets. From then on only index entries that still hold two classes matter, and only
+first: documents with the same two least hashes are compared in blocks, by two hash orders with
+different blocks, with whole sets. From then on only index entries that still hold two classes matter, and only
 pairs across classes are compared. A bound on the overlap (token counts in hash bins) removes pairs that
 only share a passage. Entries of any size are cut into block pairs, so no task holds a whole one.
 
@@ -69,6 +69,12 @@ def _bins(tokens: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def _least_two(ordered: np.ndarray) -> int:
+    """One value for the two smallest hashes; sets that only share a common token rarely agree in it."""
+    both = mix(ordered[:2])
+    return int(_signed(both[:1] ^ (both[-1:] * np.uint64(3)))[0])
+
+
 def _index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Index keys of a set; see the module's text."""
     n = len(tokens)
@@ -105,17 +111,17 @@ def _first_pass(rows: DataFrame, shingle: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = np.zeros(CELLS, np.int64), set()
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, fresh = [], [], []
             for body in batch.column(2):
                 tokens = tokens_of(body.as_py(), shingle)
                 key = _set_key(tokens)
                 keys.append(key)
                 sizes.append(len(tokens))
-                if key not in seen:
+                if len(tokens) and key not in seen:
                     seen.add(key)
-                    cells += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=CELLS) if len(tokens) > 65536 else 0
-                    if len(tokens) <= 65536:
-                        np.add.at(cells, (tokens >> np.uint64(44)).astype(np.int64), 1)
+                    fresh.append((tokens >> np.uint64(44)).astype(np.int64))
+            if fresh:
+                cells += np.bincount(np.concatenate(fresh), minlength=CELLS)
             empty = pa.nulls(len(keys), pa.int64())
             columns = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), empty, empty]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
@@ -149,7 +155,7 @@ def _second_pass(rows: DataFrame, frequent: np.ndarray, percent: int, shingle: i
                 if not len(tokens) or key in seen:
                     continue
                 seen.add(key)
-                least = int(_signed(tokens[:1])[0]), int(_signed(np.min(mix(tokens), keepdims=True))[0])
+                least = _least_two(tokens), _least_two(np.sort(mix(tokens)))
                 out.append((key, len(tokens), *least, _bins(tokens), _signed(_index_keys(tokens, common, percent))))
             columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _arrow(schema))], schema.names)
@@ -246,7 +252,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _class_blocks(rows: DataFrame, sets: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Edges found by comparing sets with the same least hash, in blocks."""
+    """Edges found by comparing sets with the same two least hashes, in blocks."""
     spots = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"least_{j}").alias("least")) for j in (1, 2)]))
     members = sets.select("set_key", "id_key", "row_key", spots.alias("s")).select("set_key", "id_key", "row_key", "s.*")
     crowded = members.groupBy("j", "least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
@@ -390,10 +396,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
         (F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.struct("id_key", "row_key")).alias("alone")
     ).agg(F.min(F.struct(F.col("id_key") == NO_ID, "id_key", "row_key")).alias("r"))
     kept = best.select("r.id_key", "r.row_key").distinct()
-    keyed = docs.withColumns(
-        {"id_key": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), "row_key": F.xxhash64(text)}
+    # The row as one value, so that its names cannot clash with the keys.
+    keyed = docs.select(
+        F.struct("*").alias("doc"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("id_key"), F.xxhash64(text).alias("row_key")
     )
-    return lookup_join(keyed, kept, ["id_key", "row_key"], "inner").dropDuplicates(["id_key", "row_key"]).select(*docs.columns)
+    return lookup_join(keyed, kept, ["id_key", "row_key"], "inner").dropDuplicates(["id_key", "row_key"]).select("doc.*")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

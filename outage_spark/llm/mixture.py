@@ -166,7 +166,7 @@ def mix(
     seed: int = 7,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """All rows of ``docs`` with ``copies`` and their source's ``source_size`` and ``target``.
+    """All rows of ``docs`` with ``copies`` and their source's ``source_size`` and ``target`` (columns of these names are replaced).
 
     ``key`` are the columns whose hash deals rows to blocks; rows equal in them share one block, which
     is read as a stream and may be of any length.
@@ -221,7 +221,7 @@ def mix(
     for more in done[1:]:
         out = out.unionByName(more)
     return out.select(
-        *docs.columns,
+        *[c for c in docs.columns if c not in ("copies", "source_size", "target")],
         (F.col("_mix_base") + F.col("_mix_copies")).cast("bigint").alias("copies"),
         F.col("_mix_source_size").alias("source_size"),
         F.col("_mix_target").alias("target"),

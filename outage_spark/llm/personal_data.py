@@ -207,7 +207,7 @@ def bootstrap(
 
 def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """``keep``, ``base`` and ``added``: arrays of (kind, start, end, value), kind as a number of KINDS."""
-    keyed = docs.select(*keep, text, F.xxhash64(text).alias("_row"))
+    keyed = docs.select(*keep, *([] if text in keep else [text]), F.xxhash64(text).alias("_row"))
     found = base_spans(keyed, text, (*keep, "_row"))
     key = [keep[0], "_row"]
     seen = store(occurrences(found, key))
@@ -225,19 +225,20 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
     return joined.select(*keep, "base", F.coalesce("added", empty).alias("added"))
 
 
-def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with every span, base and added, replaced by its kind in brackets.
 
     Overlapping spans are merged and named after the first. A null text stays null.
     """
-    columns = docs.columns
-    found = find_personal_data(docs, text, tuple(columns), **options)
+    # The row as one value, so that its names cannot clash with those of the spans.
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_body"), F.struct("*").alias("_doc"))
+    found = find_personal_data(rows, "_body", ("_id", "_body", "_doc"), **options)
     spans = F.array_sort(
         F.transform(F.concat("base", "added"), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
     )
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    body = F.col(text)
+    body = F.col("_body")
     cut = F.aggregate(
         spans,
         start,
@@ -251,7 +252,7 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     rows = found.withColumn("_cut", F.when(F.size("base") + F.size("added") > 0, cut))
     rest = F.substring(body, F.col("_cut.at") + 1, F.length(body))
     clean = F.when(F.col("_cut").isNull(), body).otherwise(F.concat(F.array_join("_cut.parts", ""), rest))
-    return rows.select(*[clean.alias(c) if c == text else F.col(c) for c in columns])
+    return rows.select(F.col("_doc").withField(f"`{text}`", clean).alias("_doc")).select("_doc.*")
 
 
 def _joined(spans: Column) -> Column:

@@ -208,6 +208,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ph
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase: int = PHRASE) -> DataFrame:
     """``docs`` with ``kept_text`` (kept words joined by one blank, null for null), ``n_words`` and ``n_removed``."""
     by_text = find_repeats(docs, doc_id, text, phrase)
+    docs = docs.drop("kept_text", "n_words", "n_removed")
     by_text = by_text.select(F.col("row_key").alias("_row_key"), "first_id", F.col("spans").alias("_spans"))
     rows = docs.withColumn("_row_key", F.xxhash64(text))
     copy = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)) > F.col("first_id")
