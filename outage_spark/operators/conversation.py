@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outage_spark.operators.spread import OrderedRows, concat_text
+from outage_spark.operators.spread import OrderedRows, concat_text, lookup_join, top_per_key
 
 SEP = "\n"
 
@@ -16,9 +16,35 @@ def clean_turns(conv: DataFrame) -> DataFrame:
 
 
 def pending_turns(conv: DataFrame) -> DataFrame:
-    """Last turn of every chat that waits for an answer, that is, ends on the user."""
-    last = clean_turns(conv).groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "text"), "turn").alias("_last"))
-    return last.select("conv_id", "_last.*").where(F.col("role") == "user").drop("role")
+    """Last turn of every chat that waits for an answer: its last message, well-formed or not, is the user's."""
+    rows = conv.select("conv_id", "turn", "role", "text")
+    last = top_per_key(rows, ["conv_id"], [F.desc("turn"), F.desc("role"), F.desc("text")], 1, "_rank")
+    return last.where(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+def pending_context(conv: DataFrame, part_chars: int = 1_000_000, runs: int | None = None) -> DataFrame:
+    """The whole earlier transcript of every pending chat, in numbered parts (see ``join_parts``).
+
+    Needed once per chat that is answered, hence as large as those chats and no larger. A chat without
+    earlier turns has one empty part 0.
+    """
+    pending = pending_turns(conv).select("conv_id", F.col("turn").alias("_asked"))
+    chats = lookup_join(clean_turns(conv), pending, ["conv_id"], "inner")
+    earlier = chats.where(F.col("turn") < F.col("_asked")).drop("_asked")
+    parts = concat_text(earlier, ["conv_id"], ["turn"], "text", SEP, part_chars, runs)
+    rows = pending.join(parts, "conv_id", "left")
+    return rows.select(
+        "conv_id",
+        F.col("_asked").alias("turn"),
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("text", F.lit("")).alias("context"),
+    )
+
+
+def join_parts(parts: DataFrame, keys: list[str], text: str, sep: str = SEP) -> DataFrame:
+    """Numbered parts put together again, for texts that fit into one row."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", F.col(text).alias("t")))), lambda p: p.t)
+    return parts.groupBy(*keys).agg(F.array_join(ordered, sep).alias(text))
 
 
 def question_answer_pairs(conv: DataFrame, runs: int | None = None) -> DataFrame:
@@ -67,12 +93,14 @@ def context_turns(conv: DataFrame, max_turns: int | None = None, runs: int | Non
     return joined.select("conv_id", "turn", "role", "context_turns", "context_chars", text.alias("recent"))
 
 
-def append_answers(conv: DataFrame, answers: DataFrame) -> DataFrame:
-    """Add (conv_id, text) answers as assistant turns after the last turn of their chat."""
+def append_answers(conv: DataFrame, answers: DataFrame, order=("text",), runs: int | None = None) -> DataFrame:
+    """Add (conv_id, text) answers as assistant turns after the last turn of their chat, in the given order."""
     last = conv.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    turns = answers.join(last, "conv_id", "left").select(
+    tied = answers.withColumn("_tie", F.monotonically_increasing_id())
+    numbered = OrderedRows(tied, ["conv_id"], [*order, "_tie"], runs).with_number("_no").rows
+    turns = lookup_join(numbered, last, ["conv_id"], "left").select(
         "conv_id",
-        (F.coalesce("_last", F.lit(-1)) + 1).cast("bigint").alias("turn"),
+        (F.coalesce("_last", F.lit(-1)) + F.col("_no")).cast("bigint").alias("turn"),
         F.lit("assistant").alias("role"),
         "text",
     )

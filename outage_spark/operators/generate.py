@@ -19,6 +19,7 @@ from outage_spark.functions.scalars import (
     time_features,
 )
 from outage_spark.operators.lookup import postcode_dimension
+from outage_spark.operators.spread import assign_ids, lookup_join, settle
 from outage_spark.schemas import ADVERSE_CONDITIONS, CONDITIONS, REASONS
 
 # Hours before the staff adjustment, (adverse weather, fine weather), per variant. Fixed values.
@@ -34,12 +35,10 @@ def row_ids(spark: SparkSession, n: int) -> DataFrame:
 
 
 def numbered_postcodes(postcodes: DataFrame) -> DataFrame:
-    """Postcodes numbered 0..n-1 with their staff; at most 10,000 rows, so one array holds them."""
-    entry = F.struct("postcode", "suburb", (F.lit(STAFF_LOW) + _staff_draw("postcode")).cast("int").alias("staff"))
-    packed = postcode_dimension(postcodes).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    return packed.select(F.posexplode("all").alias("place", "entry")).select(
-        F.col("place").cast("bigint").alias("place"), "entry.*"
-    )
+    """Postcodes numbered 0..n-1 in their order, with their staff."""
+    staff = (F.lit(STAFF_LOW) + _staff_draw("postcode")).cast("int")
+    numbered = assign_ids(postcode_dimension(postcodes), ["postcode"], start=0, name="place")
+    return settle(numbered.select("place", "postcode", "suburb", staff.alias("staff")))
 
 
 def _staff_draw(postcode: str) -> Column:
@@ -50,7 +49,7 @@ def _with_postcode(ids: DataFrame, postcodes: DataFrame, stream: int) -> DataFra
     numbered = numbered_postcodes(postcodes)
     n = numbered.count()
     placed = ids.withColumn("place", hash_int("row_id", stream, n))
-    return placed.join(F.broadcast(numbered), "place").drop("place")
+    return lookup_join(placed, numbered, ["place"], "inner", settled=True).drop("place")
 
 
 def _minutes(days: Column, hours: Column, minutes: Column) -> Column:

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outage_spark.functions.scalars import valid_postcode
-from outage_spark.operators.spread import first_per_key
+from outage_spark.operators.spread import lookup_join
 from outage_spark.schemas import NOT_SUPPORTED
 
 
 def postcode_dimension(postcodes: DataFrame) -> DataFrame:
-    """One row per valid postcode. Four digits, so never more than 10,000 rows: safe to broadcast."""
-    valid = postcodes.where(valid_postcode("postcode")).select("postcode", "suburb")
-    return first_per_key(valid, ["postcode"], ["suburb"])
+    """One row per postcode, whatever its form; of several suburbs the first in the alphabet.
+
+    A table has no first row, so the order of a file cannot decide.
+    """
+    known = postcodes.where(F.col("postcode").isNotNull()).select("postcode", "suburb")
+    return known.groupBy("postcode").agg(F.min("suburb").alias("suburb"))
 
 
 def with_suburb(df: DataFrame, postcodes: DataFrame) -> DataFrame:
     """Left join the suburb on; rows with an unknown postcode keep a null suburb."""
-    return df.join(F.broadcast(postcode_dimension(postcodes)), ["postcode"], "left")
+    return lookup_join(df, postcode_dimension(postcodes), ["postcode"], "left")
 
 
 def suburb_for(requests: DataFrame, postcodes: DataFrame, default: str = NOT_SUPPORTED) -> DataFrame:
@@ -29,8 +31,9 @@ def suburb_for(requests: DataFrame, postcodes: DataFrame, default: str = NOT_SUP
 
 def staff_lookup(df: DataFrame, staff: DataFrame, default: int | None = None) -> DataFrame:
     """Attach the field staff of the row's postcode."""
-    table = first_per_key(staff.where(valid_postcode("postcode")).select("postcode", "staff"), ["postcode"], ["staff"])
-    joined = df.join(F.broadcast(table), ["postcode"], "left")
+    known = staff.where(F.col("postcode").isNotNull())
+    table = known.groupBy("postcode").agg(F.min("staff").alias("staff"))
+    joined = lookup_join(df, table, ["postcode"], "left")
     return joined if default is None else joined.fillna(default, ["staff"])
 
 

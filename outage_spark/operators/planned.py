@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outage_spark.functions.text import outage_line
-from outage_spark.operators.spread import OrderedRows, concat_text, lookup_join, settle
+from outage_spark.operators.spread import OrderedRows, concat_text, first_per_key, lookup_join, settle
 
 ASK = ["postcode", "start_date", "end_date"]
 
@@ -197,22 +197,36 @@ def _day_totals(requests: DataFrame, planned: DataFrame) -> DataFrame:
     return totals.where("asked > 0").drop("asked")
 
 
-def planned_summary(requests: DataFrame, planned: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
-    """The reply text per ask: one line per outage in start order, in numbered parts."""
+NO_OUTAGES = "No planned outages in this period."
+
+
+def planned_summary(
+    requests: DataFrame, planned: DataFrame, part_chars: int = 1_000_000, default: str = NO_OUTAGES
+) -> DataFrame:
+    """The reply text per ask: one line per outage in start order, in numbered parts.
+
+    Every ask has a part 0; one without outages, also a range that runs backwards, has the default text.
+    """
     lined = planned.withColumn("line", outage_line("start_ts", "end_ts", "reason"))
-    lines = planned_matches(requests, lined, ("outage_id", "start_ts", "end_ts", "line"))
-    spans = _spans(lined, F.sum(F.length("line") + 1).alias("_chars"))
-    weights = _meet(requests, spans, ["_chars"]).groupBy(*ASK).agg(F.sum("_chars").alias("_weight"))
-    replies = concat_text(lines, ASK, ["start_ts", "outage_id"], "line", "\n", part_chars, weights=weights)
-    return replies.select(*ASK, "part", F.col("pieces").alias("n_lines"), F.col("line").alias("reply"))
+    lines = settle(planned_matches(requests, lined, ("outage_id", "start_ts", "end_ts", "line")))
+    replies = concat_text(lines, ASK, ["start_ts", "outage_id"], "line", "\n", part_chars)
+    asked = requests.select(*[F.col(c).alias(f"_ask_{c}") for c in ASK]).distinct()
+    same = F.lit(True)
+    for c in ASK:
+        same = same & F.col(c).eqNullSafe(F.col(f"_ask_{c}"))
+    return asked.join(replies, same, "left").select(
+        *[F.col(f"_ask_{c}").alias(c) for c in ASK],
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("pieces", F.lit(0).cast("bigint")).alias("n_lines"),
+        F.coalesce("line", F.lit(default)).alias("reply"),
+    )
 
 
 def next_planned(planned: DataFrame, as_of) -> DataFrame:
     """First planned outage per postcode that starts at or after ``as_of``."""
     later = planned.where(F.col("start_ts") >= F.lit(as_of).cast("timestamp_ntz"))
-    row = F.struct("outage_id", "start_ts", "end_ts", "reason")
-    best = later.groupBy("postcode").agg(F.min_by(row, F.struct("start_ts", "outage_id")).alias("_next"))
-    return best.select("postcode", "_next.*")
+    rows = later.select("postcode", "outage_id", "start_ts", "end_ts", "reason")
+    return first_per_key(rows, ["postcode"], ["start_ts", "outage_id"])
 
 
 def planned_rollup(planned: DataFrame) -> DataFrame:

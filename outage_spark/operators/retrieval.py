@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outage_spark.functions.text import fill_template
-from outage_spark.operators.spread import BROADCAST_BYTES, is_small, lookup_join, settle, top_per_key
+from outage_spark.operators.spread import BROADCAST_BYTES, is_small, lookup_join, settle, size_in_blocks, top_per_key
 
 HITS = "question_id bigint, vec_id bigint, score double"
 QUESTION_SLICE = 512
@@ -32,7 +33,7 @@ PROMPT = (
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(array), -1)
+    return flat.reshape(len(array), -1) if len(array) else np.empty((0, 0))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +104,8 @@ def similar(
     place. A larger one is cut into blocks, as is the corpus, and block pairs are shuffled together.
     """
     asked, stored = settle(_vectors(questions, vec_id, vec)), _vectors(corpus, vec_id, vec)
+    if asked.isEmpty():
+        return _ranked(asked.sparkSession.createDataFrame([], HITS), k)
     hits = _scan(asked, stored, k) if is_small(asked, max_bytes) else _grid(asked, stored, k)
     return _ranked(hits, k)
 
@@ -173,13 +176,14 @@ class VectorIndex:
 
 
 def build_index(
-    corpus: DataFrame, n_lists: int = 16, vec_id: str = "vec_id", vec: str = "embedding", seed: int = 7,
-    path: str | None = None, train_fraction: float = 1.0,
+    corpus: DataFrame, n_lists: int | None = None, vec_id: str = "vec_id", vec: str = "embedding", seed: int = 7,
+    path: str | None = None,
 ) -> VectorIndex:
     """Group vectors into ``n_lists`` lists by k-means; with ``path``, store them one folder per list.
 
-    Stored lists are partitions, so a search reads only the lists it probes. ``train_fraction`` of
-    the rows place the centres; every row is listed, and exact searches do not depend on the centres.
+    Stored lists are partitions, so a search reads only the lists it probes. Without ``n_lists`` there
+    are as many as the square root of the corpus, so lists grow no faster than their number does. All
+    rows place the centres; exact searches do not depend on them.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -187,7 +191,7 @@ def build_index(
     stored = _vectors(corpus, vec_id, vec)
     features = stored.withColumn("features", array_to_vector(F.col("v").cast("array<double>")))
     training = features.where(F.exists("v", lambda x: x != 0))  # a zero vector has no direction
-    training = training if train_fraction >= 1.0 else training.sample(train_fraction, seed)
+    n_lists = n_lists or max(1, math.isqrt(training.count()))
     model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(training)
     centres = np.array(model.clusterCenters())
     centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
@@ -226,16 +230,26 @@ def search_index(
     exact: bool = True,
     vec_id: str = "vec_id",
     vec: str = "embedding",
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Top k per question from the nearest ``n_probe`` lists, then from every list that could still hold a better one.
 
     The angle between question and centre, less the list's widest angle, bounds the best score in a
     list, so the second pass makes the answer equal to a full scan. ``exact=False`` stops after the
-    first pass. Questions beyond the broadcast limit are answered by the block join instead.
+    first pass. Questions beyond the broadcast limit are answered in blocks, each in the same way.
     """
     asked = settle(_vectors(questions, vec_id, vec))
-    if not is_small(asked):
-        return _ranked(_grid(asked, index.table.select("vec_id", "v"), k), k)
+    blocks = size_in_blocks(asked, max_bytes)
+    if blocks == 1:
+        return _search_block(index, asked, k, n_probe, exact)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    found = [_search_block(index, asked.where(block == b), k, n_probe, exact) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search_block(index: VectorIndex, asked: DataFrame, k: int, n_probe: int, exact: bool) -> DataFrame:
+    if asked.isEmpty():
+        return _ranked(asked.sparkSession.createDataFrame([], HITS), k)
     question_ids, matrix = _local(asked)
     closeness = matrix @ index.centres.T
     n_probe = min(n_probe, len(index.centres))

@@ -14,6 +14,9 @@ Two problems keep coming back in this library:
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -32,9 +35,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="outage_spark_")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -173,13 +177,16 @@ def _split_hot(
 
 
 def _row_bytes(table: DataFrame) -> Column:
-    """Size of a row: 16 bytes per fixed-width column, the real length of text and arrays."""
+    """Size of a row: 16 bytes per fixed-width column, the real length of text and of nested values."""
     width = F.lit(16 * len(table.columns)).cast("bigint")
     for field in table.schema.fields:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
-            width = width + F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+        name, kind = f"`{field.name}`", field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            width = width + F.coalesce(F.size(name), F.lit(0)) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
     return width
 
 
@@ -189,6 +196,12 @@ def is_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return (size or 0) <= max_bytes
 
 
+def size_in_blocks(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> int:
+    """How many parts of ``max_bytes`` a settled table has; at least one."""
+    size = table.agg(F.sum(_row_bytes(table))).first()[0] or 0
+    return max(1, -(-size // max_bytes))
+
+
 def lookup_join(
     left: DataFrame,
     table: DataFrame,
@@ -237,11 +250,8 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in the given order, as a partial aggregate rather than a sort."""
-    keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return best.select(*keys, "_row.*")
+    """First row per key in the given order; each map task sends one row per key."""
+    return top_per_key(df, keys, [F.col(c) for c in order], 1, "_rank").drop("_rank")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -17,6 +17,7 @@ def weather_asof(
 
     Both sides become one sorted table in which the last observation is carried forward, also over
     partition borders, so neither a busy postcode nor a busy hour ends up in one task.
+    A request without a postcode has no weather; observations without one are not read.
     ``tolerance`` (an interval such as ``"2 hours"``) drops observations that are too old.
     """
     asked = requests.select(
@@ -26,7 +27,7 @@ def weather_asof(
         F.struct(*requests.columns).alias("_request"),
         F.xxhash64(*requests.columns).alias("_tie"),
     )
-    seen = observations.select(
+    seen = observations.where(F.col("postcode").isNotNull()).select(
         "postcode",
         F.col("observed_at").alias("_at"),
         F.lit(0).alias("_side"),

@@ -274,6 +274,11 @@ def pending_conversations(spark, d):
     return conversation.pending_turns(_chat(spark, d))
 
 
+@query
+def pending_context(spark, d):
+    return conversation.pending_context(_chat(spark, d))
+
+
 @query
 def planned_rollup(spark, d):
     return planned.planned_rollup(standins.planned(spark, d))
@@ -295,7 +300,7 @@ def question_answer_pairs(spark, d):
 
 @query
 def context_turns(spark, d):
-    return conversation.context_turns(_chat(spark, d), max_turns=4)
+    return conversation.context_turns(_chat(spark, d))
 
 
 @query
@@ -501,28 +506,28 @@ def stream_running_hours(spark, d):
 @query
 def stream_outage_status(spark, d):
     asked = standins.requests_from_events(_event_stream(spark, d))
-    status = jobs.triage_stream(
-        asked, standins.postcodes(spark, d), standins.planned(spark, d), standins.history(spark, d)
-    )
-    return jobs.run_to_end(status).drop("batch_id")
+    home = jobs.scratch_home(spark)
+    tables = lambda: (standins.postcodes(spark, d), standins.planned(spark, d), standins.history(spark, d))
+    jobs.triage_stream(asked, tables, home).awaitTermination()
+    return spark.read.parquet(f"{home}/out").drop("batch_id")
 
 
 @query
 def stream_windowed_counts(spark, d):
     counted = jobs.windowed_counts(_event_stream(spark, d), "ts", "1 day", keys=["event_type"])
-    return jobs.run_to_end(counted).drop("batch_id")
+    return jobs.run_windows(counted, ["event_type"])
 
 
 @query
 def stream_sliding_counts(spark, d):
     counted = jobs.windowed_counts(_event_stream(spark, d), "ts", "6 hours", "3 hours")
-    return jobs.run_to_end(counted).drop("batch_id")
+    return jobs.run_windows(counted)
 
 
 @query
 def stream_session_counts(spark, d):
     counted = jobs.session_counts(_event_stream(spark, d), "ts", "30 minutes", keys=["user_id"])
-    return jobs.run_to_end(counted).drop("batch_id")
+    return jobs.run_windows(counted, ["user_id"], sessions=True)
 
 
 @query
@@ -531,20 +536,22 @@ def stream_weather_asof(spark, d):
     seen = standins.observations_from_events(_event_stream(spark, d))
     home = jobs.scratch_home(spark)
     jobs.weather_stream(asked, seen, home).awaitTermination()
-    return spark.read.parquet(f"{home}/out").drop("batch_id")
+    return jobs.latest_rows(spark.read.parquet(f"{home}/out"), ["request_id"])
 
 
 @query
 def stream_conversation_context(spark, d):
     turns = _stream(spark, d, "conversations", schemas.TURNS)
-    return jobs.run_to_end(jobs.conversation_state(turns)).drop("batch_id")
+    home = jobs.scratch_home(spark)
+    jobs.conversation_context(turns, home).awaitTermination()
+    return jobs.latest_rows(spark.read.parquet(f"{home}/out"), ["conv_id", "turn"])
 
 
 @query
 def stream_deduped_users(spark, d):
     """Each (user, event type) once per day: re-sent pairs within the delay are dropped."""
     stream = _event_stream(spark, d).select(
-        "user_id", "event_type", F.to_date("ts").alias("day"), F.col("ts").cast("timestamp").alias("ts")
+        "user_id", "event_type", F.to_date("ts").alias("day"), jobs.zoned("ts").alias("ts")
     )
     kept = jobs.dedupe_stream(stream, ["user_id", "event_type", "day"], "ts", "31 days")
     return jobs.run_to_end(kept).select("user_id", "event_type", "day")

@@ -259,7 +259,9 @@ ORACLES: dict[str, str] = {
         placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY postcode, start_date, end_date
             ORDER BY start_ts, outage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines)
         SELECT postcode, start_date, end_date, CAST(before // 1000000 AS INTEGER) AS part, count(*) AS n_lines,
-            string_agg(line, chr(10) ORDER BY start_ts, outage_id) AS reply FROM placed GROUP BY 1, 2, 3, 4""",
+            string_agg(line, chr(10) ORDER BY start_ts, outage_id) AS reply FROM placed GROUP BY 1, 2, 3, 4
+        UNION ALL SELECT DISTINCT postcode, start_date, end_date, CAST(0 AS INTEGER), 0, 'No planned outages in this period.'
+        FROM requests ANTI JOIN matches USING (postcode, start_date, end_date)""",
     "pending_conversations": """SELECT conv_id, turn, text FROM conversations c
         WHERE role = 'user' AND turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id)""",
     "planned_rollup": _with(PLANNED)
@@ -273,9 +275,14 @@ ORACLES: dict[str, str] = {
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""",
     "context_turns": """SELECT conv_id, turn, role, row_number() OVER w - 1 AS context_turns,
         CAST(greatest(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0)
-            AS BIGINT) AS context_chars,
-        coalesce(string_agg(text, chr(10)) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS recent
+            AS BIGINT) AS context_chars
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "pending_context": """WITH last AS (
+            SELECT conv_id, turn FROM conversations c
+            WHERE role = 'user' AND turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id))
+        SELECT last.conv_id, last.turn, CAST(0 AS INTEGER) AS part,
+            coalesce(string_agg(text, chr(10) ORDER BY c.turn), '') AS context
+        FROM last LEFT JOIN conversations c ON c.conv_id = last.conv_id AND c.turn < last.turn GROUP BY ALL""",
     "surrogate_id": f"SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS id, doc_id, chunk_no FROM ({FIXED_CHUNKS})",
     "top_k_global": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10",
     "next_planned": _with(PLANNED)
@@ -346,22 +353,21 @@ ORACLES: dict[str, str] = {
     "stream_outage_status": STATUS,
     "stream_windowed_counts": f"""WITH placed AS (SELECT date_trunc('day', ts) AS window_start, event_type FROM events)
         SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n FROM placed
-        GROUP BY ALL HAVING window_start + INTERVAL 1 DAY <= {WATERMARK}""",
+        GROUP BY ALL""",
     "stream_sliding_counts": f"""WITH placed AS (
             SELECT time_bucket(INTERVAL 3 HOUR, ts) - to_hours(3 * unnest([0, 1])) AS window_start FROM events)
         SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS n FROM placed
-        GROUP BY ALL HAVING window_start + INTERVAL 6 HOUR <= {WATERMARK}""",
+        GROUP BY ALL""",
     "stream_session_counts": f"""WITH gaps AS (
             SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE
                 THEN 0 ELSE 1 END AS first FROM events),
         sessions AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM gaps)
         SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM sessions
-        GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= {WATERMARK}""",
+        GROUP BY user_id, session""",
     "stream_weather_asof": WEATHER_ASOF,
     "stream_conversation_context": """SELECT conv_id, turn, row_number() OVER w - 1 AS context_turns,
         CAST(greatest(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0)
-            AS BIGINT) AS context_chars,
-        coalesce(string_agg(text, chr(10)) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS recent
+            AS BIGINT) AS context_chars
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "stream_deduped_users": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
 }

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from outage_spark import schemas
 from outage_spark.functions.scalars import basename
 from outage_spark.functions.text import separator_chunks
+from outage_spark.operators.conversation import clean_turns
 from outage_spark.operators.ingest import chunk_ids, explode_chunks
-from outage_spark.operators.spread import checkpoint_folder, settle
+from outage_spark.operators.spread import OrderedRows, checkpoint_folder, lookup_join, settle, top_per_key
 from outage_spark.operators.weather import OBSERVATION, weather_asof
 from outage_spark.plans.triage import outage_status
 
@@ -78,7 +78,7 @@ def windowed_counts(
     stream: DataFrame, ts: str, size: str, slide: str | None = None, delay: str = "1 hour", keys=()
 ) -> DataFrame:
     """Counts per tumbling or sliding window; rows later than ``delay`` are dropped."""
-    timed = stream.withColumn(ts, _zoned(ts)).withWatermark(ts, delay)
+    timed = stream.withColumn(ts, zoned(ts)).withWatermark(ts, delay)
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     counted = timed.groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(_ntz("w.start").alias("window_start"), _ntz("w.end").alias("window_end"), *keys, "n")
@@ -86,7 +86,7 @@ def windowed_counts(
 
 def session_counts(stream: DataFrame, ts: str, gap: str, delay: str = "1 hour", keys=()) -> DataFrame:
     """Counts per session of rows that are less than ``gap`` apart."""
-    timed = stream.withColumn(ts, _zoned(ts)).withWatermark(ts, delay)
+    timed = stream.withColumn(ts, zoned(ts)).withWatermark(ts, delay)
     counted = timed.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(_ntz("w.start").alias("window_start"), _ntz("w.end").alias("window_end"), *keys, "n")
 
@@ -96,7 +96,8 @@ def session_counts(stream: DataFrame, ts: str, gap: str, delay: str = "1 hour",
 EPOCH = "1970-01-01 00:00:00"
 
 
-def _zoned(name: str) -> Column:
+def zoned(name: str) -> Column:
+    """A time without zone as one in UTC."""
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col(name)))
 
 
@@ -107,18 +108,43 @@ def _ntz(name: str) -> Column:
 # Joins
 
 
-def triage_stream(requests: DataFrame, postcodes: DataFrame, planned: DataFrame, history: DataFrame) -> DataFrame:
-    """Status of each arriving request against the static tables: stream-static joins only."""
-    return outage_status(requests, postcodes, planned, history)
+def triage_stream(requests: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], home: str) -> StreamingQuery:
+    """Status of each arriving request, written to ``home``/out.
+
+    ``tables`` gives (postcodes, planned, history) and is called for every batch, so outages that were
+    published after the start of the stream are seen.
+    """
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        outage_status(settle(batch), *tables()).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
+
+    return _each_batch(requests, answer, home)
+
+
+def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], home: str) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/state")
+    return writer.trigger(availableNow=True).start()
+
+
+def _log(rows: DataFrame, home: str, name: str, batch_id: int) -> DataFrame:
+    """Add a batch to a log, in a folder of its own that a replay overwrites, and read the log up to it."""
+    rows.write.mode("overwrite").parquet(f"{home}/{name}/batch_id={batch_id}")
+    stored = rows.sparkSession.read.schema(f"{_ddl(rows)}, batch_id bigint").parquet(f"{home}/{name}")
+    return stored.where(F.col("batch_id") <= batch_id)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
 
-def weather_stream(requests: DataFrame, observations: DataFrame, home: str) -> StreamingQuery:
-    """Latest weather known for each arriving request, written to ``home``/out.
+def weather_stream(requests: DataFrame, observations: DataFrame, home: str, tolerance: str | None = None) -> StreamingQuery:
+    """Weather as of each request, written to ``home``/out; the latest answer to a request counts.
 
-    Both streams advance in one query. Per batch, requests take the latest observation at or before
-    them from the batch itself or from the carried state, which is one row per postcode in
-    ``home``/last. A stream-stream join would pair every request with every observation in reach,
-    which grows with the square of a busy postcode; here each row is sorted once.
+    Both streams advance in one query and are logged by batch. A batch answers its own requests from all
+    observations so far, and answers earlier requests again where one of its observations lies before
+    them, so the end result is that of ``weather_asof`` in whatever order rows arrive. A stream-stream
+    join would pair every request with every observation in reach; here each row is sorted once per
+    batch that concerns it. ``request_id`` identifies a request.
     """
     asked = requests.select("postcode", F.struct(*requests.columns).alias("asked"))
     seen = observations.select("postcode", F.struct("postcode", *OBSERVATION).alias("seen"))
@@ -128,52 +154,49 @@ def weather_stream(requests: DataFrame, observations: DataFrame, home: str) -> S
         arrived = settle(batch)
         now = arrived.where("asked IS NOT NULL").select("asked.*").select(*asked_columns)
         fresh = arrived.where("seen IS NOT NULL").select("seen.*")
-        if batch_id > 0:
-            earlier = batch.sparkSession.read.schema(fresh.schema).parquet(f"{home}/last/batch_id={batch_id - 1}")
-            fresh = fresh.unionByName(earlier)
-        weather_asof(now, fresh).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
-        last = fresh.groupBy("postcode").agg(F.max_by(F.struct(*OBSERVATION), F.struct(*OBSERVATION)).alias("_last"))
-        last.select("postcode", "_last.*").write.mode("overwrite").parquet(f"{home}/last/batch_id={batch_id}")
-
-    both = asked.unionByName(seen, allowMissingColumns=True)
-    writer = both.writeStream.foreachBatch(answer).option("checkpointLocation", f"{home}/state")
-    return writer.trigger(availableNow=True).start()
+        known = _log(fresh, home, "seen", batch_id)
+        past = _log(now, home, "asked", batch_id)
+        since = fresh.groupBy("postcode").agg(F.min("observed_at").alias("_since"))
+        again = lookup_join(past.where(F.col("batch_id") < batch_id), since, ["postcode"], "inner")
+        due = settle(now.unionByName(again.where(F.col("asked_at") >= F.col("_since")).select(*asked_columns)))
+        places = due.select("postcode").distinct()
+        reach = lookup_join(known.drop("batch_id"), places, ["postcode"], "inner")
+        weather_asof(due, reach, tolerance).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
 
+    return _each_batch(asked.unionByName(seen, allowMissingColumns=True), answer, home)
 
-# Conversation state
 
-STATE = "turns bigint, chars bigint, recent array<string>"
-CONTEXT = "conv_id bigint, turn bigint, context_turns bigint, context_chars bigint, recent string"
+# Conversation state
 
 
-def conversation_state(stream: DataFrame, max_turns: int = 4, clear: str = "clear") -> DataFrame:
-    """Context of every arriving turn, from keyed state; a turn with role ``clear`` deletes the state.
+def conversation_context(stream: DataFrame, home: str, clear: str = "clear") -> StreamingQuery:
+    """Context of every turn as turns arrive, written to ``home``/out; the latest row of a turn counts.
 
-    The state of a chat is its number of turns, its length and its latest ``max_turns`` texts, so
-    it does not grow with the chat. Turns count in the order they arrive, as in a chat log; those
-    that arrive together are taken in turn order, one Arrow batch at a time.
+    The log keeps number, role and length of each turn, not its text. A batch writes the contexts of all
+    turns of the chats it concerns, so the end result is that of ``context_turns`` in whatever order and
+    batches turns arrive. A turn with role ``clear`` starts the context anew and has no row.
     """
 
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        turns, chars, recent = state.get if state.exists else (0, 0, [])
-        recent = list(recent)
-        for batch in batches:
-            out = []
-            for row in batch.sort_values("turn").itertuples():
-                if row.role == clear:
-                    turns, chars, recent = 0, 0, []
-                    continue
-                text = row.text or ""
-                out.append((key[0], row.turn, turns, max(chars - 1, 0), "\n".join(recent)))
-                turns, chars = turns + 1, chars + len(text) + 1
-                recent = [*recent, text][-max_turns:]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "context_turns", "context_chars", "recent"])
-        if turns:
-            state.update((turns, chars, recent))
-        elif state.exists:
-            state.remove()
-
-    return stream.groupBy("conv_id").applyInPandasWithState(update, CONTEXT, STATE, "append", "NoTimeout")
+    def update(batch: DataFrame, batch_id: int) -> None:
+        turns = clean_turns(batch).select("conv_id", "turn", "role", F.coalesce(F.length("text") + 1, F.lit(0)).alias("_chars"))
+        arrived = settle(turns)
+        known = _log(arrived, home, "turns", batch_id).drop("batch_id")
+        concerned = lookup_join(known, arrived.select("conv_id").distinct(), ["conv_id"], "inner")
+        cleared = concerned.withColumn("_clear", (F.col("role") == clear).cast("int"))
+        parts = OrderedRows(cleared, ["conv_id"], ["turn"]).with_sum_before("_clear", "_part").rows
+        parts = parts.where(F.col("_clear") == 0)
+        rows = OrderedRows(parts, ["conv_id", "_part"], ["turn"]).with_number("_no").with_sum_before("_chars", "_before").rows
+        out = rows.select(
+            "conv_id", "turn", (F.col("_no") - 1).alias("context_turns"), F.greatest(F.col("_before") - 1, F.lit(0)).alias("context_chars")
+        )
+        out.write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
+
+    return _each_batch(stream, update, home)
+
+
+def read_out(spark: SparkSession, home: str, schema: str) -> DataFrame:
+    """What a query wrote to ``home``/out, with ``batch_id``."""
+    return spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{home}/out")
 
 
 # Bounded runs
@@ -184,14 +207,14 @@ def scratch_home(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "append", home: str | None = None) -> DataFrame:
     """Run a query over all rows there are now and read its output back, with ``batch_id``.
 
     Output goes to files in the shared checkpoint folder, one folder per batch that a replay
-    overwrites. In update mode a key can come out of several batches; the last one counts.
+    overwrites. In update and complete mode a key can come out of several batches; the last one counts.
     """
     spark = stream.sparkSession
-    home = scratch_home(spark)
+    home = home or scratch_home(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
@@ -208,8 +231,21 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{home}/out")
 
 
+def run_windows(stream: DataFrame, keys: Sequence[str] = (), sessions: bool = False) -> DataFrame:
+    """Run windowed or session counts to the end and return every window, the open ones as they stand.
+
+    Windows come out in update mode. Sessions can only be appended once they are over, or given whole
+    after every batch; a run that ends takes the whole of its last batch.
+    """
+    if not sessions:
+        return latest_rows(run_to_end(stream, "update"), ["window_start", "window_end", *keys])
+    out = run_to_end(stream, "complete")
+    last = out.agg(F.max("batch_id").alias("_last"))  # one row
+    return out.join(F.broadcast(last), F.col("batch_id") == F.col("_last")).drop("batch_id", "_last")
+
+
 def latest_rows(updates: DataFrame, keys) -> DataFrame:
     """Last output per key of an update-mode run."""
     rest = [c for c in updates.columns if c not in (*keys, "batch_id")]
-    best = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row"))
-    return best.select(*keys, "_row.*")
+    last = top_per_key(updates, keys, [F.desc("batch_id")], 1, "_rank")
+    return last.select(*keys, *rest)

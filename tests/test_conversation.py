@@ -3,6 +3,8 @@ import pytest
 from outage_spark import schemas
 from outage_spark.operators.conversation import (
     append_answers,
+    join_parts,
+    pending_context,
     clean_turns,
     context_turns,
     pending_turns,
@@ -36,6 +38,20 @@ def test_pending(conv):
     assert [tuple(r) for r in pending_turns(conv).collect()] == [(1, 4, "until?")]
 
 
+def test_a_malformed_last_message_is_not_pending(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, None, "broken"), (2, 0, None, "x"), (2, 1, "user", "b")]
+    assert [r.conv_id for r in pending_turns(spark.createDataFrame(rows, schemas.TURNS)).collect()] == [2]
+
+
+@pytest.mark.parametrize("part_chars", [1_000_000, 4])
+def test_whole_context_of_pending_chats(spark, conv, part_chars):
+    more = spark.createDataFrame([(5, 0, "user", "first")], schemas.TURNS)
+    parts = pending_context(conv.unionByName(more), part_chars)
+    whole = {r.conv_id: r.context for r in join_parts(parts, ["conv_id", "turn"], "context").collect()}
+    assert whole == {1: "rules\npower?\noff", 5: ""}
+    assert part_chars > 4 or parts.where("part > 0").count() > 0
+
+
 @pytest.mark.parametrize("runs", [None, 4])
 def test_pairs(conv, runs):
     got = sorted(map(tuple, question_answer_pairs(conv, runs).collect()))
@@ -61,3 +77,9 @@ def test_answers_follow_the_last_turn(spark, conv):
     answers = spark.createDataFrame([(1, "soon"), (9, "hello")], "conv_id BIGINT, text STRING")
     added = append_answers(conv, answers).where("text in ('soon', 'hello')").collect()
     assert sorted(map(tuple, added)) == [(1, 5, "assistant", "soon"), (9, 0, "assistant", "hello")]
+
+
+def test_two_answers_get_two_turns(spark, conv):
+    answers = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "conv_id BIGINT, text STRING")
+    added = append_answers(conv, answers).where("conv_id = 1 and turn > 4").collect()
+    assert sorted((r.turn, r.text) for r in added) == [(5, "a"), (6, "a"), (7, "b")]

@@ -48,10 +48,18 @@ def test_empty_history(spark, history):
 def test_suburbs(spark, postcodes):
     asked = requests(spark, ("2002", "2030-01-01", None), ("20x", "2030-01-01", None), ("2999", "2030-01-01", None))
     got = [r.suburb for r in suburb_for(asked, postcodes).orderBy("request_id").collect()]
-    assert got == ["Birch", NOT_SUPPORTED, NOT_SUPPORTED]
+    # Any value of the table is joined on; the form of a postcode is checked on requests only.
+    assert got == ["Birch", "Broken", NOT_SUPPORTED]
     assert with_suburb(asked, postcodes).count() == 3
 
 
+def test_postcodes_of_any_form_are_looked_up(spark):
+    table = spark.createDataFrame([("800", "Harbour"), (None, "Nowhere")], "postcode string, suburb string")
+    asked = spark.createDataFrame([("800",), (None,)], "postcode string")
+    got = {r.postcode: r.suburb for r in with_suburb(asked, table).collect()}
+    assert got == {"800": "Harbour", None: None}
+
+
 def test_staff(spark):
     staff = spark.createDataFrame([("2001", 4)], "postcode string, staff int")
     df = spark.createDataFrame([("2001",), ("2002",)], "postcode string")

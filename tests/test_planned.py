@@ -133,6 +133,12 @@ def test_reply_in_start_order(spark, planned):
     assert rows[0].reply.split("\n")[0] == "2030-03-09 20:00 to 2030-03-10 01:00: touches the start"
 
 
+def test_every_ask_has_a_reply(spark, planned):
+    asked = ask(spark, ("2001", "2030-05-01", "2030-05-02"), ("2001", "2030-03-12", "2030-03-10"), ("9999", "2030-03-10", "2030-03-12"))
+    rows = planned_summary(asked, planned).collect()
+    assert [(r.part, r.n_lines, r.reply) for r in rows] == [(0, 0, "No planned outages in this period.")] * 3
+
+
 def test_next_planned(planned):
     got = {r.postcode: r.outage_id for r in next_planned(planned, "2030-03-11 09:00:00").collect()}
     assert got == {"2001": 4}

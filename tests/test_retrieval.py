@@ -129,3 +129,20 @@ def test_word_vectors_find_the_same_topic(spark):
     assert {(r.question_id, r.vec_id) for r in hits} >= {(0, 1), (1, 0), (2, 3), (3, 2)}
     lengths = encoded.select(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-5 for r in lengths)
+
+
+def test_no_questions(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    none = df.where("false")
+    assert R.similar(none, df, 2).count() == 0
+    assert R.search_index(R.build_index(df, 2), none, 2).count() == 0
+
+
+def test_arguments_hold_for_any_number_of_questions(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id bigint, embedding array<float>")
+    index = R.build_index(df, 6)
+    for exact in (True, False):
+        small = R.search_index(index, df, 3, 1, exact)
+        large = R.search_index(index, df, 3, 1, exact, max_bytes=1000)
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))

@@ -1,3 +1,4 @@
+import random
 """Streams over files: each run takes what came since the last one."""
 
 import pytest
@@ -85,12 +86,20 @@ def test_running_hours_equal_the_batch_mean(feed):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, hours_by(source.batch()).collect())))
 
 
-def test_triage_of_a_stream(spark, feed, postcodes, planned, history):
+def test_triage_sees_outages_published_later(spark, feed, postcodes, planned, history, tmp_path):
     source = feed("requests", schemas.REQUESTS)
     for i, (p, d) in enumerate([("2001", "2030-03-11"), ("12a4", "2030-03-11"), ("2002", "2030-03-15")]):
         source.add((i, p, day(d), day(d), ts(f"{d} 12:00"), "Rain"))
-    status = jobs.run_to_end(jobs.triage_stream(source.stream(), postcodes, planned, history))
-    assert {r.request_id: r.status for r in status.collect()} == {0: "planned", 1: "invalid", 2: "unplanned"}
+    home, published = str(tmp_path / "home"), [planned.where("postcode <> '2001'")]
+
+    def status():
+        run(jobs.triage_stream(source.stream(), lambda: (postcodes, published[-1], history), home))
+        return {r.request_id: r.status for r in spark.read.parquet(f"{home}/out").collect()}
+
+    assert status() == {0: "unplanned", 1: "invalid", 2: "unplanned"}
+    published.append(planned)
+    source.add((3, "2001", day("2030-03-11"), day("2030-03-11"), ts("2030-03-11 12:00"), "Rain"))
+    assert status()[3] == "planned"
 
 
 def test_windows_drop_late_rows_and_keep_open_ones(feed):
@@ -100,52 +109,73 @@ def test_windows_drop_late_rows_and_keep_open_ones(feed):
     source.add((ts("2030-01-01 13:10"), "a"))  # lateness is judged by the watermark of the batch before
     source.add((ts("2030-01-01 10:20"), "late"), (ts("2030-01-01 12:30"), "b"))
     source.add((ts("2030-01-01 15:00"), "a"))
-    counts = jobs.run_to_end(jobs.windowed_counts(source.stream(), "ts", "1 hour", delay="1 hour"))
+    counts = jobs.run_windows(jobs.windowed_counts(source.stream(), "ts", "1 hour", delay="1 hour"))
     got = {(r.window_start.hour, r.n) for r in counts.collect()}
-    assert got == {(10, 2), (12, 1), (13, 2)}
+    assert got == {(10, 2), (12, 1), (13, 2), (15, 1)}
 
 
 def test_sessions(feed):
     source = feed("events", "ts TIMESTAMP_NTZ, k STRING")
     source.add(*[(ts(f"2030-01-01 {t}"), "a") for t in ("10:00", "10:20", "11:30")])
     source.add((ts("2030-01-01 20:00"), "b"))
-    got = jobs.run_to_end(jobs.session_counts(source.stream(), "ts", "30 minutes", keys=["k"])).collect()
+    got = jobs.run_windows(jobs.session_counts(source.stream(), "ts", "30 minutes", keys=["k"]), ["k"], sessions=True).collect()
     assert sorted((str(r.window_start), str(r.window_end), r.n) for r in got) == [
         ("2030-01-01 10:00:00", "2030-01-01 10:50:00", 2),
         ("2030-01-01 11:30:00", "2030-01-01 12:00:00", 1),
+        ("2030-01-01 20:00:00", "2030-01-01 20:30:00", 1),
     ]
 
 
-def test_weather_is_carried_between_batches(spark, feed, tmp_path):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weather_in_any_order_equals_the_batch(spark, feed, tmp_path, seed):
+    rng = random.Random(seed)
     asked = feed("asked", "request_id BIGINT, postcode STRING, asked_at TIMESTAMP_NTZ")
     seen = feed("seen", schemas.WEATHER)
-    for hour in (9, 10, 11):
-        seen.add(("2001", ts(f"2030-01-01 {hour:02d}:00"), f"w{hour}", 20.0))
-        asked.add((hour, "2001", ts(f"2030-01-01 {hour:02d}:30")), (hour + 100, "2002", ts(f"2030-01-01 {hour:02d}:30")))
+    places = ["2001", "2002", None]
+    observed = [(rng.choice(places), ts(f"2030-01-01 {h:02d}:00"), f"w{h}", 20.0) for h in range(24)]
+    requests = [(i, rng.choice(places), ts(f"2030-01-01 {rng.randrange(24):02d}:30")) for i in range(20)]
+    rng.shuffle(observed)
     home = str(tmp_path / "home")
+    for n in range(3):
+        seen.add(*observed[n * 8 : n * 8 + 8])
+        asked.add(*requests[n * 6 : n * 6 + 6])
+        run(jobs.weather_stream(asked.stream(), seen.stream(), home))
+    asked.add(*requests[18:])
     run(jobs.weather_stream(asked.stream(), seen.stream(), home))
-    # A later run has requests only; the weather is known from the run before.
-    asked.add((12, "2001", ts("2030-01-01 12:30")))
-    run(jobs.weather_stream(asked.stream(), seen.stream(), home))
-    got = spark.read.parquet(f"{home}/out").drop("batch_id")
-    assert sorted(map(str, got.collect())) == sorted(map(str, weather_asof(asked.batch(), seen.batch()).collect()))
-    assert got.where("request_id = 12").first().condition_text == "w11"
+    got = jobs.latest_rows(spark.read.parquet(f"{home}/out"), ["request_id"])
+    want = weather_asof(asked.batch(), seen.batch()).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("postcode IS NULL AND observed_at IS NOT NULL").count() == 0
 
 
-def test_conversation_state_and_clear(feed):
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_context_in_any_order_and_batching_equals_the_batch(spark, feed, tmp_path, batches):
+    rng = random.Random(batches)
     source = feed("turns", schemas.TURNS)
-    source.add((1, 0, "user", "one"), (1, 1, "assistant", "two"), (2, 0, "user", "other"))
-    source.add((1, 2, "user", "three"))
-    before_clear = source.batch().collect()
-    source.add((1, 3, "clear", None))
-    source.add((1, 4, "user", "four"), (2, 1, "assistant", None))
-    got = {(r.conv_id, r.turn): r for r in jobs.run_to_end(jobs.conversation_state(source.stream(), 2)).collect()}
-    assert len(before_clear) == 4 and (1, 3) not in got
-    for r in context_turns(source.batch().where("turn < 3 and text is not null"), 2).collect():
-        mine = got[(r.conv_id, r.turn)]
-        assert (mine.context_turns, mine.context_chars, mine.recent) == (r.context_turns, r.context_chars, r.recent)
-    assert got[(1, 4)].context_turns == 0 and got[(1, 4)].recent == ""
-    assert got[(2, 1)].context_turns == 1 and got[(2, 1)].recent == "other"
+    turns = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "some text"])) for c in range(4) for t in range(10)]
+    rng.shuffle(turns)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    home = str(tmp_path / "home")
+    try:
+        for n in range(batches):
+            source.add(*turns[n::batches])
+            run(jobs.conversation_context(source.stream(), home))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = jobs.latest_rows(spark.read.parquet(f"{home}/out"), ["conv_id", "turn"])
+    want = context_turns(source.batch()).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_clear_turn_starts_the_context_anew(spark, feed, tmp_path):
+    source, home = feed("turns", schemas.TURNS), str(tmp_path / "home")
+    source.add((1, 4, "user", "four"), (1, 0, "user", "one"), (2, 0, "user", "other"))
+    run(jobs.conversation_context(source.stream(), home))
+    source.add((1, 3, "clear", None), (1, 1, "assistant", "two"), (1, 5, "user", "five"))
+    run(jobs.conversation_context(source.stream(), home))
+    got = jobs.latest_rows(spark.read.parquet(f"{home}/out"), ["conv_id", "turn"])
+    rows = {(r.conv_id, r.turn): (r.context_turns, r.context_chars) for r in got.collect()}
+    assert rows == {(1, 0): (0, 0), (1, 1): (1, 3), (1, 4): (0, 0), (1, 5): (1, 4), (2, 0): (0, 0)}
 
 
 def test_resent_rows_are_dropped(feed):
@@ -162,10 +192,13 @@ def test_windows_do_not_depend_on_the_session_zone(spark, feed):
     source.add((ts("2030-03-10 00:30"), "a"), (ts("2030-03-10 02:30"), "a"), (ts("2030-03-12 00:00"), "a"))
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        got = jobs.run_to_end(jobs.windowed_counts(source.stream(), "ts", "1 day")).drop("batch_id").collect()
+        got = jobs.run_windows(jobs.windowed_counts(source.stream(), "ts", "1 day")).orderBy("window_start").collect()
         start = F.lit("2030-03-10 02:30:00").cast("timestamp_ntz")
         said = spark.range(1).select(outage_line(start, F.lit(None), F.lit("x"))).first()[0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert [tuple(map(str, r)) for r in got] == [("2030-03-10 00:00:00", "2030-03-11 00:00:00", "2")]
+    assert [tuple(map(str, r)) for r in got] == [
+        ("2030-03-10 00:00:00", "2030-03-11 00:00:00", "2"),
+        ("2030-03-12 00:00:00", "2030-03-13 00:00:00", "1"),
+    ]
     assert said == "2030-03-10 02:30 to further notice: x"

@@ -117,7 +117,7 @@ def test_outage_line_without_end(spark):
 
 
 def test_basename(spark):
-    for path, name in [("dbfs:/a/b.pdf", "b.pdf"), ("http://x.y/z/1?page=2#top", "1"), ("plain", "plain")]:
+    for path, name in [("file:/a/b.pdf", "b.pdf"), ("http://x.y/z/1?page=2#top", "1"), ("plain", "plain")]:
         assert one(spark, scalars.basename(F.lit(path))) == name
 
 
