@@ -34,7 +34,7 @@ from outage_spark.llm.text import groups, hash_windows, hash_words, nullable, sp
 from outage_spark.operators.spread import lookup_join
 
 PHRASE = 13
-ANCHOR = 4
+ANCHOR = 6
 AUTOMATON_PHRASES = 50_000
 PIECE = 4096
 LAST = (1 << 63) - 1
@@ -65,7 +65,10 @@ def _anchors(texts: DataFrame, phrase: int) -> DataFrame:
 
 
 def _passages(texts: DataFrame, phrase: int) -> DataFrame:
-    """``anchor, piece, row_key, id_key, start, passage`` for the marked runs of ``texts`` (with ``runs``: run, pieces)."""
+    """``anchor, piece, row_key, id_key, start, passage`` for the marked runs of ``texts``.
+
+    ``runs`` has the number of each run and, above 32 bits, how many pieces beyond one its anchor has.
+    """
     schema = "anchor bigint, piece int, row_key bigint, id_key bigint, start int, passage string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +81,7 @@ def _passages(texts: DataFrame, phrase: int) -> DataFrame:
                 anchors, firsts, ends = _anchor_runs(hashes, phrase)
                 whole = None
                 for mark in runs.as_py():
-                    run, pieces = mark["run"], mark["pieces"]
+                    run, pieces = mark & 0xFFFFFFFF, (mark >> 32) + 1
                     first, end, anchor = int(firsts[run]), int(ends[run]), int(anchors[run])
                     if pieces == 1:
                         text = b" ".join(words[first : end + phrase - 1]).decode("utf-8", "surrogatepass")
@@ -117,8 +120,8 @@ class _Shard:
     def full(self) -> bool:
         return len(self.phrases) >= AUTOMATON_PHRASES
 
-    def occurrences(self) -> Iterator[tuple[int, list[int], list[int]]]:
-        """(passage, offsets, first documents) of every confirmed phrase in every passage."""
+    def occurrences(self) -> Iterator[tuple[int, list[list[int]]]]:
+        """(passage, [first offset, last offset, first document]) for the confirmed phrases in every passage."""
         automaton = ahocorasick.Automaton()
         for window, (least, most) in self.phrases.items():
             if least < most:
@@ -127,21 +130,28 @@ class _Shard:
             return
         automaton.make_automaton()
         for key, text in self.passages:
-            found = [(end - self.phrase + 1, least) for end, least in automaton.iter(text)]
+            found: list[list[int]] = []
+            for end, least in automaton.iter(text):
+                at = end - self.phrase + 1
+                if found and found[-1][1] == at - 1 and found[-1][2] == least:
+                    found[-1][1] = at
+                else:
+                    found.append([at, at, least])
             if found:
-                yield key, [f[0] for f in found], [f[1] for f in found]
+                yield key, found
 
 
 def _located(passages: DataFrame, phrase: int) -> DataFrame:
-    """``passage_key, offsets, firsts`` of the distinct passages with recurring phrases."""
+    """``passage_key, found`` (low, high: offsets; first: document) of the distinct passages with recurring phrases."""
     distinct = passages.groupBy("anchor", "piece", "passage").agg(F.min("id_key").alias("least"), F.max("id_key").alias("most"))
     distinct = distinct.withColumn("passage_key", F.xxhash64("anchor", "piece", "passage"))
     shards = distinct.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece")
 
-    def packed(found: list[tuple]) -> pa.RecordBatch:
-        keys, offsets, firsts = zip(*found) if found else ((), (), ())
-        columns = [pa.array(keys, pa.int64()), pa.array(offsets, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["passage_key", "offsets", "firsts"])
+    kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("first", pa.int64())]))
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        found = [[{"low": low, "high": high, "first": first} for low, high, first in spots] for _, spots in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(found, kind)], ["passage_key", "found"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(phrase)
@@ -158,20 +168,23 @@ def _located(passages: DataFrame, phrase: int) -> DataFrame:
                     shard = _Shard(phrase)
         yield packed(list(shard.occurrences()))
 
-    return shards.mapInArrow(read, "passage_key bigint, offsets array<int>, firsts array<bigint>")
+    return shards.mapInArrow(read, "passage_key bigint, found array<struct<low:int,high:int,first:bigint>>")
 
 
 def _spans(starts: DataFrame, phrase: int) -> DataFrame:
-    """``row_key, spans``: flat array of first word, word after the last, and so on, from the starts of phrases."""
+    """``row_key, spans``: flat array of first word, word after the last, and so on, from runs of phrases that start at low to high."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for value in batch.column(1):
-                at = np.unique(np.array(value.as_py(), np.int64))
-                cut = np.flatnonzero(np.diff(at) > phrase)
-                low, high = at[np.concatenate(([0], cut + 1))], at[np.concatenate((cut, [len(at) - 1]))] + phrase
-                out.append(np.column_stack((low, high)).ravel().astype(np.int32))
+                spans: list[int] = []
+                for low, high in sorted((r["low"], r["high"] + phrase) for r in value.as_py()):
+                    if spans and low <= spans[-1]:
+                        spans[-1] = max(spans[-1], high)
+                    else:
+                        spans += [low, high]
+                out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["row_key", "spans"])
 
     return starts.mapInArrow(read, "row_key bigint, spans array<int>")
@@ -194,13 +207,14 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ph
     )
     places = anchors.select("row_key", F.posexplode("anchors").alias("run", "anchor"))
     marked = lookup_join(places, recurring, ["anchor"], "inner").groupBy("row_key").agg(
-        F.collect_list(F.struct("run", "pieces")).alias("runs")
+        F.collect_list(F.col("run") + F.shiftleft((F.col("pieces") - 1).cast("bigint"), 32)).alias("runs")
     )
     passages = store(_passages(lookup_join(texts, marked, ["row_key"], "inner"), phrase))
     thin = passages.select("row_key", "id_key", "start", F.xxhash64("anchor", "piece", "passage").alias("passage_key"))
-    found = lookup_join(thin, _located(passages, phrase), ["passage_key"], "inner")
-    later = F.filter(F.arrays_zip("offsets", "firsts"), lambda f: f.firsts < F.col("id_key"))
-    starts = found.select("row_key", F.explode(F.transform(later, lambda f: f.offsets + F.col("start"))).alias("at"))
+    # Both sides are shuffled by passage; a passage that very many documents share is a skewed key of one side only.
+    found = thin.join(_located(passages, phrase), "passage_key")
+    later = F.filter("found", lambda f: f.first < F.col("id_key"))
+    starts = found.select("row_key", F.explode(F.transform(later, lambda f: F.struct((f.low + F.col("start")).alias("low"), (f.high + F.col("start")).alias("high")))).alias("at"))
     spans = _spans(starts.groupBy("row_key").agg(F.collect_set("at").alias("starts")), phrase)
     return first.withColumnRenamed("id_key", "first_id").join(spans, "row_key", "left")
 
