@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from outage_spark.functions.text import separator_pattern
+from outage_spark.functions.text import CHUNK_OVERLAP, CHUNK_SIZE, SEPARATORS
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Define ``valid_postcode``, ``cosine``, ``chunk_text`` (array) and ``chunk_rows`` (table) for SQL."""
+    """Define ``valid_postcode``, ``cosine``, ``chunk_text`` (array) and ``chunk_rows`` (table) for SQL.
+
+    The chunk functions take the size of a chunk and the overlap as further arguments.
+    """
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION valid_postcode(p STRING) RETURNS BOOLEAN "
         "RETURN coalesce(p RLIKE '^[0-9]{4}$', false)"
@@ -21,17 +24,24 @@ def register_functions(spark: SparkSession) -> None:
             sqrt(aggregate(a, 0D, (s, v) -> s + v * v)) * sqrt(aggregate(b, 0D, (s, v) -> s + v * v)))
         """
     )
-    pattern = separator_pattern(800).replace("\\", "\\\\").replace("\n", "\\n")
-    segments = f"regexp_extract_all(t, '{pattern}', 0)"
+    # The pattern of separator_pattern(), with the sizes as arguments.
+    step = "CAST(size - overlap AS STRING)"
+    ends = [f"'.{{0,', CAST(size - overlap - {len(sep)} AS STRING), '}}\\\\Q{_quoted(sep)}\\\\E|'" for sep in SEPARATORS]
+    pattern = f"concat('(?s).{{1,', {step}, '}}\\\\z|', {', '.join(ends)}, '.{{1,', {step}, '}}')"
     tail = (
-        "CASE WHEN i = 0 THEN '' WHEN length(get(g, i - 1)) <= 200 THEN get(g, i - 1) "
-        "ELSE regexp_replace(right(get(g, i - 1), 200), '^[^ \\\\n]*[ \\\\n]+', '') END"
+        "CASE WHEN i = 0 THEN '' WHEN length(get(g, i - 1)) <= overlap THEN get(g, i - 1) "
+        "ELSE regexp_replace(right(get(g, i - 1), overlap), '^[^ \\n]*[ \\n]+', '') END"
     )
+    sizes = f"size INT DEFAULT {CHUNK_SIZE}, overlap INT DEFAULT {CHUNK_OVERLAP}"
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(t STRING) RETURNS ARRAY<STRING> "
-        f"RETURN transform(array({segments}), g -> transform(g, (s, i) -> concat({tail}, s)))[0]"
+        f"CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(t STRING, {sizes}) RETURNS ARRAY<STRING> "
+        f"RETURN transform(array(regexp_extract_all(t, {pattern}, 0)), g -> transform(g, (s, i) -> concat({tail}, s)))[0]"
     )
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION chunk_rows(t STRING) RETURNS TABLE(chunk_no INT, text STRING) "
-        "RETURN SELECT r.pos, r.col FROM (SELECT chunk_text(t) AS chunks) q, LATERAL posexplode(q.chunks) r"
+        f"CREATE OR REPLACE TEMPORARY FUNCTION chunk_rows(t STRING, {sizes}) RETURNS TABLE(chunk_no INT, text STRING) "
+        "RETURN SELECT r.pos, r.col FROM (SELECT chunk_text(t, size, overlap) AS chunks) q, LATERAL posexplode(q.chunks) r"
     )
+
+
+def _quoted(separator: str) -> str:
+    return separator.replace("\n", "\\n")

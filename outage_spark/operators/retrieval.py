@@ -112,7 +112,7 @@ def similar(
 
 def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 4) -> DataFrame:
     """The k nearest corpus texts per question; both tables are (vec_id, embedding, text)."""
-    return similar(questions, corpus, k).join(corpus.select("vec_id", "text"), "vec_id")
+    return lookup_join(similar(questions, corpus, k), corpus.select("vec_id", "text"), ["vec_id"], "inner")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -340,7 +340,7 @@ def assemble_context(
 
     ``texts`` is (vec_id, text), ``questions`` is (question_id, question). A group holds k texts.
     """
-    found = hits.join(texts, "vec_id").select("question_id", "rank", "text")
+    found = lookup_join(hits, texts.select("vec_id", "text"), ["vec_id"], "inner").select("question_id", "rank", "text")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))["text"]
     contexts = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_texts"), ordered.alias("_texts"))
     joined = questions.join(contexts, "question_id", "left")

@@ -262,8 +262,23 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
 def assign_ids(
     df: DataFrame, order: Sequence[str], start: int = 1, name: str = "id", runs: int | None = None
 ) -> DataFrame:
-    """Dense identity numbers in ``order`` without a single-task window."""
-    return OrderedRows(df, [], order, runs).with_number(name, start).rows
+    """Dense identity numbers in ``order`` without a single-task window.
+
+    Rows are sorted into range partitions and numbered inside each while they are written; the numbers
+    before a partition are one row per partition, so no second shuffle follows.
+    """
+    columns = [F.col(c) for c in order]
+    spread = df.repartitionByRange(runs, *columns) if runs else df.repartitionByRange(*columns)
+    # The lower 33 bits of the built-in id are the row's place in its partition.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = spread.sortWithinPartitions(*columns).withColumns({RUN: F.spark_partition_id(), "_place": place})
+    placed = settle(placed)
+    sizes = placed.groupBy(F.col(RUN).alias("_run_of")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_run_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_run_of", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # Bounded: one row per partition.
+    joined = placed.join(F.broadcast(before), F.col(RUN) == F.col("_run_of"))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place") + start).cast("bigint").alias(name))
 
 
 def concat_text(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from outage_spark import schemas
 from outage_spark.functions import scalars, text
+from outage_spark.functions.registry import register_functions
 from outage_spark.functions.weather import classify_weather
 from outage_spark.operators import (
     conversation,
@@ -224,6 +225,14 @@ def vector_topk_index(spark, d):
     return retrieval.search_index(retrieval.build_index(vectors), vectors, 4)
 
 
+@query
+def retrieved_texts(spark, d):
+    texts = _docs(spark, d).withColumnRenamed("doc_id", "vec_id")
+    corpus = standins.table(spark, d, "embeddings").select("vec_id", "embedding").join(texts, "vec_id")
+    found = retrieval.retrieve(corpus, corpus, 4)
+    return found.select("question_id", "vec_id", "score", "rank", F.length("text").alias("text_chars"))
+
+
 @query
 def planned_conflicts(spark, d):
     return planned.planned_conflicts(standins.planned(spark, d))
@@ -372,6 +381,18 @@ def relative_range(spark, d):
     return ranges.select("event_id", "r.start_date", "r.end_date")
 
 
+@query
+def sql_chunk_rows(spark, d):
+    register_functions(spark)
+    _docs(spark, d).createOrReplaceTempView("chunked_docs")
+    return spark.sql("SELECT doc_id, c.* FROM chunked_docs, LATERAL chunk_rows(text, 1000, 200) c")
+
+
+@query
+def events_as_of(spark, d):
+    return _events(spark, d).select("event_id", scalars.as_of("ts").alias("as_of"))
+
+
 @query
 def chunk_fixed(spark, d):
     return ingest.chunk_fixed(_docs(spark, d))

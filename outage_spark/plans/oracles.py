@@ -140,7 +140,6 @@ WEATHER_ASOF = (
     + """SELECT request_id, r.postcode, asked_at, observed_at, condition_text, temp_c
     FROM requests r ASOF LEFT JOIN weather w ON r.postcode = w.postcode AND r.asked_at >= w.observed_at"""
 )
-WATERMARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
 def _html(column: str) -> str:
@@ -232,6 +231,9 @@ ORACLES: dict[str, str] = {
     "weather_asof": WEATHER_ASOF,
     "vector_topk": _with(HITS) + "SELECT * FROM hits",
     "vector_topk_index": _with(HITS) + "SELECT * FROM hits",
+    "retrieved_texts": _with(HITS)
+    + """SELECT question_id, vec_id, score, rank, CAST(length(text) AS INTEGER) AS text_chars
+        FROM hits JOIN documents ON doc_id = vec_id""",
     "planned_conflicts": _with(PLANNED)
     + """SELECT a.postcode, a.outage_id, a.start_ts, a.end_ts, count(*) AS n_conflicts
         FROM planned a JOIN planned b ON a.postcode = b.postcode AND a.outage_id <> b.outage_id
@@ -306,6 +308,8 @@ ORACLES: dict[str, str] = {
     "relative_range": f"SELECT event_id, {_relative(0)} AS start_date, {_relative(1)} AS end_date FROM events",
     "chunk_fixed": FIXED_CHUNKS,
     "chunk_separators": _with("texts AS (SELECT doc_id, text FROM documents)") [:-1] + f", {SEPARATOR_CHUNKS}",
+    "sql_chunk_rows": _with("texts AS (SELECT doc_id, text FROM documents)") [:-1] + f", {SEPARATOR_CHUNKS}",
+    "events_as_of": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS as_of FROM events",
     "rag_context": _with(HITS)
     + f""", found AS (SELECT question_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS texts
             FROM hits JOIN documents ON doc_id = vec_id GROUP BY question_id)

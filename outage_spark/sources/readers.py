@@ -106,7 +106,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(basename("path").alias("file_name"), "path", "length", "modificationTime")
 
 
-def read_binary_docs(spark: SparkSession, path: str) -> DataFrame:
+def read_binary_docs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Content of the files of a folder, or of the given files."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(basename("path").alias("file_name"), "content")
 

@@ -136,3 +136,17 @@ def test_ingest_batch_takes_each_file_once(spark, tmp_path):
     spark.sql("TRUNCATE TABLE outage_ingest.docs_track")  # as if a run had stopped before tracking
     assert run() == []
     assert stored() == (4, ["a.txt", "b.txt"])
+
+
+def test_ingest_opens_new_files_only(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    ingest_batch(spark, str(tmp_path), lambda raw: raw.decode(), "outage_ingest_new")
+    (tmp_path / "a.txt").chmod(0)  # unreadable for most users, and changed for all
+    (tmp_path / "b.txt").write_text("two")
+
+    def extract(raw: bytes) -> str:
+        assert raw == b"two", "an old file was opened"
+        return raw.decode()
+
+    assert ingest_batch(spark, str(tmp_path), extract, "outage_ingest_new").count() == 0
+    assert {r.file_name for r in spark.table("outage_ingest_new.docs_track").collect()} == {"a.txt", "b.txt"}

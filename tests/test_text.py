@@ -99,6 +99,13 @@ def test_sql_functions(spark):
     assert sorted(rows.collect()) == sorted(chunk_separators(docs(spark, *TEXTS)).collect())
 
 
+def test_sql_chunks_of_any_size(spark):
+    register_functions(spark)
+    docs(spark, *TEXTS).createOrReplaceTempView("some_docs")
+    rows = spark.sql("SELECT doc_id, c.* FROM some_docs, LATERAL chunk_rows(text, 30, 10) c")
+    assert sorted(rows.collect()) == sorted(chunk_separators(docs(spark, *TEXTS), size=30, overlap=10).collect())
+
+
 def test_html_text(spark):
     page = "<html><script>if (a<b) {}</script><!-- x --><p>One &amp; two</p>\n<P CLASS='x'>three&nbsp;&lt;3</P></html>"
     assert one(spark, text.html_text(F.lit(page))) == "One & two three <3"
