@@ -279,9 +279,12 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs across classes from the index entries that hold more than one class."""
     entries = sets.select(F.explode("keys").alias("key"), "set_key", "n", "class")
     mixed = entries.groupBy("key").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("size")
-    )
-    mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).cast("int").alias("size"),
+        F.min("n").cast("int").alias("least"), F.max("n").cast("int").alias("most"),
+    )
+    # Two sets of sizes too far apart cannot be linked; most entries that two sets share are of this kind.
+    apart = (F.col("size") == 2) & (100 * F.col("least").cast("bigint") < percent * F.col("most").cast("bigint"))
+    mixed = mixed.where((F.col("low") < F.col("high")) & ~apart).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     held = lookup_join(sets.select(F.explode("keys").alias("key"), "set_key", "n", "class", "bins"), mixed, ["key"], "inner")
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
