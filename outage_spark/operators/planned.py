@@ -66,19 +66,51 @@ def outages_per_day(planned: DataFrame) -> DataFrame:
     return touched.groupBy("postcode", "day").agg(F.count(F.lit(1)).alias("planned_count"))
 
 
+LEVELS = 24  # blocks of up to 2^23 days: any two dates
+
+
+def _blocks(low: Column, high: Column) -> Column:
+    """The day numbers ``low`` to ``high`` as dyadic blocks (level, block): at most two per level, none for low > high."""
+
+    def at(level: int) -> list[Column]:
+        size = F.lit(1 << level)
+        first = F.ceil(low / size).cast("bigint")
+        last = F.floor((high + 1) / size).cast("bigint") - 1
+        some = first <= last
+        left = F.when(some & (F.pmod(first, F.lit(2)) == 1), F.struct(F.lit(level).alias("level"), first.alias("block")))
+        right = F.when(some & (F.pmod(last, F.lit(2)) == 0), F.struct(F.lit(level).alias("level"), last.alias("block")))
+        return [left, right]
+
+    return F.array_compact(F.array(*[block for level in range(LEVELS) for block in at(level)]))
+
+
+def _points_in_ranges(points: DataFrame, point: Column, ranges: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Join on postcode and ``low <= point <= high`` (day numbers), as an equi join on dyadic blocks.
+
+    A range has at most two blocks per level and a point lies in one, so a range of n days is about
+    2 log n rows and no pair meets twice. Points are written out for the levels that ranges use only.
+    """
+    cut = settle(ranges.withColumn("_b", F.explode(_blocks(low, high))).select("*", "_b.*").drop("_b"))
+    used = [row.level for row in cut.select("level").distinct().collect()]  # at most LEVELS numbers
+    if not used:
+        used = [0]
+    spots = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.floor(point / F.lit(1 << v)).alias("block")) for v in used]))
+    placed = points.withColumn("_b", spots).select("*", "_b.*").drop("_b")
+    return placed.join(cut, ["postcode", "level", "block"]).drop("level", "block")
+
+
 def _meet(requests: DataFrame, outages: DataFrame, columns) -> DataFrame:
     """Every (ask, outage row) that share a day, once. ``outages`` has ``_first`` and ``_last`` dates.
 
-    Both sides are spread over the days they touch and joined on (postcode, day). A pair can meet on
-    several days; it is kept on the first common one, which is where the later of the two begins, so
-    no deduplication shuffle follows.
+    Either the outage begins in the asked range, or it began before and still runs when the range
+    begins. Both are points in ranges of days.
     """
-    asks = asks_of(requests).withColumn("day", _days("start_date", "end_date"))
-    asks = asks.withColumn("_ask_begins", F.col("day") == F.col("start_date"))
-    spread = outages.withColumn("day", _days("_first", "_last"))
-    spread = spread.withColumn("_outage_begins", F.col("day") == F.col("_first"))
-    met = asks.join(spread, ["postcode", "day"]).where(F.col("_ask_begins") | F.col("_outage_begins"))
-    return met.select(*ASK, *columns)
+    asks = asks_of(requests)
+    first, last = F.unix_date("_first"), F.unix_date("_last")
+    start, end = F.unix_date("start_date"), F.unix_date("end_date")
+    begun = _points_in_ranges(outages, first, asks, start, end)
+    running = _points_in_ranges(asks, start, outages, first + 1, last)
+    return begun.select(*ASK, *columns).unionByName(running.select(*ASK, *columns))
 
 
 def _spans(planned: DataFrame, *totals: Column) -> DataFrame:

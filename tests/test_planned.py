@@ -2,9 +2,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from outage_spark import schemas
 from outage_spark.operators.planned import (
+    _blocks,
     next_planned,
     planned_conflicts,
     planned_counts,
@@ -133,6 +135,23 @@ def test_reply_in_start_order(spark, planned):
     assert rows[0].reply.split("\n")[0] == "2030-03-09 20:00 to 2030-03-10 01:00: touches the start"
 
 
+def test_long_ranges_need_few_rows_and_meet_once(spark):
+    rng = random.Random(11)
+    base = dt.date(2000, 1, 1)
+    spans = [(base + dt.timedelta(rng.randrange(5000)), rng.choice([0, 1, 3, 40, 3650])) for _ in range(60)]
+    rows = [(i, "2001", dt.datetime.combine(d, dt.time(8)), dt.datetime.combine(d + dt.timedelta(n), dt.time(9)), "x") for i, (d, n) in enumerate(spans)]
+    outages = spark.createDataFrame(rows, PLANNED)
+    asked = [(base + dt.timedelta(rng.randrange(5000)), rng.choice([0, 1, 7, 3650])) for _ in range(40)]
+    asks = ask(spark, *[("2001", str(d), str(d + dt.timedelta(n))) for d, n in asked])
+    got = sorted((r.start_date, r.end_date, r.outage_id) for r in planned_matches(asks, outages).collect())
+    want = sorted(
+        {(d, d + dt.timedelta(n), i) for d, n in asked for i, _, s, e, _ in rows if s.date() <= d + dt.timedelta(n) and e.date() >= d}
+    )
+    assert got == want
+    blocks = spark.range(1).select(F.size(_blocks(F.lit(3), F.lit(3653))).alias("n")).first().n
+    assert blocks <= 24
+
+
 def test_every_ask_has_a_reply(spark, planned):
     asked = ask(spark, ("2001", "2030-05-01", "2030-05-02"), ("2001", "2030-03-12", "2030-03-10"), ("9999", "2030-03-10", "2030-03-12"))
     rows = planned_summary(asked, planned).collect()
