@@ -11,7 +11,7 @@ What is frequent comes from counts over all documents in a fixed number of hash
 decide the order; the result is exact whatever they are.
 
 Large families of near copies would make nearly every pair a candidate. Therefore classes are formed
-first: documents with the same two least hashes are compared in blocks, by two hash orders with
+first: documents with the same two least hashes are compared in blocks, by ORDERS hash orders with
 different blocks, with whole sets. From then on only index entries that still hold two classes matter, and only
 pairs across classes are compared. A bound on the overlap (token counts in hash bins) removes pairs that
 only share a passage. Entries of any size are cut into block pairs, so no task holds a whole one.
@@ -42,6 +42,7 @@ FREQUENT = 64
 PAIRS_BELOW = 128
 BINS = 128
 BLOCK = 512
+ORDERS = 4
 NO_ID = -(1 << 63)
 
 
@@ -69,10 +70,14 @@ def _bins(tokens: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _least_two(ordered: np.ndarray) -> int:
-    """One value for the two smallest hashes; sets that only share a common token rarely agree in it."""
-    both = mix(ordered[:2])
-    return int(_signed(both[:1] ^ (both[-1:] * np.uint64(3)))[0])
+def _least(tokens: np.ndarray) -> list[int]:
+    """One value per hash order for its two smallest hashes; sets that only share a common token rarely agree in it."""
+    values = []
+    for order in range(ORDERS):
+        ranks = mix(tokens ^ np.uint64(order * 0x9E3779B97F4A7C15 % (1 << 64)))
+        both = mix(np.partition(ranks, 1)[:2] if len(ranks) > 2 else np.sort(ranks))
+        values.append(int(_signed(both[:1] ^ (both[-1:] * np.uint64(3)))[0]))
+    return values
 
 
 def _index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -111,7 +116,7 @@ def _first_pass(rows: DataFrame, shingle: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = np.zeros(CELLS, np.int64), set()
         for batch in batches:
-            keys, sizes, fresh = [], [], []
+            keys, sizes, fresh, waiting = [], [], [], 0
             for body in batch.column(2):
                 tokens = tokens_of(body.as_py(), shingle)
                 key = _set_key(tokens)
@@ -120,6 +125,10 @@ def _first_pass(rows: DataFrame, shingle: int) -> DataFrame:
                 if len(tokens) and key not in seen:
                     seen.add(key)
                     fresh.append((tokens >> np.uint64(44)).astype(np.int64))
+                    waiting += len(tokens)
+                if waiting > 1_000_000:
+                    cells += np.bincount(np.concatenate(fresh), minlength=CELLS)
+                    fresh, waiting = [], 0
             if fresh:
                 cells += np.bincount(np.concatenate(fresh), minlength=CELLS)
             empty = pa.nulls(len(keys), pa.int64())
@@ -135,12 +144,11 @@ def _first_pass(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _second_pass(rows: DataFrame, frequent: np.ndarray, percent: int, shingle: int) -> DataFrame:
-    """One row per distinct set of a task: ``set_key, n, least_1, least_2, bins, keys``."""
+    """One row per distinct set of a task: ``set_key, n, least, bins, keys``."""
     zero = F.lit(0).cast("bigint")
     schema = nullable(
         rows.select(
-            zero.alias("set_key"), zero.alias("n"), zero.alias("least_1"), zero.alias("least_2"),
-            F.lit(b"").alias("bins"), F.array(zero).alias("keys"),
+            zero.alias("set_key"), zero.alias("n"), F.array(zero).alias("least"), F.lit(b"").alias("bins"), F.array(zero).alias("keys"),
         ).schema
     )
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(frequent))
@@ -155,9 +163,8 @@ def _second_pass(rows: DataFrame, frequent: np.ndarray, percent: int, shingle: i
                 if not len(tokens) or key in seen:
                     continue
                 seen.add(key)
-                least = _least_two(tokens), _least_two(np.sort(mix(tokens)))
-                out.append((key, len(tokens), *least, _bins(tokens), _signed(_index_keys(tokens, common, percent))))
-            columns = list(zip(*out)) or [()] * 6
+                out.append((key, len(tokens), _least(tokens), _bins(tokens), _signed(_index_keys(tokens, common, percent))))
+            columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _arrow(schema))], schema.names)
 
     return rows.select("_text").mapInArrow(read, schema)
@@ -253,8 +260,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _class_blocks(rows: DataFrame, sets: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Edges found by comparing sets with the same two least hashes, in blocks."""
-    spots = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"least_{j}").alias("least")) for j in (1, 2)]))
-    members = sets.select("set_key", "id_key", "row_key", spots.alias("s")).select("set_key", "id_key", "row_key", "s.*")
+    members = sets.select("set_key", "id_key", "row_key", F.posexplode("least").alias("j", "least"))
     crowded = members.groupBy("j", "least").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     block = F.pmod(F.xxhash64("set_key", "j"), F.ceil(F.col("size") / BLOCK))
     placed = members.join(crowded, ["j", "least"]).select("set_key", "id_key", "row_key", F.struct("j", "least", block.alias("block")).alias("s"))
@@ -367,7 +373,7 @@ def similar_classes(
     )
     reps = reps.select("set_key", "r.id_key", "r.row_key", "least_id")
     second = _second_pass(rows, frequent, percent, shingle).groupBy("set_key").agg(
-        F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("least_1", "least_2", "bins", "keys")]
+        F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("least", "bins", "keys")]
     )
     sets = store(second.join(reps, "set_key"))
     spanning = store(_class_blocks(rows, sets, percent, shingle))
