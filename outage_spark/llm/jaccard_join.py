@@ -42,7 +42,7 @@ FREQUENT = 64
 PAIRS_BELOW = 128
 BINS = 128
 BLOCK = 512
-ORDERS = 4
+ORDERS = 2
 NO_ID = -(1 << 63)
 
 
