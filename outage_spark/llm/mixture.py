@@ -4,7 +4,9 @@ A source's target in words, divided by its size, is the number of copies each of
 get on average: a whole part and a fraction. Fractions are rounded dependently. Two documents meet, and
 word mass moves from one to the other, in a random direction that keeps each one's expectation, until
 one of them has a whole number of copies; the other meets the next document. The words of a source are
-thus kept exactly while documents meet, and only the last one is rounded alone.
+thus kept exactly while documents meet, and only the last one is rounded alone. Order, directions and last
+rounding are drawn from separate hashes of the row, anew at each level: a direction that went with the
+order would favour the sizes that come early or late.
 
 Documents are dealt to blocks by hash and meet inside a block, in hash order, while rows stream through
 the task. Each block leaves at most one unfinished document; those of ``block_rows`` blocks form a block
@@ -18,9 +20,11 @@ columns pass through untouched, whatever their names (internal names begin with
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +35,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_ROWS = 4096
-MOVED = ("source", "block", "level", "size", "p", "u", "copies")
+COIN, LAST = 1, 2
+MOVED = ("source", "block", "size", "p", "key")
 
 
 def source_targets(
@@ -70,10 +75,16 @@ def source_targets(
     return rows.withColumn("target", target)
 
 
+def _draw(salt: int, key: int, nth: int) -> float:
+    """A number in [0, 1) from a hash, for the ``nth`` row of a key."""
+    return (xxhash.xxh3_64_intdigest(struct.pack("<qq", key, nth), seed=salt) >> 11) / (1 << 53)
+
+
 def _meet(batches: Iterator[pa.RecordBatch], last_level: bool) -> Iterator[pa.RecordBatch]:
     """Rows come by (source, block); settled rows get ``copies``, a block's unfinished one keeps it null."""
     group = None
     held: dict | None = None  # the unfinished document: p, size and where its row is
+    before, nth = None, 0
 
     def emitted(row: pa.RecordBatch, p: float, copies: int | None) -> pa.RecordBatch:
         schema = row.schema
@@ -84,7 +95,7 @@ def _meet(batches: Iterator[pa.RecordBatch], last_level: bool) -> Iterator[pa.Re
 
     def finish(unit: dict) -> pa.RecordBatch:
         if last_level:
-            return emitted(unit["row"], 0.0, int(unit["u"] < unit["p"]))
+            return emitted(unit["row"], 0.0, int(_draw(LAST, *unit["key"]) < unit["p"]))
         return emitted(unit["row"], unit["p"], None)
 
     for batch in batches:
@@ -99,20 +110,23 @@ def _meet(batches: Iterator[pa.RecordBatch], last_level: bool) -> Iterator[pa.Re
                     if held["at"] is None:
                         yield finish(held)
                     elif last_level:
-                        copies[held["at"]] = int(held["u"] < held["p"])
+                        copies[held["at"]] = int(_draw(LAST, *held["key"]) < held["p"])
                     else:
                         out[held["at"]] = held["p"]
-                group, held = key, None
-            size, p, u = columns["size"][i], columns["p"][i], columns["u"][i]
+                group, held, before = key, None, None
+            size, p = columns["size"][i], columns["p"][i]
+            nth = nth + 1 if columns["key"][i] == before else 0
+            before = columns["key"][i]
+            row_key = before, nth
             if not size or p <= 0.0 or p >= 1.0:
-                copies[i] = int(u < p)
+                copies[i] = int(_draw(LAST, *row_key) < p)
                 continue
             if held is None:
-                held = {"p": p, "size": size, "u": u, "at": i}
+                held = {"p": p, "size": size, "key": row_key, "at": i}
                 continue
             up = min(held["size"] * (1.0 - held["p"]), size * p)
             down = min(held["size"] * held["p"], size * (1.0 - p))
-            if u * (up + down) < down:
+            if _draw(COIN, *row_key) * (up + down) < down:
                 held_full, new_empty = held["size"] * (1.0 - held["p"]) <= up, size * p <= up
                 a, b = held["p"] + up / held["size"], p - up / size
                 a, b = (1.0 if held_full else a), (0.0 if new_empty else b)
@@ -121,7 +135,7 @@ def _meet(batches: Iterator[pa.RecordBatch], last_level: bool) -> Iterator[pa.Re
                 a, b = held["p"] - down / held["size"], p + down / size
                 a, b = (0.0 if held_empty else a), (1.0 if new_full else b)
             whole = {0.0: 0, 1.0: 1}
-            new = {"p": b, "size": size, "u": u, "at": i}
+            new = {"p": b, "size": size, "key": row_key, "at": i}
             if a in whole:
                 if held["at"] is None:
                     yield emitted(held["row"], a, whole[a])
@@ -194,6 +208,7 @@ def mix(
         F.col(size).cast("bigint").alias("_mix_size"),
         (F.col("_mix_each") - F.floor("_mix_each")).alias("_mix_p"),
         _even(F.lit(seed + 1), *key).alias("_mix_u"),
+        F.xxhash64(F.lit("draw"), F.lit(seed), F.lit(0), *key).alias("_mix_key"),
         F.lit(None).cast("bigint").alias("_mix_copies"),
     )
     schema = nullable(rows.schema)
@@ -215,6 +230,7 @@ def mix(
                 "_mix_block": F.floor(F.col("_mix_block") / block_rows),
                 "_mix_level": F.lit(level),
                 "_mix_u": _even(F.lit(seed + 1 + level), *key),
+                "_mix_key": F.xxhash64(F.lit("draw"), F.lit(seed), F.lit(level), *key),
             }
         )
     out = done[0]

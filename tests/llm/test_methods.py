@@ -134,6 +134,26 @@ def test_mixture_keeps_words_and_expectations(spark):
     assert abs(targets.agg(F.sum("target")).first()[0] - 1.5 * total) < 1e-6
 
 
+@pytest.mark.parametrize("block_rows", [4096, 64])
+def test_mixture_shares_do_not_depend_on_size(spark, block_rows):
+    """3900 short and 100 long documents, wanted shares 0.2 and 0.8, in eight sources and under three seeds."""
+    size = F.when(F.col("n") % 40 == 0, 100).otherwise(1).cast("bigint")
+    docs = spark.range(8 * 4000).select("id", F.floor(F.col("id") / 4000).cast("string").alias("source"), (F.col("id") % 4000).alias("n"))
+    docs = docs.select("id", "source", size.alias("size")).cache()
+    targets = docs.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size"))
+    share = F.when(F.col("source") < "4", 0.2).otherwise(0.8)
+    targets = targets.withColumn("target", share * F.col("source_size")).cache()
+    taken, rows = Counter(), Counter()
+    for seed in range(3):
+        mixed = mixture.mix(docs, targets, "size", "source", ["id"], seed=seed, block_rows=block_rows)
+        for r in mixed.groupBy((F.col("source") < "4").alias("few"), "size").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).collect():
+            taken[r.few, r.size] += r.c
+            rows[r.few, r.size] += r.n
+    for (few, one), n in rows.items():
+        wanted = 0.2 if few else 0.8
+        assert abs(taken[few, one] / n - wanted) < 4.5 * (0.16 / n) ** 0.5, (few, one, taken[few, one] / n)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     bad = ["grobian", "lumpkin", "scroundel", "vilein"]
