@@ -1,17 +1,19 @@
 """License scan by MinHash bands over overlapping windows (native).
 
-Texts and templates are sequences of five-word shingles. For each template length a text is cut into
-overlapping windows of that length, an eighth apart, so any occurrence nearly fills some window. A
-window's MinHash values are grouped into bands of ``ROWS``; windows that share a band with a template are
-retrieved, and then the share of the template's shingles that the window really holds decides.
+Texts and templates are sequences of five-word shingles. For each template length a text is cut into overlapping windows of one and a half times
+that length, an eighth of it apart. A window's MinHash values are grouped into bands of ``ROWS``; windows
+that share a band with a template are retrieved, and only that.
 
-Band settings: if a window holds at least 80% of a template, give or take a sixteenth for its place, the
-two have a Jaccard similarity of 0.58 or more, and at least one of 20 bands of 2 agrees with probability
-1 - (1 - 0.58^2)^20 > 0.9997; equal windows always agree.
+What decides is the text around a retrieved place: from each beginning of a run of the template's shingles,
+the share of them that the next one and a half template lengths hold. It does not depend on where windows
+were cut. Of several licenses at one place, the one that holds most shingles is returned.
 
-Windows that hold no shingle of any template are not hashed: the verification could not accept them.
-The templates are a fixed small table (tens of texts), broadcast to all windows, so no key is shuffled
-before the matches of one document are summed up.
+Band settings: a window that holds at least 80% of a template has a Jaccard similarity of at least
+0.8 / 1.7 = 0.47 with it, and one of 40 bands of 2 agrees with probability 1 - (1 - 0.47^2)^40 > 0.9999.
+
+Windows with fewer known shingles than a template of their length needs are not hashed: the verification
+could not accept them. The templates are a fixed small table (tens of texts), broadcast; only retrieved
+places are shuffled.
 
 Defined results: null, empty and very short texts (under five words) match nothing; a template of under
 five words is refused; the same license found in several windows is one row; repeated rows of a document
@@ -21,13 +23,14 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outage_spark.llm.text import NOT_ALNUM, ascii_lower, bound, table
 
 SHINGLE = 5
-BANDS = 20
+BANDS = 40
 ROWS = 2
 CONTAINMENT = 0.8
 
@@ -94,45 +97,82 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
     return rows.select("license", "part", F.array_distinct("all").alias("set"), F.size("all").alias("size"))
 
 
-def _constants(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> tuple[list[int], list[int]]:
-    """The distinct window lengths, and all shingles of the templates: both fixed by the template table."""
+def _constants(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> tuple[dict[int, int], list[int]]:
+    """The fewest distinct shingles by template length, and all shingles: both fixed by the template table."""
     rows = template_table(spark, templates).collect()
     if any(not r["size"] for r in rows):
         raise ValueError(f"a template needs at least {SHINGLE} words")
-    return sorted({r["size"] for r in rows}), sorted({h for r in rows for h in r["set"]})
+    lengths: dict[int, int] = {}
+    for r in rows:
+        lengths[r["size"]] = min(len(r["set"]), lengths.get(r["size"], len(r["set"])))
+    return lengths, sorted({h for r in rows for h in r["set"]})
+
+
+def _span(length: int | Column) -> int | Column:
+    """Shingles that an occurrence may reach over: half as many again as the template's."""
+    return length + (F.floor(length / 2).cast("int") if isinstance(length, Column) else length // 2)
 
 
 def license_windows(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified matches: ``doc_id, license, part, first_shingle, containment``, one row per window and template."""
+    """Verified places: ``doc_id, row_key, license, part, first_shingle, last_shingle, held, containment``."""
     spark = docs.sparkSession
     lengths, known = _constants(spark, templates)
-    # A literal array, so that a whole text is looked at once before any window is cut.
-    table_of_hashes = F.array(*[F.lit(h) for h in known])
-    rows = shingled(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", "doc_id")
-    rows = rows.where(F.arrays_overlap("all", table_of_hashes))
+    # Literals, so that a set of them is made once.
+    among = f"IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'NULL' for h in known)})"
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row_key"), F.col(text).alias("_text"))
+    rows = shingled(rows, "_text", "doc_id", "row_key").where(F.expr(f"exists(all, h -> h {among})"))
     cuts = []
-    for length in lengths:
-        last = F.greatest(F.size("all") - length, F.lit(0))
+    for length, fewest in lengths.items():
+        last = F.greatest(F.size("all") - _span(length), F.lit(0))
         starts = F.array_union(F.sequence(F.lit(0), last, F.lit(max(1, length // 8))), F.array(last))
-        cuts.append(F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(length).alias("length"))))
-    windows = rows.select("doc_id", "all", F.explode(F.concat(*cuts)).alias("w"))
-    windows = windows.select("doc_id", F.col("w.start").alias("start"), F.col("w.length").alias("length"), F.slice("all", F.col("w.start") + 1, F.col("w.length")).alias("window"))
-    windows = windows.where(F.arrays_overlap("window", table_of_hashes)).withColumn("bands", bound(F.col("window"), _bands))
+        need = math.ceil(CONTAINMENT * fewest)
+        cuts.append(F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(length).alias("length"), F.lit(need).alias("need"))))
+    windows = rows.select("doc_id", "row_key", "all", F.explode(F.concat(*cuts)).alias("w")).select("doc_id", "row_key", "all", "w.*")
+    windows = windows.withColumn("window", F.slice("all", F.col("start") + 1, _span(F.col("length"))))
+    windows = windows.where(F.expr(f"size(filter(window, h -> h {among})) >= need")).withColumn("bands", bound(F.col("window"), _bands))
     wanted = template_table(spark, templates)
-    wanted = wanted.select("license", "part", "set", F.col("size").alias("length"), F.explode(F.array_distinct(bound(F.col("set"), _bands))).alias("band"))
-    found = windows.select("doc_id", "start", "length", "window", F.explode(F.array_distinct("bands")).alias("band"))
+    sizes = wanted.select("license", "part", F.col("size").alias("length"), F.size("set").alias("n"))
+    bands = wanted.select("license", "part", F.col("size").alias("length"), F.explode(F.array_distinct(bound(F.col("set"), _bands))).alias("band"))
+    found = windows.select("doc_id", "row_key", "all", "start", "length", F.explode(F.array_distinct("bands")).alias("band"))
     # Bounded: BANDS rows per template text.
-    pairs = found.join(F.broadcast(wanted), ["length", "band"])
-    held = F.size(F.array_intersect("window", "set")) / F.size("set")
-    pairs = pairs.select("doc_id", "license", "part", F.col("start").alias("first_shingle"), held.alias("containment"))
-    return pairs.where(F.col("containment") >= CONTAINMENT)
+    near = found.join(F.broadcast(bands), ["length", "band"]).groupBy("doc_id", "row_key", "license", "part", "length", "start").agg(F.first("all").alias("all"))
+    # The text around a retrieved place: a whole span before and after the window.
+    low = F.greatest(F.col("start") - _span(F.col("length")), F.lit(0))
+    around = F.slice("all", low + 1, F.col("start") + 2 * _span(F.col("length")) - low)
+    each = near.select("doc_id", "row_key", "license", "part", low.alias("low"), F.posexplode(around).alias("i", "h"))
+    shingles = wanted.select("license", "part", F.explode("set").alias("h"))
+    each = each.join(F.broadcast(shingles), ["license", "part", "h"]).join(F.broadcast(sizes), ["license", "part"])
+    hits = each.groupBy("doc_id", "row_key", "license", "part", "length", "n").agg(
+        F.sort_array(F.collect_set(F.struct((F.col("low") + F.col("i")).alias("at"), "h"))).alias("hits")
+    )
+    begins = F.filter("hits", lambda x, i: (i == 0) | (F.get(F.col("hits"), i - 1)["at"] != x["at"] - 1))
+    places = hits.select("*", F.explode(F.transform(begins, lambda x: x["at"])).alias("first_shingle"))
+    inside = F.filter("hits", lambda x: (x["at"] >= F.col("first_shingle")) & (x["at"] < F.col("first_shingle") + _span(F.col("length"))))
+    places = places.withColumn("inside", inside)
+    places = places.withColumn("held", F.size(F.array_distinct(F.col("inside.h")))).withColumn("containment", F.col("held") / F.col("n"))
+    return places.where(F.col("containment") >= CONTAINMENT).select(
+        "doc_id", "row_key", "license", "part", "first_shingle", F.array_max("inside.at").alias("last_shingle"), "held", "containment"
+    )
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, license, containment, first_shingle``: each license found in a document, at its best window."""
-    best = license_windows(docs, templates, doc_id, text).groupBy("doc_id", "license").agg(
-        F.max(F.struct("containment", -F.col("first_shingle"))).alias("b")
-    )
+    """``doc_id, license, containment, first_shingle``: each license found in a document, at its best place.
+
+    Of two licenses at one place, the one that holds more shingles of the text is returned.
+    """
+    place = F.struct("license", "first_shingle", "last_shingle", "held", "containment")
+    grouped = license_windows(docs, templates, doc_id, text).groupBy("doc_id", "row_key").agg(F.collect_set(place).alias("all"))
+
+    def beaten(x: Column) -> Column:
+        def better(y: Column) -> Column:
+            common = F.least(x["last_shingle"], y["last_shingle"]) - F.greatest(x["first_shingle"], y["first_shingle"]) + 1
+            more = (y["held"] > x["held"]) | ((y["held"] == x["held"]) & (y["containment"] > x["containment"]))
+            return (y["license"] != x["license"]) & more & (2 * common > x["last_shingle"] - x["first_shingle"] + 1)
+
+        return F.exists("all", better)
+
+    left = grouped.select("doc_id", F.explode(F.filter("all", lambda x: ~beaten(x))).alias("p")).select("doc_id", "p.*")
+    best = left.groupBy("doc_id", "license").agg(F.max(F.struct("containment", -F.col("first_shingle"))).alias("b"))
     return best.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.col2")).alias("first_shingle"))
 
 

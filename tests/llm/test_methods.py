@@ -234,6 +234,18 @@ def test_licenses_in_edited_texts(spark):
     assert got == {(1, "MIT"), (3, "MIT")}
 
 
+def test_licenses_with_inserted_words(spark):
+    """Twelve words put into the opening of MIT; the result does not depend on the words before it."""
+    rng = random.Random(19)
+    full = license_scan.TEMPLATES["MIT"][1].split()
+    for k in (20, 35):
+        full[k:k] = prose(rng, 6).split()
+    rows = [(i, prose(rng, i) + " " + " ".join(full) + " " + prose(rng, 30), "s") for i in range(9)]
+    got = license_scan.scan_licenses(table(spark, rows)).collect()
+    assert {(r.doc_id, r.license, r.first_shingle) for r in got} == {(i, "MIT", i) for i in range(9)}
+    assert len({r.containment for r in got}) == 1
+
+
 def test_rollup_commits_once(spark, tmp_path):
     schema = "op string, doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint"
     change = lambda *rows: spark.createDataFrame([(*r[:2], "s", None, "v1", r[2]) for r in rows], schema)
