@@ -1,6 +1,7 @@
 """License scan by MinHash bands over overlapping windows (native).
 
-Texts and templates are sequences of five-word shingles. For each template length a text is cut into overlapping windows of one and a half times
+Texts and templates are sequences of five-word shingles. Templates are whole license texts, notices and
+one-line mentions. For each template length a text is cut into overlapping windows of one and a half times
 that length, an eighth of it apart. A window's MinHash values are grouped into bands of ``ROWS``; windows
 that share a band with a template are retrieved, and only that.
 
@@ -24,6 +25,8 @@ ignored.
 from __future__ import annotations
 
 import math
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,31 +37,55 @@ BANDS = 40
 ROWS = 2
 CONTAINMENT = 0.8
 
+def _gnu(kind: str, version: str, library: bool = False) -> tuple[str, str]:
+    """The notice of a GNU licence for source files, "or later" and "only"."""
+    start = f"This {'library' if library else 'program'} is free software: you can redistribute it and/or modify it under the terms of the {kind} as published by the Free Software Foundation, "
+    return start + f"either version {version} of the License, or (at your option) any later version.", start + f"version {version} of the License."
+
+
+def _whole(name: str) -> str:
+    return (Path(__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License"
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        _whole("Apache-2.0"),
     ),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        _whole("MIT"),
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
+        *_gnu("GNU General Public License", "3"),
+        _whole("GPL-3.0"),
     ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met",
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        *_gnu("GNU General Public License", "2"),
+        _whole("GPL-2.0"),
     ),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "LGPL-2.1": (*_gnu("GNU Lesser General Public License", "2.1", True), _whole("LGPL-2.1")),
+    "LGPL-3.0": (*_gnu("GNU Lesser General Public License", "3"), *_gnu("GNU Lesser General Public License", "3", True), _whole("LGPL-3.0")),
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "3"),
+    "BSD-2-Clause": (_whole("BSD-2-Clause"),),
+    "BSD-3-Clause": (_whole("BSD-3-Clause"),),
+    "BSD-4-Clause": (_whole("BSD-4-Clause"),),
+    "ISC": (_whole("ISC"),),
+    "Zlib": (_whole("Zlib"),),
+    "Unlicense": (_whole("Unlicense"),),
+    "CC0-1.0": (_whole("CC0-1.0"),),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", _CC.format("Attribution NonCommercial")),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", _CC.format("Attribution")),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", _CC.format("Attribution ShareAlike")),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", _whole("MPL-2.0")),
 }
 
 

@@ -234,6 +234,20 @@ def test_licenses_in_edited_texts(spark):
     assert got == {(1, "MIT"), (3, "MIT")}
 
 
+def test_licenses_are_told_apart(spark):
+    """Notices of the GNU family and whole BSD and other texts are each found as themselves only."""
+    rng = random.Random(18)
+    texts = [(name, part) for name, parts in license_scan.TEMPLATES.items() for part in parts if len(part.split()) > 30]
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC"} <= {n for n, _ in texts}
+    rows = [(i, prose(rng, i) + " " + part + " " + prose(rng, 20), "s") for i, (_, part) in enumerate(texts)]
+    got = defaultdict(set)
+    for r in license_scan.scan_licenses(table(spark, rows)).collect():
+        got[r.doc_id].add(r.license)
+    # Whole GNU texts quote further notices at their end.
+    for i, (name, part) in enumerate(texts):
+        assert name in got[i] if len(part.split()) > 1000 else got[i] == {name}, (name, got[i])
+
+
 def test_licenses_with_inserted_words(spark):
     """Twelve words put into the opening of MIT; the result does not depend on the words before it."""
     rng = random.Random(19)
