@@ -12,7 +12,7 @@ from outage_spark.llm.personal_data import op9_personal_data
 from outage_spark.llm.quality_rules import OP10_SQL, op10_quality_rules
 from outage_spark.llm.repeated_passages import OP5_SQL, op5_repeated_passages
 from outage_spark.llm.toxicity import op2_toxicity
-from outage_spark.llm.token_rollup import OP8_SQL, op8_token_rollup
+from outage_spark.llm.token_rollup import OP8_SQL, byte_pair_rollup, op8_token_rollup
 from outage_spark.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -25,6 +25,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_mixture": op7_mixture,
     "op8_token_rollup": op8_token_rollup,
+    "token_rollup_byte_pairs": byte_pair_rollup,
     "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -34,6 +34,7 @@ from outage_spark.operators.spread import checkpoint_folder, lookup_join
 
 GROUP = ("source", "lang", "tokenizer")
 KEY = ("doc_id", "tokenizer")
+BPE, BPE_FILE = "byte-pair-50k", "byte_bpe_50k.tiktoken"
 LEDGER = "doc_id bigint, source string, lang string, tokenizer string, sign int, n_tokens bigint, batch string"
 DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, batch string"
 
@@ -148,6 +149,30 @@ def op8_token_rollup(spark, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def byte_pair_rollup(spark, sf_dir: str) -> DataFrame:
+    """The same load, revision and takedown, with the byte-pair tokens of all documents as tokenizer version."""
+    import public_tokenizers
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    columns = ["doc_id", "source", "lang"]
+
+    def changes(op: str, rows: DataFrame) -> DataFrame:
+        counted = count_tokens(rows.select(*columns, "text"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+        return counted.select(F.lit(op).alias("op"), *columns, F.lit(BPE).alias("tokenizer"), "n_tokens")
+
+    rollup = TokenRollup(spark, f"{checkpoint_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", changes("insert", docs))
+    poor = labels.where(F.col("quality") == 0).select("doc_id").distinct()
+    poor_docs = lookup_join(docs.select("text", *columns), poor, ["doc_id"], "inner")
+    rollup.commit("clean", changes("revise", poor_docs.withColumn("text", F.translate("text", "#*$%&|<>", ""))))
+    toxic = labels.where(F.col("toxic") == 1).select("doc_id").distinct()
+    toxic_docs = lookup_join(docs.select(*columns), toxic, ["doc_id"], "inner")
+    gone = toxic_docs.select(F.lit("delete").alias("op"), *columns, F.lit(BPE).alias("tokenizer"), F.lit(0).alias("n_tokens"))
+    for _ in range(2):
+        rollup.commit("takedown", gone)
+    return rollup.totals()
+
+
 OP8_SQL = r"""
 WITH poor AS (SELECT DISTINCT doc_id, true AS poor FROM labels WHERE quality = 0),
 toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),

@@ -284,6 +284,25 @@ def test_byte_pair_counts(spark):
     assert {r.doc_id: r.tokens for r in counted.collect()} == {1: 2, 2: 0}
 
 
+def test_byte_pair_rollup_equals_brute_force(spark):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").collect()
+    poor, toxic = {r.doc_id for r in labels if r.quality == 0}, {r.doc_id for r in labels if r.toxic == 1}
+    want = defaultdict(lambda: [0, 0])
+    for r in rows:
+        if r.doc_id not in toxic:
+            body = re.sub(r"[#*$%&|<>]", "", r.text or "") if r.doc_id in poor else r.text or ""
+            want[r.source, r.lang][0] += 1
+            want[r.source, r.lang][1] += len(encoding.encode_ordinary(body))
+    got = {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in QUERIES["token_rollup_byte_pairs"](spark, SMALL).collect()}
+    assert got == dict(want)
+
+
 def test_ablations_from_the_ledger(spark):
     rows = [(1, " ".join(["w#"] * 60), "s"), (2, "few words", "s"), (3, prose(random.Random(9), 80), "s")]
     ledger = quality_rules.ledger(table(spark, rows))
