@@ -122,6 +122,14 @@ class OrderedRows:
             part.add(name, F.coalesce(local, F.lit(0)) + F.coalesce(F.col("_carried"), F.lit(0)))
         return self
 
+    def with_xor(self, value: str, name: str) -> OrderedRows:
+        """Bitwise exclusive or of the whole numbers ``value`` over the rows of the key up to this one."""
+        for part in self._parts:
+            part.carry(F.bit_xor(value), F.bit_xor("_value").over(part.earlier_runs))
+            local = F.bit_xor(value).over(part.window.rowsBetween(Window.unboundedPreceding, 0))
+            part.add(name, local.bitwiseXOR(F.coalesce(F.col("_carried"), F.lit(0)).cast("bigint")))
+        return self
+
     def with_last_known(self, value: str, name: str) -> OrderedRows:
         """Latest non-null ``value`` at or before the row, within the key."""
         position = F.when(F.col(value).isNotNull(), F.struct(*self._order))
