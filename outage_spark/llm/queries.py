@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as run_pipeline
+from outage_spark.llm.conversation_trie import OP13_SQL, op13_conversation_trie
+from outage_spark.llm.cross_polytope import op12_nearest_neighbours
 from outage_spark.llm.decontamination import OP6_SQL, op6_decontamination
+from outage_spark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from outage_spark.llm.jaccard_join import op4_jaccard_join
 from outage_spark.llm.license_scan import OP3_SQL, op3_license_scan
 from outage_spark.llm.mixture import op7_mixture
@@ -28,6 +31,9 @@ QUERIES = {
     "token_rollup_byte_pairs": byte_pair_rollup,
     "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 SQL = ({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {}) | {
@@ -37,4 +43,6 @@ SQL = ({"pipeline": PIPELINE_SQL} if PIPELINE_SQL else {}) | {
     "op6_decontamination": OP6_SQL,
     "op8_token_rollup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
