@@ -46,7 +46,7 @@ def ordered_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str
 
 
 def rebuild(turns: DataFrame, base: Column, head: Column) -> DataFrame:
-    """Conversations whose first turns come from another one: ``conv_id, depth, role_hash ...`` of every turn.
+    """Conversations whose first turns come from another one: ``conv_id, depth, h1, h2, n_words, n_turns`` of every turn.
 
     Conversation c begins with the first ``head`` (0 to HEAD_TURNS) turns of conversation ``base``, all of
     them if there are fewer, none if it is absent; then follow c's own turns after its first ``head``.
