@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -71,6 +70,9 @@ class _TopK:
             ids_here = np.concatenate([self.ids[part], ids_here], axis=1)
             self.scores[part], self.ids[part] = _best(scores, ids_here, self.k)
 
+    def table(self) -> pa.Table:
+        return pa.Table.from_batches([self.batch()])
+
     def batch(self) -> pa.RecordBatch:
         found = np.isfinite(self.scores)
         question = np.broadcast_to(self.question_ids[:, None], self.scores.shape)[found]
@@ -110,9 +112,25 @@ def similar(
     return _ranked(hits, k)
 
 
-def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 4) -> DataFrame:
-    """The k nearest corpus texts per question; both tables are (vec_id, embedding, text)."""
-    return lookup_join(similar(questions, corpus, k), corpus.select("vec_id", "text"), ["vec_id"], "inner")
+def texts_of(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Hits with their texts (``vec_id, text``, one row per id); a hit whose text is missing stays, with null.
+
+    Only texts that were hit are shuffled or kept, so the corpus of texts is read once and never copied.
+    """
+    hit = hits.select("vec_id").distinct()
+    wanted = texts.select("vec_id", "text").join(hit, "vec_id", "left_semi")
+    return lookup_join(hits, wanted, ["vec_id"])
+
+
+def retrieve(questions: DataFrame, corpus: DataFrame, k: int = 4, texts: DataFrame | None = None) -> DataFrame:
+    """The k nearest corpus vectors per question, with their texts.
+
+    ``questions`` and ``corpus`` are (vec_id, embedding); ``texts`` is (vec_id, text), by default the corpus's
+    own column. All corpus vectors are ranked, whether they have a text or not: a missing text leaves the
+    hit with a null text and lets no further hit move up.
+    """
+    hits = settle(similar(questions, corpus, k))
+    return texts_of(hits, corpus if texts is None else texts)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -147,24 +165,55 @@ def _grid(asked: DataFrame, stored: DataFrame, k: int, block_rows: int = BLOCK_R
 
     def meet(questions: pa.Table, vectors: pa.Table) -> pa.Table:
         if not questions.num_rows:
-            return pa.table({"question_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
+            return _TopK(np.empty(0, np.int64), np.empty((0, 0)), k).table()
         best = _TopK(questions.column("vec_id").to_numpy().astype(np.int64), _matrix(questions.column("v")), k)
         if vectors.num_rows:
             best.add(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v")))
-        return pa.Table.from_batches([best.batch()])
+        return best.table()
 
     return left.cogroup(right).applyInArrow(meet, HITS)
 
 
 # Index
 
+INDEX_BLOCK = 4096
+ROUNDS = 1
+PROBE = "vec_id bigint, v array<double>, block_id int, lists array<int>"
 
-class VectorIndex:
-    """Corpus rows with their ``list_id``; per list its centre, the widest angle to it and the longest vector."""
 
-    def __init__(self, table: DataFrame, centres: np.ndarray, radii: np.ndarray, longest: np.ndarray):
-        self.table, self.centres, self.radii, self.longest = table, centres, radii, longest
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+
+class ListMap:
+    """What tasks know of the lists: centre, widest angle and longest vector of each, and its blocks.
+
+    Rows meet questions in blocks: a list of more than ``block_rows`` rows is cut into several blocks, and
+    neighbouring smaller lists share one.
+    """
+
+    def __init__(
+        self, centres: np.ndarray, radii: np.ndarray, longest: np.ndarray, sizes: np.ndarray, block_rows: int = INDEX_BLOCK
+    ):
+        self.centres, self.radii, self.longest = centres, radii, longest
+        self.n_blocks = np.maximum(-(-sizes // block_rows), 1).astype(np.int32)
+        self.first_block, block, filled = np.zeros(len(sizes), np.int32), -1, block_rows
+        for one, size in enumerate(sizes.tolist()):
+            if filled + size > block_rows:
+                block, filled = block + 1, 0
+            self.first_block[one] = block
+            block, filled = block + int(self.n_blocks[one]) - 1, filled + size
+
+    def count_blocks(self) -> int:
+        return int((self.first_block + self.n_blocks).max())
+
+    def nearest(self, questions: np.ndarray, n_probe: int) -> np.ndarray:
+        """(questions x lists) which lists are the ``n_probe`` nearest of a question."""
+        closeness = questions @ self.centres.T
+        n_probe = min(n_probe, len(self.centres))
+        wanted = np.zeros(closeness.shape, bool)
+        np.put_along_axis(wanted, np.argpartition(-closeness, n_probe - 1, axis=1)[:, :n_probe], True, axis=1)
+        return wanted
 
     def best_possible(self, questions: np.ndarray) -> np.ndarray:
         """Upper bound of the score in each list: the angle to the centre less the list's widest angle."""
@@ -174,52 +223,113 @@ class VectorIndex:
         # The slack covers rounded scores and float noise in the angles.
         return lengths * self.longest * np.maximum(nearest, 0.0) + 1e-5
 
+    def blocks_of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(question place, block, list) for every block of every wanted list, in that order."""
+        question, one = np.nonzero(wanted)
+        times = self.n_blocks[one]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        question, block, one = np.repeat(question, times), np.repeat(self.first_block[one], times) + within, np.repeat(one, times)
+        order = np.lexsort((one, block, question))
+        return question[order], block[order], one[order]
 
-def build_index(
-    corpus: DataFrame, n_lists: int | None = None, vec_id: str = "vec_id", vec: str = "embedding", seed: int = 7,
-    path: str | None = None,
-) -> VectorIndex:
-    """Group vectors into ``n_lists`` lists by k-means; with ``path``, store them one folder per list.
 
-    Stored lists are partitions, so a search reads only the lists it probes. Without ``n_lists`` there
-    are as many as the square root of the corpus, so lists grow no faster than their number does. All
-    rows place the centres; exact searches do not depend on them.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+class VectorIndex:
+    """Corpus rows ``vec_id, v, list_id`` and the map of their lists."""
 
-    stored = _vectors(corpus, vec_id, vec)
-    features = stored.withColumn("features", array_to_vector(F.col("v").cast("array<double>")))
-    training = features.where(F.exists("v", lambda x: x != 0))  # a zero vector has no direction
-    n_lists = n_lists or max(1, math.isqrt(training.count()))
-    model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(training)
-    centres = np.array(model.clusterCenters())
-    centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    def __init__(self, table: DataFrame, lists: ListMap):
+        self.table, self.lists = table, lists
+
+    def rows(self) -> DataFrame:
+        """``vec_id, v, list_id, block_id``."""
+        blocks = zip(self.lists.first_block.tolist(), self.lists.n_blocks.tolist(), strict=True)
+        layout = self.table.sparkSession.createDataFrame(
+            [(i, first, n) for i, (first, n) in enumerate(blocks)], "list_id int, _first int, _n int"
+        )
+        # Bounded: one row per list, and lists are as many as the square root of the corpus.
+        placed = self.table.join(F.broadcast(layout), "list_id")
+        block = F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int")
+        return placed.select("vec_id", F.col("v").cast("array<double>").alias("v"), "list_id", block.alias("block_id"))
+
+
+def centres_of(stored: DataFrame, n_lists: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Unit centres: distinct rows to begin with, then ``rounds`` times the mean of the rows nearest to each.
+
+    Only centres and their sums, ``n_lists`` rows, come to the driver. All rows take part in every mean.
+    """
+    # Copies of a vector would begin as the same centre, so some more rows are looked at.
+    begin = stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(3 * n_lists).select("v").toArrow()
+    centres = _unit(np.unique(_matrix(begin.column("v")), axis=0))
+    centres = centres[np.random.default_rng(7).permutation(len(centres))[:n_lists]]
+    for _ in range(rounds):
+
+        def add_up(batches: Iterator[pa.RecordBatch], now: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros_like(now)
+            for batch in batches:
+                if batch.num_rows:
+                    unit = _unit(_matrix(batch.column(0)))
+                    np.add.at(sums, (unit @ now.T).argmax(axis=1), unit)
+            yield pa.RecordBatch.from_pydict({"list_id": np.arange(len(now), dtype=np.int32), "s": list(sums)})
+
+        parts = stored.select("v").mapInArrow(add_up, "list_id int, s array<double>")
+        total = parts.select("list_id", F.posexplode("s").alias("at", "x")).groupBy("list_id", "at").agg(F.sum("x").alias("x")).toArrow()
+        sums = np.zeros_like(centres)
+        sums[total.column("list_id").to_numpy(), total.column("at").to_numpy()] = total.column("x").to_numpy()
+        moved = np.linalg.norm(sums, axis=1) > 1e-9
+        centres = np.where(moved[:, None], _unit(sums), centres)
+    return centres
+
+
+def place_in_lists(stored: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Rows (``vec_id``, ``v``, and any others) with the list of the nearest centre, the angle to it and the length."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema]
+    at, names = stored.columns.index("v"), [*stored.columns, "angle", "norm", "list_id"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                vectors = _matrix(batch.column(1))
+                vectors = _matrix(batch.column(at))
                 norms = np.linalg.norm(vectors, axis=1)
                 cosines = (vectors @ centres.T) / np.maximum(norms, 1e-12)[:, None]
                 lists = cosines.argmax(axis=1)
                 angles = np.arccos(np.clip(cosines[np.arange(len(lists)), lists], -1.0, 1.0))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *map(pa.array, (angles, norms, lists.astype(np.int32)))],
-                    names=["vec_id", "v", "angle", "norm", "list_id"],
-                )
+                added = map(pa.array, (angles, norms, lists.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+
+    return stored.mapInArrow(place, ", ".join([*fields, "angle double, norm double, list_id int"]))
+
+
+def list_stats(placed: DataFrame, n_lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(widest angle, longest vector, rows) of every list."""
+    reach = placed.groupBy("list_id").agg(F.max("angle").alias("radius"), F.max("norm").alias("longest"), F.count(F.lit(1)).alias("n"))
+    radii, longest, sizes = np.zeros(n_lists), np.zeros(n_lists), np.zeros(n_lists, np.int64)
+    for row in reach.collect():  # n_lists rows
+        radii[row["list_id"]], longest[row["list_id"]], sizes[row["list_id"]] = row["radius"], row["longest"], row["n"]
+    return radii, longest, sizes
 
-    placed = stored.mapInArrow(place, "vec_id bigint, v array<float>, angle double, norm double, list_id int")
+
+def build_index(
+    corpus: DataFrame, n_lists: int | None = None, vec_id: str = "vec_id", vec: str = "embedding",
+    path: str | None = None, block_rows: int = INDEX_BLOCK,
+) -> VectorIndex:
+    """Group vectors into ``n_lists`` lists around centres; with ``path``, store them one folder per list.
+
+    Stored lists are partitions, so a search reads only the lists it probes. Without ``n_lists`` there
+    are as many as the square root of the corpus, so lists grow no faster than their number does. All
+    rows place the centres; exact searches do not depend on them.
+    """
+    stored = _vectors(corpus, vec_id, vec)
+    n_lists = n_lists or max(1, math.isqrt(stored.count()))
+    # A zero vector has no direction, so it places no centre.
+    centres = centres_of(stored.where(F.exists("v", lambda x: x != 0)), n_lists)
+    if not len(centres):
+        centres = np.ones((1, stored.agg(F.max(F.size("v"))).first()[0] or 1))
+    placed = place_in_lists(stored, centres)
     if path:
         placed.write.mode("overwrite").partitionBy("list_id").parquet(path)
-        placed = corpus.sparkSession.read.parquet(path)
+        placed = corpus.sparkSession.read.schema(placed.schema).parquet(path)
     else:
         placed = settle(placed)
-    radii, longest = np.zeros(len(centres)), np.zeros(len(centres))
-    reach = placed.groupBy("list_id").agg(F.max("angle").alias("radius"), F.max("norm").alias("longest"))
-    for row in reach.collect():  # n_lists rows
-        radii[row["list_id"]], longest[row["list_id"]] = row["radius"], row["longest"]
-    return VectorIndex(placed, centres, radii, longest)
+    return VectorIndex(placed, ListMap(centres, *list_stats(placed, len(centres)), block_rows))
 
 
 def search_index(
@@ -230,62 +340,88 @@ def search_index(
     exact: bool = True,
     vec_id: str = "vec_id",
     vec: str = "embedding",
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = 4 * 1024 * 1024,
 ) -> DataFrame:
     """Top k per question from the nearest ``n_probe`` lists, then from every list that could still hold a better one.
 
-    The angle between question and centre, less the list's widest angle, bounds the best score in a
-    list, so the second pass makes the answer equal to a full scan. ``exact=False`` stops after the
-    first pass. Questions beyond the broadcast limit are answered in blocks, each in the same way.
+    Questions choose their lists inside tasks, and (question, block) rows are joined with the index by block,
+    so neither side passes through the driver and no task holds more than one block and ``max_bytes`` of
+    questions. The angle between question and centre, less the list's widest angle, bounds the best score in
+    a list; the second pass joins each question's k-th score and asks the lists whose bound reaches it, so the
+    answer equals a full scan. ``exact=False`` stops after the first pass and scores the nearest lists only.
     """
     asked = settle(_vectors(questions, vec_id, vec))
-    blocks = size_in_blocks(asked, max_bytes)
-    if blocks == 1:
-        return _search_block(index, asked, k, n_probe, exact)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    found = [_search_block(index, asked.where(block == b), k, n_probe, exact) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
+    parts, lists = size_in_blocks(asked, max_bytes), index.lists
 
+    def nearest(matrix: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        return lists.nearest(matrix, n_probe), None
 
-def _search_block(index: VectorIndex, asked: DataFrame, k: int, n_probe: int, exact: bool) -> DataFrame:
-    if asked.isEmpty():
-        return _ranked(asked.sparkSession.createDataFrame([], HITS), k)
-    question_ids, matrix = _local(asked)
-    closeness = matrix @ index.centres.T
-    n_probe = min(n_probe, len(index.centres))
-    probed = np.zeros_like(closeness, dtype=bool)
-    nearest = np.argpartition(-closeness, n_probe - 1, axis=1)[:, :n_probe]
-    np.put_along_axis(probed, nearest, True, axis=1)
-    first = settle(_ranked(_probe(index.table, question_ids, matrix, probed, k), k).drop("rank"))
-    if not exact:
+    def possible(matrix: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        return lists.best_possible(matrix) >= kth[:, None], lists.nearest(matrix, n_probe)
+
+    first = _probe(index, asked.withColumn("kth", F.lit(float("-inf"))), nearest, k, parts, only_lists=not exact)
+    if not exact or lists.count_blocks() == 1:
         return _ranked(first, k)
-    floor = dict.fromkeys(question_ids.tolist(), -np.inf)
-    worst = first.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-    for row in worst.where(F.col("n") == k).collect():  # one row per question, within the broadcast limit
-        floor[row["question_id"]] = row["kth"]
-    kth = np.array([floor[q] for q in question_ids.tolist()])
-    left = (index.best_possible(matrix) >= kth[:, None]) & ~probed
-    return _ranked(first.unionByName(_probe(index.table, question_ids, matrix, left, k)), k)
+    first = settle(_ranked(first, k).drop("rank"))
+    worst = first.groupBy(F.col("question_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
+    kth = F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(float("-inf")))
+    left = asked.join(worst, "vec_id", "left").select("vec_id", "v", kth.alias("kth"))
+    return _ranked(first.unionByName(_probe(index, left, possible, k, parts, only_lists=False)), k)
 
 
-def _probe(table: DataFrame, question_ids: np.ndarray, matrix: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
-    lists = np.flatnonzero(wanted.any(axis=0)).tolist()
-    read = table.where(F.col("list_id").isin(lists)).select("vec_id", "v", "list_id")
+def _probe(index: VectorIndex, asked: DataFrame, choose: Callable, k: int, parts: int, only_lists: bool) -> DataFrame:
+    """Hits of the questions (``vec_id, v, kth``) in the blocks of the lists that ``choose`` gives them.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _TopK(question_ids, matrix, k)
+    ``choose`` gives (lists wanted, lists whose blocks were met before). Within a block all rows are scored,
+    unless ``only_lists`` keeps to the wanted lists.
+    """
+    lists = index.lists
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            of_list = batch.column(2).to_numpy()
-            for one in np.unique(of_list):
-                rows, here = np.flatnonzero(wanted[:, one]), of_list == one
-                if len(rows):
-                    best.add(ids[here], vectors[here], rows)
-        yield best.batch()
+            for at in range(0, batch.num_rows, QUESTION_SLICE):
+                part = batch.slice(at, QUESTION_SLICE)
+                matrix = _matrix(part.column(1))
+                wanted, met = choose(matrix, part.column(2).to_numpy())
+                question, block, one = lists.blocks_of(wanted)
+                if met is not None:
+                    many = lists.count_blocks()
+                    before = lists.blocks_of(met)
+                    new = ~np.isin(question * many + block, before[0] * many + before[1])
+                    question, block, one = question[new], block[new], one[new]
+                if not len(question):
+                    continue
+                starts = np.flatnonzero(np.r_[True, (np.diff(question) != 0) | (np.diff(block) != 0)])
+                ends = pa.array(np.r_[starts, len(one)].astype(np.int32))
+                wanted_here = pa.ListArray.from_arrays(ends, pa.array(one.astype(np.int32)))
+                own = part.select(["vec_id", "v"]).take(pa.array(question[starts]))
+                vectors = own.column(1).cast(pa.list_(pa.float64()))
+                blocks = pa.array(block[starts].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([own.column(0), vectors, blocks, wanted_here], names=["vec_id", "v", "block_id", "lists"])
+
+    part_of = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    probes = settle(asked.mapInArrow(pick, PROBE).withColumn("part", part_of))
+    needed = probes.select(F.col("block_id").alias("_block"), F.col("part").alias("_part")).distinct()
+    rows = index.rows().join(needed, F.col("block_id") == F.col("_block")).drop("_block").withColumnRenamed("_part", "part")
 
-    return read.mapInArrow(scan, HITS)
+    def meet(questions: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids = questions.column("vec_id").to_numpy().astype(np.int64)
+        if not len(ids) or not vectors.num_rows:
+            return _TopK(np.empty(0, np.int64), np.empty((0, 0)), k).table()
+        best = _TopK(ids, _matrix(questions.column("v")), k)
+        row_ids, matrix = vectors.column("vec_id").to_numpy().astype(np.int64), _matrix(vectors.column("v"))
+        if not only_lists:
+            best.add(row_ids, matrix)
+            return best.table()
+        asked_lists, of_row = questions.column("lists").combine_chunks(), vectors.column("list_id").to_numpy()
+        owner = np.repeat(np.arange(len(ids)), np.asarray(asked_lists.value_lengths()))
+        wanted = asked_lists.flatten().to_numpy()
+        for one in np.unique(of_row):
+            here = of_row == one
+            best.add(row_ids[here], matrix[here], owner[wanted == one])
+        return best.table()
+
+    return probes.groupBy("block_id", "part").cogroup(rows.groupBy("block_id", "part")).applyInArrow(meet, HITS)
 
 
 def ann_recall(exact: DataFrame, found: DataFrame) -> DataFrame:
@@ -338,9 +474,10 @@ def assemble_context(
 ) -> DataFrame:
     """Prompt per question: the texts of its k hits in rank order, put into the template with the question.
 
-    ``texts`` is (vec_id, text), ``questions`` is (question_id, question). A group holds k texts.
+    ``texts`` is (vec_id, text), ``questions`` is (question_id, question). A group holds k texts; hits whose
+    text is missing add nothing.
     """
-    found = lookup_join(hits, texts.select("vec_id", "text"), ["vec_id"], "inner").select("question_id", "rank", "text")
+    found = texts_of(settle(hits), texts).where(F.col("text").isNotNull()).select("question_id", "rank", "text")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))["text"]
     contexts = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_texts"), ordered.alias("_texts"))
     joined = questions.join(contexts, "question_id", "left")

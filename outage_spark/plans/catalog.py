@@ -15,6 +15,8 @@ from outage_spark.operators import (
     conversation,
     estimate,
     generate,
+    hashed,
+    index_store,
     ingest,
     lookup,
     planned,
@@ -225,11 +227,32 @@ def vector_topk_index(spark, d):
     return retrieval.search_index(retrieval.build_index(vectors), vectors, 4)
 
 
+@query
+def index_after_changes(spark, d):
+    """An index that lost a third of its ids, was compacted, and then got new and corrected vectors."""
+    vectors = standins.table(spark, d, "embeddings").select("vec_id", "embedding")
+    wrong = F.when(F.col("vec_id") % 7 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    old = vectors.withColumn("embedding", wrong).where("vec_id % 5 <> 0")
+    fewer, now = old.where("vec_id % 3 <> 0"), vectors.where("vec_id % 3 <> 0")
+    home = jobs.scratch_home(spark)
+    index_store.create_index(old, home)
+    index_store.apply_changes(home, ingest.table_diff(old, fewer, ["vec_id"]), 0)
+    index_store.compact(spark, home)
+    index_store.apply_changes(home, ingest.table_diff(fewer, now, ["vec_id"]), 1)
+    return retrieval.search_index(index_store.read_index(spark, home), now, 4)
+
+
+@query
+def vector_join_hashed(spark, d):
+    vectors = standins.table(spark, d, "embeddings")
+    return hashed.similar_hashed(vectors, vectors, 4)
+
+
 @query
 def retrieved_texts(spark, d):
     texts = _docs(spark, d).withColumnRenamed("doc_id", "vec_id")
-    corpus = standins.table(spark, d, "embeddings").select("vec_id", "embedding").join(texts, "vec_id")
-    found = retrieval.retrieve(corpus, corpus, 4)
+    vectors = standins.table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = retrieval.retrieve(vectors, vectors, 4, texts)
     return found.select("question_id", "vec_id", "score", "rank", F.length("text").alias("text_chars"))
 
 

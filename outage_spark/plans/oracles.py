@@ -231,9 +231,11 @@ ORACLES: dict[str, str] = {
     "weather_asof": WEATHER_ASOF,
     "vector_topk": _with(HITS) + "SELECT * FROM hits",
     "vector_topk_index": _with(HITS) + "SELECT * FROM hits",
+    "index_after_changes": _with("kept AS (SELECT * FROM embeddings WHERE vec_id % 3 <> 0)", HITS.replace("FROM embeddings q CROSS JOIN embeddings c", "FROM kept q CROSS JOIN kept c"))
+    + "SELECT * FROM hits",
     "retrieved_texts": _with(HITS)
     + """SELECT question_id, vec_id, score, rank, CAST(length(text) AS INTEGER) AS text_chars
-        FROM hits JOIN documents ON doc_id = vec_id""",
+        FROM hits LEFT JOIN documents ON doc_id = vec_id""",
     "planned_conflicts": _with(PLANNED)
     + """SELECT a.postcode, a.outage_id, a.start_ts, a.end_ts, count(*) AS n_conflicts
         FROM planned a JOIN planned b ON a.postcode = b.postcode AND a.outage_id <> b.outage_id
@@ -312,7 +314,7 @@ ORACLES: dict[str, str] = {
     "events_as_of": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS as_of FROM events",
     "rag_context": _with(HITS)
     + f""", found AS (SELECT question_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS texts
-            FROM hits JOIN documents ON doc_id = vec_id GROUP BY question_id)
+            FROM hits LEFT JOIN documents ON doc_id = vec_id GROUP BY question_id)
         SELECT vec_id AS question_id, coalesce(n, 0) AS n_texts, {_prompt()} AS prompt
         FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN found ON found.question_id = e.vec_id""",
     "precision_at_k": _with(HITS)

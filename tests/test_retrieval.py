@@ -146,3 +146,66 @@ def test_arguments_hold_for_any_number_of_questions(spark):
         small = R.search_index(index, df, 3, 1, exact)
         large = R.search_index(index, df, 3, 1, exact, max_bytes=1000)
         assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
+@pytest.mark.parametrize("block_rows", [7, 60, 5000])
+def test_lists_and_blocks(data, block_rows):
+    """Copies make one list much longer than a block; others share blocks."""
+    df, vectors = data
+    index = R.build_index(df, n_lists=12, block_rows=block_rows)
+    lists = index.lists
+    spans = [(f, f + n) for f, n in zip(lists.first_block.tolist(), lists.n_blocks.tolist())]
+    assert all(a[1] <= b[0] or a == b or (a[1] - a[0], b[1] - b[0]) == (1, 1) for a, b in zip(spans, spans[1:]))
+    sizes = {r.block_id: r["count"] for r in index.rows().groupBy("block_id").count().collect()}
+    assert sum(sizes.values()) == 600
+    if block_rows == 60:
+        assert len(sizes) > 8 and max(sizes.values()) < 3 * block_rows
+    # More questions than a task may hold at once.
+    for max_bytes in (1000, 10**7):
+        same(rows(R.search_index(index, df, K, 1, max_bytes=max_bytes)), best(vectors, vectors))
+
+
+def test_search_keeps_everything_off_the_driver():
+    import inspect
+
+    source = inspect.getsource(R.search_index) + inspect.getsource(R._probe)
+    assert "toArrow" not in source and "collect(" not in source
+
+
+def test_quick_search_scores_the_nearest_lists_only(data):
+    df, vectors = data
+    index = R.build_index(df, n_lists=12)
+    of_row = {r.vec_id: r.list_id for r in index.table.collect()}
+    probed = index.lists.nearest(vectors, 2)
+    for r in R.search_index(index, df, K, 2, exact=False).collect():
+        assert probed[r.question_id, of_row[r.vec_id]]
+
+
+def test_hits_without_a_text_stay(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    texts = spark.createDataFrame([(1, "one"), (3, "three"), (4, "four")], "vec_id bigint, text string")
+    found = {(r.question_id, r["rank"]): (r.vec_id, r.text) for r in R.retrieve(vectors, vectors, 2, texts).collect()}
+    assert found[1, 1] == (1, "one") and found[1, 2] == (2, None) and found[2, 2] in {(1, "one"), (2, None)} and len(found) == 6
+    own = vectors.join(texts, "vec_id", "left")
+    assert {(r.question_id, r["rank"]): (r.vec_id, r.text) for r in R.retrieve(own, own, 2).collect()} == found
+
+
+def test_hashed_join_finds_nearly_all(data):
+    from outage_spark.operators.hashed import similar_hashed
+
+    df, _ = data
+    exact = R.similar(df, df, K)
+    for rows_per_bucket, block_rows in ((20, 4096), (1024, 50)):
+        found = settle(similar_hashed(df, df, K, rows_per_bucket=rows_per_bucket, block_rows=block_rows))
+        assert R.ann_recall(exact, found).agg(F.avg("recall")).first()[0] >= 0.9
+        scores = {(q, v): s for q, v, s, _ in rows(exact)}
+        assert all(abs(scores[q, v] - s) < 1e-9 for q, v, s, _ in rows(found) if (q, v) in scores)
+        assert found.count() == 600 * K and found.select("question_id", "vec_id").distinct().count() == 600 * K
+
+
+def test_hashed_join_of_few_rows(spark):
+    from outage_spark.operators.hashed import similar_hashed
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert rows(similar_hashed(df, df, 1)) == rows(R.similar(df, df, 1))
+    assert similar_hashed(df.where("false"), df, 2).count() == similar_hashed(df, df.where("false"), 2).count() == 0
