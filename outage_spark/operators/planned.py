@@ -66,51 +66,56 @@ def outages_per_day(planned: DataFrame) -> DataFrame:
     return touched.groupBy("postcode", "day").agg(F.count(F.lit(1)).alias("planned_count"))
 
 
+def _length_levels(rows: DataFrame, low: Column, high: Column) -> int:
+    """Levels that the longest range of day numbers needs: blocks of up to its length."""
+    return max(rows.agg(F.max(high - low + 1)).first()[0] or 1, 1).bit_length()
+
+
 LEVELS = 24  # blocks of up to 2^23 days: any two dates
 
 
-def _blocks(low: Column, high: Column) -> Column:
-    """The day numbers ``low`` to ``high`` as dyadic blocks (level, block): at most two per level, none for low > high."""
+def _blocks(low: Column, high: Column, levels: int = LEVELS, way: int = 0) -> Column:
+    """The day numbers ``low`` to ``high`` as dyadic blocks: at most two per level, none for low > high."""
 
     def at(level: int) -> list[Column]:
         size = F.lit(1 << level)
         first = F.ceil(low / size).cast("bigint")
         last = F.floor((high + 1) / size).cast("bigint") - 1
         some = first <= last
-        left = F.when(some & (F.pmod(first, F.lit(2)) == 1), F.struct(F.lit(level).alias("level"), first.alias("block")))
-        right = F.when(some & (F.pmod(last, F.lit(2)) == 0), F.struct(F.lit(level).alias("level"), last.alias("block")))
-        return [left, right]
+        left, right = some & (F.pmod(first, F.lit(2)) == 1), some & (F.pmod(last, F.lit(2)) == 0)
+        if level == levels - 1:  # no larger blocks: the range is at most two of these
+            left, right = some, first < last
+        return [F.when(left, _node(way, level, first)), F.when(right, _node(way, level, last))]
 
-    return F.array_compact(F.array(*[block for level in range(LEVELS) for block in at(level)]))
+    return F.array_compact(F.array(*[block for level in range(levels) for block in at(level)]))
 
 
-def _points_in_ranges(points: DataFrame, point: Column, ranges: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Join on postcode and ``low <= point <= high`` (day numbers), as an equi join on dyadic blocks.
+def _node(way: int, level: int, block: Column) -> Column:
+    return F.struct(F.lit(2 * level + way).alias("node"), block.cast("bigint").alias("block"))
 
-    A range has at most two blocks per level and a point lies in one, so a range of n days is about
-    2 log n rows and no pair meets twice. Points are written out for the levels that ranges use only.
-    """
-    cut = settle(ranges.withColumn("_b", F.explode(_blocks(low, high))).select("*", "_b.*").drop("_b"))
-    used = [row.level for row in cut.select("level").distinct().collect()]  # at most LEVELS numbers
-    if not used:
-        used = [0]
-    spots = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.floor(point / F.lit(1 << v)).alias("block")) for v in used]))
-    placed = points.withColumn("_b", spots).select("*", "_b.*").drop("_b")
-    return placed.join(cut, ["postcode", "level", "block"]).drop("level", "block")
 
+def _blocks_over(day: Column, levels: int, way: int) -> Column:
+    """The block of every level that holds a day number."""
+    return F.array(*[_node(way, level, F.floor(day / F.lit(1 << level))) for level in range(levels)])
 
-def _meet(requests: DataFrame, outages: DataFrame, columns) -> DataFrame:
-    """Every (ask, outage row) that share a day, once. ``outages`` has ``_first`` and ``_last`` dates.
 
-    Either the outage begins in the asked range, or it began before and still runs when the range
-    begins. Both are points in ranges of days.
+def _placed(asks: DataFrame, outages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Asks and outage rows (with ``_first`` and ``_last`` dates) at the tree nodes where those that share a day meet once.
+
+    Either the outage begins in the asked range (way 0), or it began before and still runs when the range
+    begins (way 1). Both are a day in a range of days: the range takes its dyadic blocks, about 2 log n rows for
+    n days, and the day the blocks that hold it.
     """
-    asks = asks_of(requests)
+    asks, outages = settle(asks), settle(outages)
     first, last = F.unix_date("_first"), F.unix_date("_last")
     start, end = F.unix_date("start_date"), F.unix_date("end_date")
-    begun = _points_in_ranges(outages, first, asks, start, end)
-    running = _points_in_ranges(asks, start, outages, first + 1, last)
-    return begun.select(*ASK, *columns).unionByName(running.select(*ASK, *columns))
+    asked, ran = _length_levels(asks, start, end), _length_levels(outages, first + 1, last)
+    of_ask = F.concat(_blocks(start, end, asked, way=0), _blocks_over(start, ran, way=1))
+    of_outage = F.concat(_blocks_over(first, asked, way=0), _blocks(first + 1, last, ran, way=1))
+    return asks.select("*", F.inline(of_ask)), outages.select("*", F.inline(of_outage))
+
+
+NODE = ["postcode", "node", "block"]
 
 
 def _spans(planned: DataFrame, *totals: Column) -> DataFrame:
@@ -126,14 +131,15 @@ def planned_matches(
     outages = _well_formed(planned).select(
         "postcode", *columns, F.to_date("start_ts").alias("_first"), F.to_date("end_ts").alias("_last")
     )
-    return _meet(requests, outages, columns)
+    asks, outages = _placed(asks_of(requests), outages)
+    return asks.join(outages, NODE).select(*ASK, *columns)
 
 
 def planned_for(requests: DataFrame, planned: DataFrame) -> DataFrame:
     """One row per request: number, first start, last end and mean hours of its planned outages.
 
-    Outages are summed up per span before they meet the asks, so a hot postcode shrinks to a few
-    rows per day.
+    Outages are summed up per span, then per node of a tree of dyadic day blocks, before they meet the asks:
+    an ask reads about 2 log n totals for n days, however many outages its postcode has.
     """
     hours = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("end_ts")) / F.lit(3.6e9)
     spans = _spans(
@@ -143,15 +149,19 @@ def planned_for(requests: DataFrame, planned: DataFrame) -> DataFrame:
         F.max("end_ts").alias("last_end"),
         F.sum(hours.cast("decimal(18,6)")).alias("hours"),
     )
-    per_ask = (
-        _meet(requests, spans, ("n", "first_start", "last_end", "hours"))
-        .groupBy(*ASK)
-        .agg(
-            F.sum("n").alias("n_outages"),
-            F.min("first_start").alias("first_start"),
-            F.max("last_end").alias("last_end"),
-            F.round(F.sum("hours").cast("double") / F.sum("n"), 4).alias("mean_hours"),
-        )
+
+    def totals() -> list[Column]:
+        ends = F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end")
+        return [F.sum("n").alias("n"), *ends, F.sum("hours").alias("hours")]
+
+    asks, nodes = _placed(asks_of(requests), spans)
+    met = asks.join(nodes.groupBy(*NODE).agg(*totals()), NODE).groupBy(*ASK).agg(*totals())
+    per_ask = met.select(
+        *ASK,
+        F.col("n").alias("n_outages"),
+        "first_start",
+        "last_end",
+        F.round(F.col("hours").cast("double") / F.col("n"), 4).alias("mean_hours"),
     )
     joined = lookup_join(requests, per_ask, ASK, salt_by="request_id")
     return joined.fillna(0, ["n_outages"])
