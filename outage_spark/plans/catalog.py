@@ -16,6 +16,7 @@ from outage_spark.operators import (
     estimate,
     generate,
     hashed,
+    identity,
     index_store,
     ingest,
     lookup,
@@ -27,7 +28,7 @@ from outage_spark.operators import (
 from outage_spark.plans import triage
 from outage_spark.sources import standins
 from outage_spark.sources.readers import split_errors
-from outage_spark.streaming import jobs
+from outage_spark.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,6 +342,17 @@ def surrogate_id(spark, d):
     return spread.assign_ids(chunks, ["doc_id", "chunk_no"])
 
 
+@query
+def surrogate_id_appends(spark, d):
+    """Chunk ids that go on over three appends, the second of them sent twice."""
+    home = jobs.scratch_home(spark)
+    identity.create_numbered(spark, home)
+    for batch in (0, 1, 1, 2):
+        docs = _docs(spark, d).where(F.col("doc_id") % 3 == batch)
+        identity.append_numbered(ingest.chunk_fixed(docs).select("doc_id", "chunk_no"), ["doc_id", "chunk_no"], home, batch)
+    return identity.read_numbered(spark, home, "doc_id bigint, chunk_no int, id bigint")
+
+
 @query
 def top_k_global(spark, d):
     return spread.top_k(_events(spark, d).select("event_id", "value"), [F.desc("value"), F.asc("event_id")], 10)
@@ -570,8 +582,46 @@ def stream_sliding_counts(spark, d):
 
 @query
 def stream_session_counts(spark, d):
-    counted = jobs.session_counts(_event_stream(spark, d), "ts", "30 minutes", keys=["user_id"])
-    return jobs.run_windows(counted, ["user_id"], sessions=True)
+    home = jobs.scratch_home(spark)
+    stateful.session_stream(_event_parts(spark, d), "ts", "30 minutes", home, keys=["user_id"]).awaitTermination()
+    return stateful.read_sessions(spark, home, "user_id bigint")
+
+
+def _event_parts(spark, d, parts: int = 4, end: bool = False):
+    """All events as a stream of several batches in order of time.
+
+    ``end`` adds two events far later, of no real user and without id: a watermark counts from the batch after the
+    one that moved it, so the batch of the second completes all that came before the first.
+    """
+    folder, events = f"{jobs.scratch_home(spark)}/events", _events(spark, d)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    borders = [first + (last - first) * i / parts for i in range(1, parts)] if first else []
+    part = sum((F.coalesce(F.col("ts") >= F.lit(b).cast("timestamp_ntz"), F.lit(False)).cast("int") for b in borders), F.lit(0))
+    for n in range(len(borders) + 1):
+        events.where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    for days in (400, 800) if end else ():
+        late = events.agg((F.max("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"))
+        given = {"ts": F.col("ts"), "user_id": F.lit(-1)}
+        late.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query
+def stream_weather_interval(spark, d):
+    """Weather up to two hours old, from two streams whose state goes with the watermark."""
+    events = _event_parts(spark, d, end=True)
+    asked = standins.requests_from_events(events).select("request_id", "postcode", "asked_at")
+    seen = standins.observations_from_events(events)
+    home = jobs.scratch_home(spark)
+    stateful.weather_interval_stream(asked, seen, home, "2 hours", "1 hour").awaitTermination()
+    return stateful.best_weather(spark, home, asked.columns).where("request_id IS NOT NULL")
+
+
+@query
+def stream_conversation_state(spark, d):
+    turns = _stream(spark, d, "conversations", schemas.TURNS)
+    updates = jobs.run_to_end(stateful.conversation_state(turns), "update")
+    return jobs.latest_rows(updates, ["conv_id", "turn"])
 
 
 @query

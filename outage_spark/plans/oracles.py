@@ -288,6 +288,7 @@ ORACLES: dict[str, str] = {
             coalesce(string_agg(text, chr(10) ORDER BY c.turn), '') AS context
         FROM last LEFT JOIN conversations c ON c.conv_id = last.conv_id AND c.turn < last.turn GROUP BY ALL""",
     "surrogate_id": f"SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS id, doc_id, chunk_no FROM ({FIXED_CHUNKS})",
+    "surrogate_id_appends": f"SELECT row_number() OVER (ORDER BY doc_id % 3, doc_id, chunk_no) AS id, doc_id, chunk_no FROM ({FIXED_CHUNKS})",
     "top_k_global": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10",
     "next_planned": _with(PLANNED)
     + f"""SELECT postcode, outage_id, start_ts, end_ts, reason FROM planned WHERE start_ts >= TIMESTAMP '{NEXT_FROM}'
@@ -371,9 +372,17 @@ ORACLES: dict[str, str] = {
         SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM sessions
         GROUP BY user_id, session""",
     "stream_weather_asof": WEATHER_ASOF,
+    "stream_weather_interval": f"""SELECT request_id, postcode, asked_at,
+        CASE WHEN fresh THEN observed_at END AS observed_at, CASE WHEN fresh THEN condition_text END AS condition_text,
+        CASE WHEN fresh THEN temp_c END AS temp_c
+        FROM (SELECT *, observed_at >= asked_at - INTERVAL 2 HOUR AS fresh FROM ({WEATHER_ASOF}))""",
     "stream_conversation_context": """SELECT conv_id, turn, row_number() OVER w - 1 AS context_turns,
         CAST(greatest(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0)
             AS BIGINT) AS context_chars
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "stream_conversation_state": """SELECT conv_id, turn, row_number() OVER w - 1 AS context_turns,
+        CAST(greatest(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 0)
+            AS BIGINT) AS context_chars
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "stream_deduped_users": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
 }

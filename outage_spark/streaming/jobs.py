@@ -34,19 +34,29 @@ def file_chunks(files: DataFrame) -> DataFrame:
     return chunk_ids(explode_chunks(docs, separator_chunks("text"), ["doc_id"]))
 
 
-def upsert_chunks(target: str):
+def earlier_ids(spark: SparkSession, target: str, batch_id: int, buckets: Sequence[int]) -> DataFrame:
+    """Chunk ids that batches before ``batch_id`` wrote, of the given buckets only; other folders are not opened."""
+    stored = spark.read.schema("chunk_id bigint, batch_id bigint, bucket int").parquet(target)
+    return stored.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(list(buckets))).select("bucket", "chunk_id")
+
+
+def upsert_chunks(target: str, buckets: int = 64):
     """``foreachBatch`` writer that adds each chunk id to the parquet table at ``target`` once.
 
     A batch owns the folder ``batch_id=N`` and overwrites it, so a replayed batch replaces its own
-    rows; ids that earlier batches wrote are left out.
+    rows; ids that earlier batches wrote are left out. Ids are hashes and lie in folders by ``bucket``, so a
+    batch reads the ids of its own buckets only: one of a few files does not look at all that was ever written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["chunk_id"])
+        bucket = F.pmod(F.col("chunk_id"), F.lit(buckets)).cast("int")
+        fresh = settle(batch.dropDuplicates(["chunk_id"]).withColumn("bucket", bucket))
         if batch_id > 0:
-            earlier = batch.sparkSession.read.parquet(target).where(F.col("batch_id") < batch_id)
-            fresh = fresh.join(earlier.select("chunk_id"), "chunk_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            own = [row.bucket for row in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            earlier = earlier_ids(batch.sparkSession, target, batch_id, own)
+            fresh = fresh.join(earlier, ["bucket", "chunk_id"], "left_anti")
+        # An empty batch still leaves its folder, with the schema.
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id={batch_id}")
 
     return write
 
@@ -118,10 +128,10 @@ def triage_stream(requests: DataFrame, tables: Callable[[], tuple[DataFrame, Dat
     def answer(batch: DataFrame, batch_id: int) -> None:
         outage_status(settle(batch), *tables()).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
 
-    return _each_batch(requests, answer, home)
+    return each_batch(requests, answer, home)
 
 
-def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], home: str) -> StreamingQuery:
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], home: str) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/state")
     return writer.trigger(availableNow=True).start()
 
@@ -163,7 +173,7 @@ def weather_stream(requests: DataFrame, observations: DataFrame, home: str, tole
         reach = lookup_join(known.drop("batch_id"), places, ["postcode"], "inner")
         weather_asof(due, reach, tolerance).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
 
-    return _each_batch(asked.unionByName(seen, allowMissingColumns=True), answer, home)
+    return each_batch(asked.unionByName(seen, allowMissingColumns=True), answer, home)
 
 
 # Conversation state
@@ -191,7 +201,7 @@ def conversation_context(stream: DataFrame, home: str, clear: str = "clear") ->
         )
         out.write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
 
-    return _each_batch(stream, update, home)
+    return each_batch(stream, update, home)
 
 
 def read_out(spark: SparkSession, home: str, schema: str) -> DataFrame:
@@ -207,6 +217,16 @@ def scratch_home(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def write_batches(stream: DataFrame, home: str, mode: str = "append") -> StreamingQuery:
+    """Write what a query gives to ``home``/out, one folder per batch, over all rows there are now."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{home}/state")
+    return writer.trigger(availableNow=True).start()
+
+
 def run_to_end(stream: DataFrame, mode: str = "append", home: str | None = None) -> DataFrame:
     """Run a query over all rows there are now and read its output back, with ``batch_id``.
 
@@ -215,18 +235,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", home: str | None = None)
     """
     spark = stream.sparkSession
     home = home or scratch_home(spark)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{home}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    write_batches(stream, home, mode).awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).parquet(f"{home}/out")
 

@@ -9,7 +9,7 @@ from outage_spark.functions.text import outage_line
 from outage_spark.operators.conversation import context_turns
 from outage_spark.operators.estimate import hours_by
 from outage_spark.operators.weather import weather_asof
-from outage_spark.streaming import jobs
+from outage_spark.streaming import jobs, stateful
 from tests.conftest import day, ts
 
 
@@ -202,3 +202,121 @@ def test_windows_do_not_depend_on_the_session_zone(spark, feed):
         ("2030-03-12 00:00:00", "2030-03-13 00:00:00", "1"),
     ]
     assert said == "2030-03-10 02:30 to further notice: x"
+
+
+WEATHER_AT = "request_id BIGINT, postcode STRING, asked_at TIMESTAMP_NTZ"
+
+
+def state_rows(query):
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in map(dict, query.recentProgress) if p["stateOperators"]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weather_in_event_time_equals_the_batch_with_bounded_state(spark, feed, tmp_path, seed):
+    import datetime as dt
+
+    rng, base = random.Random(seed), ts("2030-01-01 00:00")
+    asked, seen = feed("asked", WEATHER_AT), feed("seen", schemas.WEATHER)
+    places = ["2001", "2002", None]
+    observed = [(rng.choice(places), base + dt.timedelta(minutes=rng.randrange(60 * 48)), f"w{i}", float(i)) for i in range(200)]
+    requests = [(i, rng.choice(places), base + dt.timedelta(minutes=rng.randrange(60 * 48))) for i in range(160)]
+
+    def by_arrival(rows, at):
+        """Rows up to an hour late, in sixteen files."""
+        rows = sorted(rows, key=lambda r: r[at] + dt.timedelta(minutes=rng.randrange(59)))
+        size = -(-len(rows) // 16)
+        return [rows[i : i + size] for i in range(0, len(rows), size)]
+
+    for o, q in zip(by_arrival(observed, 1), by_arrival(requests, 2)):
+        seen.add(*o)
+        asked.add(*q)
+    for days in (400, 800):
+        # Rows without a postcode are not read at all, so they move no watermark.
+        seen.add(("none", base + dt.timedelta(days=days), None, None))
+        asked.add((-1, None, base + dt.timedelta(days=days)))
+    home = str(tmp_path / "home")
+    query = stateful.weather_interval_stream(asked.stream(), seen.stream(), home, "2 hours", "8 hours")
+    run(query)
+    got = stateful.best_weather(spark, home, ["request_id", "postcode", "asked_at"]).where("request_id >= 0")
+    want = weather_asof(asked.batch().where("request_id >= 0"), seen.batch(), "2 hours").select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Requests are kept twice; of two days about ten to fourteen hours stay at a time.
+    rows = state_rows(query)
+    assert len(rows) > 10 and max(rows) < 0.6 * (200 + 2 * 160) and rows[-1] < 10
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_chat_state_in_any_order_equals_the_batch(spark, feed, tmp_path, batches):
+    rng = random.Random(batches)
+    source = feed("turns", schemas.TURNS)
+    turns = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "some text"])) for c in range(4) for t in range(10)]
+    rng.shuffle(turns)
+    home = str(tmp_path / "home")
+    for n in range(batches):
+        source.add(*turns[n::batches])
+        run(jobs.write_batches(stateful.conversation_state(source.stream()), home, "update"))
+    got = jobs.latest_rows(jobs.read_out(spark, home, stateful.CONTEXT), ["conv_id", "turn"])
+    want = context_turns(source.batch()).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_chat_state_clear_and_forget(spark, feed, tmp_path):
+    for forget, late in ((False, (1, 3)), (True, None)):
+        source, home = feed(f"turns{forget}", schemas.TURNS), str(tmp_path / f"home{forget}")
+
+        def step(*rows):
+            source.add(*rows)
+            query = jobs.write_batches(stateful.conversation_state(source.stream(), forget_cleared=forget), home, "update")
+            run(query)
+            return query
+
+        step((1, 0, "user", "one"), (1, 4, "user", "four"), (2, 0, "user", "other"))
+        step((1, 3, "clear", None), (1, 5, "user", "five"))
+        query = step((1, 1, "assistant", "two"))  # from before the clear
+        got = jobs.latest_rows(jobs.read_out(spark, home, stateful.CONTEXT), ["conv_id", "turn"])
+        rows = {(r.conv_id, r.turn): (r.context_turns, r.context_chars) for r in got.collect()}
+        assert rows == {(1, 0): (0, 0), (1, 4): (0, 0), (1, 5): (1, 4), (2, 0): (0, 0)} | ({(1, 1): late} if late else {})
+        # With forget_cleared the turns before the clear are gone: the clear, 4 and 5 of chat 1, 0 of chat 2.
+        assert state_rows(query)[-1] <= (4 + 2 if forget else 6 + 2)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sessions_over_batch_borders(spark, feed, tmp_path, seed):
+    import datetime as dt
+
+    rng, base = random.Random(seed), ts("2030-01-01 00:00")
+    source, home, gap, delay = feed("events", "ts TIMESTAMP_NTZ, k STRING"), str(tmp_path / "home"), dt.timedelta(minutes=30), dt.timedelta(hours=2)
+    rows = [(base + dt.timedelta(minutes=rng.randrange(60 * 24)), rng.choice("ab")) for _ in range(60)]
+    rows = sorted(rows, key=lambda r: r[0] + dt.timedelta(minutes=rng.randrange(180)))
+    kept, latest = [], None
+    for i in range(0, 60, 10):
+        part = rows[i : i + 10]
+        source.add(*part)
+        kept += [r for r in part if latest is None or r[0] + gap > latest - delay]
+        latest = max([latest or base, *(r[0] for r in part)])
+    query = stateful.session_stream(source.stream(), "ts", "30 minutes", home, "2 hours", ["k"])
+    run(query)
+    want = []
+    for k in "ab":
+        for t in sorted(t for t, own in kept if own == k):
+            if want and want[-1][0] == k and t <= want[-1][2]:
+                want[-1][2:] = [t + gap, want[-1][3] + 1]
+            else:
+                want.append([k, t, t + gap, 1])
+    got = stateful.read_sessions(spark, home, "k STRING").select("k", "window_start", "window_end", "n").collect()
+    assert sorted(map(list, got)) == sorted(want)
+    opened = {r.batch_id: r["count"] for r in spark.read.parquet(f"{home}/open").groupBy("batch_id").count().collect()}
+    assert max(opened.values()) < len(want)  # closed sessions are not carried on
+
+
+def test_a_batch_opens_only_the_ids_of_its_buckets(spark, tmp_path):
+    target = str(tmp_path / "chunks")
+    write = jobs.upsert_chunks(target, buckets=8)
+    for batch_id in range(3):
+        write(spark.createDataFrame([(i, i, 0, f"t{i}") for i in range(batch_id * 10, batch_id * 10 + 15)], schemas.CHUNKS), batch_id)
+    stored = sorted(r.chunk_id for r in spark.read.parquet(target).collect())
+    assert stored == list(range(35))
+    plan = jobs.earlier_ids(spark, target, 2, [3])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "bucket" in text.split("PartitionFilters")[1]
+    assert sorted(r.chunk_id for r in plan.collect()) == [3, 11, 19]
