@@ -220,22 +220,26 @@ def _op3_sql() -> str:
     return f"""
 WITH t(license, part, text) AS (VALUES {texts}),
 ts AS ({pieces("t", "license, part")}),
-sizes AS (SELECT license, part, count(*) AS length, count(DISTINCT s) AS n, greatest(count(*) // 8, 1) AS step FROM ts GROUP BY 1, 2),
+sizes AS (SELECT license, part, count(*) AS length, count(DISTINCT s) AS n FROM ts GROUP BY 1, 2),
 ds AS ({pieces("documents", "doc_id")}),
-ends AS (SELECT doc_id, max(i) + 1 AS m FROM ds GROUP BY 1),
-hits AS (
-  SELECT doc_id, license, part, i, ds.s, length, n, step, m, greatest(m - length, 0) AS last
-  FROM ds JOIN (SELECT DISTINCT license, part, s FROM ts) ts ON ds.s = ts.s JOIN sizes USING (license, part) JOIN ends USING (doc_id)),
-windows AS (
-  SELECT DISTINCT doc_id, license, part, length, n, start FROM (
-    SELECT *, unnest(list_append(range(0, last + 1, step), last)) AS start FROM hits)
-  WHERE start <= i AND i < start + length),
-held AS (
-  SELECT w.doc_id, w.license, w.part, start, count(DISTINCT h.s) / any_value(w.n) AS containment
-  FROM windows w JOIN hits h ON w.doc_id = h.doc_id AND w.license = h.license AND w.part = h.part AND h.i >= start AND h.i < start + w.length
-  GROUP BY 1, 2, 3, 4)
-SELECT doc_id, license, max(containment) AS containment, (min_by(start, (-containment, start)))::INT AS first_shingle
-FROM held WHERE containment >= {CONTAINMENT} GROUP BY doc_id, license
+hits AS (SELECT doc_id, license, part, i, ds.s FROM ds JOIN (SELECT DISTINCT license, part, s FROM ts) ts ON ds.s = ts.s),
+begins AS (
+  SELECT doc_id, license, part, i FROM (
+    SELECT *, lag(i) OVER (PARTITION BY doc_id, license, part ORDER BY i) AS before FROM hits)
+  WHERE before IS NULL OR before <> i - 1),
+places AS (
+  SELECT b.doc_id, b.license, b.part, b.i AS first_shingle, max(h.i) AS last_shingle, count(DISTINCT h.s) AS held,
+         count(DISTINCT h.s) / any_value(z.n) AS containment
+  FROM begins b JOIN sizes z ON z.license = b.license AND z.part = b.part
+  JOIN hits h ON h.doc_id = b.doc_id AND h.license = b.license AND h.part = b.part AND h.i >= b.i AND h.i < b.i + z.length + z.length // 2
+  GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT h.s) / any_value(z.n) >= {CONTAINMENT})
+SELECT doc_id, license, max(containment) AS containment, (min_by(first_shingle, (-containment, first_shingle)))::INT AS first_shingle
+FROM places x
+WHERE NOT EXISTS (
+  FROM places y WHERE y.doc_id = x.doc_id AND y.license <> x.license
+    AND (y.held > x.held OR (y.held = x.held AND y.containment > x.containment))
+    AND 2 * (least(x.last_shingle, y.last_shingle) - greatest(x.first_shingle, y.first_shingle) + 1) > x.last_shingle - x.first_shingle + 1)
+GROUP BY doc_id, license
 """
 
 
