@@ -19,7 +19,8 @@ Words are runs of digits, letters and characters outside ASCII, with A-Z lower-c
 
 Defined results: a null text has no words and is never hit; an item without words matches nothing; a
 null ``doc_id`` is matched null-safely, with the hash of the text; repeated rows get equal results;
-items count by their distinct ids; empty tables give empty results or no hits; other columns pass
+items count by their distinct ids, and one without an id hits words and marks texts as contaminated like
+any other but is in no count or list of ids; empty tables give empty results or no hits; other columns pass
 through ``decontaminate`` and are ignored elsewhere.
 """
 
@@ -69,7 +70,7 @@ def benchmark_blocks(
 ) -> Iterator[Block]:
     """The items in blocks; each is read alone, so the driver holds one at a time."""
     rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("body"))
-    rows = store(rows.where(F.col("item").isNotNull() & F.col("body").isNotNull()))
+    rows = store(rows.where(F.col("body").isNotNull()))
     total = rows.agg(F.sum(word_count("body", NOT_ALNUM))).first()[0] or 0
     n_blocks = max(1, -(-total // block_words))
     block = F.pmod(F.xxhash64("item"), F.lit(n_blocks))
@@ -281,7 +282,7 @@ hits AS (SELECT doc_id, item_id, i, windows.n FROM places JOIN windows USING (k)
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
