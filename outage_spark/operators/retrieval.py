@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outage_spark.functions.text import fill_template
@@ -444,20 +444,44 @@ def embed(df: DataFrame, fn: Callable, text: str = "text", name: str = "embeddin
     return df.withColumn(name, encode(text))
 
 
+WORD_BREAK = r"[^\p{L}\p{N}]+"
+
+
+def _lower_words(text: str) -> Column:
+    """Lower-case runs of letters and digits, in order; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_BREAK), lambda w: w != "")
+
+
+def word_dictionary(df: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
+    """``word, slot, rarity`` of every word of all texts.
+
+    The slot is the number of the first eight hexadecimal digits of the word's MD5, modulo ``dims``; rarity is
+    ln((texts + 1) / (texts with the word + 1)).
+    """
+    once = df.select(F.explode(F.array_distinct(_lower_words(text))).alias("word"))
+    known = once.groupBy("word").agg(F.count(F.lit(1)).alias("_texts"))
+    slot = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("bigint") % dims
+    rarity = F.log((F.lit(df.count()) + 1) / (F.col("_texts") + 1))
+    return known.select("word", slot.cast("int").alias("slot"), rarity.alias("rarity"))
+
+
 def embed_words(df: DataFrame, text: str = "text", name: str = "embedding", dims: int = 256) -> DataFrame:
-    """Built-in encoder without a model: hashed words, weighted by rarity, scaled to unit length."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dims),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit"),
-    ]
-    encoded = Pipeline(stages=stages).fit(df).transform(df)
-    return encoded.withColumn(name, vector_to_array("_unit", "float32")).drop("_words", "_counts", "_weights", "_unit")
+    """Built-in encoder without a model: hashed words, weighted by rarity, scaled to unit length.
+
+    Word counts of a row meet the dictionary in a join, so it may have any size; only a row's ``dims`` sums are
+    gathered. Rows are named by two hashes of all their columns, so equal rows share a vector. A text without
+    words, or only with words that every text has, gets zeros.
+    """
+    key = {"_k1": F.xxhash64(*df.columns), "_k2": F.xxhash64(F.lit("second"), *df.columns)}
+    keyed = df.withColumns(key)
+    counts = keyed.select(*key, F.explode(_lower_words(text)).alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).alias("_tf"))
+    weighted = lookup_join(counts, word_dictionary(df, text, dims), ["word"], "inner")
+    slots = weighted.groupBy(*key, "slot").agg(F.sum(F.col("_tf") * F.col("rarity")).alias("w")).where("w > 0")
+    rows = slots.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("_w"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_w", i) / F.col("_length"), F.lit(0.0)))
+    vectors = rows.select(*key, each.cast("array<float>").alias(name))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dims)
+    return keyed.join(vectors, list(key), "left").select(*df.columns, F.coalesce(name, zeros).alias(name))
 
 
 # Context and checks

@@ -443,11 +443,12 @@ def chunk_separators(spark, d):
 
 @query
 def text_vectors(spark, d):
-    """Weight of every document vector: 1 unless no word of the text is rare enough to count."""
+    """Of every document vector: slots in use, length (0 without a word that counts), and a sum over its components."""
     encoded = retrieval.embed_words(_docs(spark, d))
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    used = F.size(F.filter("embedding", lambda v: v != 0))
-    return encoded.select("doc_id", used.alias("n_used"), F.round(squares, 4).alias("weight"))
+    placed = F.aggregate(F.arrays_zip("embedding", F.sequence(F.lit(1), F.size("embedding")).alias("at")), F.lit(0.0), lambda a, x: a + x["embedding"].cast("double") * x["at"])
+    used = F.size(F.filter("embedding", lambda v: v != 0)).cast("bigint")
+    return encoded.select("doc_id", used.alias("n_used"), F.round(squares, 4).alias("weight"), F.round(placed, 3).alias("checksum"))
 
 
 @query

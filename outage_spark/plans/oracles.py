@@ -318,6 +318,20 @@ ORACLES: dict[str, str] = {
             FROM hits JOIN documents ON doc_id = vec_id GROUP BY question_id)
         SELECT vec_id AS question_id, coalesce(n, 0) AS n_texts, {_prompt()} AS prompt
         FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN found ON found.question_id = e.vec_id""",
+    "text_vectors": r"""WITH counts AS (
+            SELECT doc_id, word, count(*) AS tf
+            FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents) GROUP BY ALL),
+        dictionary AS (
+            SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS rarity,
+                   list_reduce(list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef', substr(md5(word), i, 1)) - 1 AS BIGINT)),
+                               lambda a, x: a * 16 + x) % 256 AS slot
+            FROM counts GROUP BY word),
+        slots AS (
+            SELECT doc_id, slot, sum(tf * rarity) AS w FROM counts JOIN dictionary USING (word) GROUP BY ALL HAVING sum(tf * rarity) > 0),
+        units AS (
+            SELECT doc_id, slot, CAST(CAST(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS x FROM slots)
+        SELECT doc_id, count(x) AS n_used, round(coalesce(sum(x * x), 0.0), 4) AS weight, round(coalesce(sum(x * (slot + 1)), 0.0), 3) AS checksum
+        FROM documents LEFT JOIN units USING (doc_id) GROUP BY doc_id""",
     "precision_at_k": _with(HITS)
     + """SELECT question_id, count(*) AS n_hits,
         round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS precision
