@@ -248,6 +248,7 @@ def planned_summary(
     """The reply text per ask: one line per outage in start order, in numbered parts.
 
     Every ask has a part 0; one without outages, also a range that runs backwards, has the default text.
+    ``header`` is the line that goes before the reply: it names the postcode and the range, found or not.
     """
     lined = planned.withColumn("line", outage_line("start_ts", "end_ts", "reason"))
     lines = settle(planned_matches(requests, lined, ("outage_id", "start_ts", "end_ts", "line")))
@@ -260,10 +261,18 @@ def planned_summary(
         *[F.col(f"_ask_{c}").alias(c) for c in ASK],
         F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("pieces", F.lit(0).cast("bigint")).alias("n_lines"),
+        _header(F.col("pieces").isNotNull()).alias("header"),
         F.coalesce("line", F.lit(default)).alias("reply"),
     )
 
 
+def _header(some: Column) -> Column:
+    """"Outages planned for 2000, 2030-01-01 to 2030-01-07", or that there are none."""
+    named = [F.coalesce(F.col(f"_ask_{c}").cast("string"), F.lit("unknown")) for c in ASK]
+    kind = F.when(some, "Outages planned for ").otherwise("No outages planned for ")
+    return F.concat(kind, named[0], F.lit(", "), named[1], F.lit(" to "), named[2])
+
+
 def next_planned(planned: DataFrame, as_of) -> DataFrame:
     """First planned outage per postcode that starts at or after ``as_of``."""
     later = planned.where(F.col("start_ts") >= F.lit(as_of).cast("timestamp_ntz"))

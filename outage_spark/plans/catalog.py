@@ -644,9 +644,9 @@ def stream_conversation_context(spark, d):
 
 @query
 def stream_deduped_users(spark, d):
-    """Each (user, event type) once per day: re-sent pairs within the delay are dropped."""
-    stream = _event_stream(spark, d).select(
+    """Each (user, event type) once per day. Pairs of a day lie less than a day apart, so that delay is enough."""
+    stream = _event_parts(spark, d).select(
         "user_id", "event_type", F.to_date("ts").alias("day"), jobs.zoned("ts").alias("ts")
     )
-    kept = jobs.dedupe_stream(stream, ["user_id", "event_type", "day"], "ts", "31 days")
+    kept = jobs.dedupe_stream(stream, ["user_id", "event_type", "day"], "ts", "1 day")
     return jobs.run_to_end(kept).select("user_id", "event_type", "day")

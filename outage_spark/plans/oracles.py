@@ -263,8 +263,10 @@ ORACLES: dict[str, str] = {
         placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY postcode, start_date, end_date
             ORDER BY start_ts, outage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines)
         SELECT postcode, start_date, end_date, CAST(before // 1000000 AS INTEGER) AS part, count(*) AS n_lines,
+            'Outages planned for ' || postcode || ', ' || start_date || ' to ' || end_date AS header,
             string_agg(line, chr(10) ORDER BY start_ts, outage_id) AS reply FROM placed GROUP BY 1, 2, 3, 4
-        UNION ALL SELECT DISTINCT postcode, start_date, end_date, CAST(0 AS INTEGER), 0, 'No planned outages in this period.'
+        UNION ALL SELECT DISTINCT postcode, start_date, end_date, CAST(0 AS INTEGER), 0,
+            'No outages planned for ' || postcode || ', ' || start_date || ' to ' || end_date, 'No planned outages in this period.'
         FROM requests ANTI JOIN matches USING (postcode, start_date, end_date)""",
     "pending_conversations": """SELECT conv_id, turn, text FROM conversations c
         WHERE role = 'user' AND turn = (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id)""",

@@ -89,9 +89,16 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return split_errors(history_with_errors(spark, path))[0]
 
 
-def read_postcodes(spark: SparkSession, path: str) -> DataFrame:
+def postcodes_with_errors(spark: SparkSession, path: str) -> DataFrame:
+    """The postcode file, of any form of postcode; a row without its postcode or suburb says so in ``error``."""
     rows = _csv(spark, path, schemas.POSTCODES_CSV)
-    return rows.select(normalise_postcode("Postcode").alias("postcode"), F.col("Suburb").alias("suburb"))
+    postcode = normalise_postcode("Postcode")
+    missing = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"{name}: missing") for name, c in (("Postcode", postcode), ("Suburb", F.col("Suburb")))]
+    return rows.select(postcode.alias("postcode"), F.col("Suburb").alias("suburb"), _errors(*missing).alias("error"))
+
+
+def read_postcodes(spark: SparkSession, path: str) -> DataFrame:
+    return split_errors(postcodes_with_errors(spark, path))[0]
 
 
 def read_text_docs(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:

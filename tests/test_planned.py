@@ -161,3 +161,26 @@ def test_every_ask_has_a_reply(spark, planned):
 def test_next_planned(planned):
     got = {r.postcode: r.outage_id for r in next_planned(planned, "2030-03-11 09:00:00").collect()}
     assert got == {"2001": 4}
+
+
+def test_the_header_names_postcode_and_range(spark, planned):
+    asked = ask(spark, ("2001", "2030-03-10", "2030-03-12"), ("9999", "2030-03-10", "2030-03-12"))
+    rows = {r.postcode: r.header for r in planned_summary(asked, planned).collect()}
+    assert rows == {"2001": "Outages planned for 2001, 2030-03-10 to 2030-03-12", "9999": "No outages planned for 9999, 2030-03-10 to 2030-03-12"}
+
+
+def test_ten_year_asks_and_a_hot_postcode_read_totals_only(spark):
+    """However many outages a postcode has, an ask meets at most two totals per level and way."""
+    from outage_spark.operators import planned as P
+
+    rows = spark.range(20_000).select(
+        F.col("id").alias("outage_id"), F.lit("2001").alias("postcode"),
+        F.expr("timestamp_ntz'2020-01-01 08:00:00' + make_dt_interval(CAST(id % 3650 AS INT))").alias("start_ts"),
+        F.expr("timestamp_ntz'2020-01-01 08:00:00' + make_dt_interval(CAST(id % 3650 + id % 3 AS INT), 2)").alias("end_ts"), F.lit("x").alias("reason"),
+    )
+    asks = ask(spark, ("2001", "2020-01-05", "2029-12-20"), ("2001", "2021-01-01", "2021-01-01"))
+    placed, _ = P._placed(P.asks_of(asks), P._spans(rows, F.count(F.lit(1)).alias("n")))
+    assert placed.count() <= 2 * (2 * 12 + 2)
+    found = {r.start_date.isoformat(): r.n_outages for r in P.planned_for(asks, rows).collect()}
+    days = [(i % 3650, i % 3650 + i % 3) for i in range(20_000)]
+    assert found == {"2020-01-05": sum(a <= 3641 and b >= 4 for a, b in days), "2021-01-01": sum(a <= 366 <= b for a, b in days)}

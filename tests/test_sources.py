@@ -150,3 +150,12 @@ def test_ingest_opens_new_files_only(spark, tmp_path):
 
     assert ingest_batch(spark, str(tmp_path), extract, "outage_ingest_new").count() == 0
     assert {r.file_name for r in spark.table("outage_ingest_new.docs_track").collect()} == {"a.txt", "b.txt"}
+
+
+def test_postcode_rows_without_a_key_or_suburb(spark, tmp_path):
+    path = tmp_path / "postcodes.csv"
+    path.write_text("Postcode,Suburb\n2001,Alder\n,Birch\n20x,Cedar\n2002,\n")
+    rows = {(r.postcode, r.suburb): r.error for r in readers.postcodes_with_errors(spark, str(path)).collect()}
+    assert rows[("2001", "Alder")] is None and rows[("20x", "Cedar")] is None
+    assert [e for e in rows.values() if e] and sum(e is not None for e in rows.values()) == 2
+    assert readers.read_postcodes(spark, str(path)).count() == 2
