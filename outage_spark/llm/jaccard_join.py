@@ -378,8 +378,7 @@ def similar_classes(
     sets = store(second.join(reps, "set_key"))
     spanning = store(_class_blocks(rows, sets, percent, shingle))
     roots = components(spanning)
-    with_class = store(_with_class(sets, roots))
-    pairs = store(_candidates(with_class, percent))
+    pairs = store(_candidates(_with_class(sets, roots), percent))
     more = _verified(rows, sets, pairs, percent, shingle)
     final = components(spanning.unionByName(more))
     named = _with_class(sets.select("set_key", "least_id"), final)
@@ -391,8 +390,9 @@ def similar_classes(
 
 
 def _with_class(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sets`` with their ``class``; the stored sets are read where they are, not written again with it."""
     roots = roots.select(F.col("node").alias("set_key"), F.col("root").alias("_root"))
-    return sets.join(roots, "set_key", "left").withColumn("class", F.coalesce("_root", "set_key")).drop("_root")
+    return lookup_join(sets, roots, ["set_key"], settled=True).withColumn("class", F.coalesce("_root", "set_key")).drop("_root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
