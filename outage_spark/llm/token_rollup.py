@@ -6,14 +6,14 @@ they are never recounted. A revised count is its old row with a minus sign and t
 
 Commits are idempotent. A batch writes its ledger rows and then its delta, each into a folder named after
 the batch and overwritten as a whole; the finished delta is the commit. A batch that is committed is
-skipped, one that was cut off is written again, and readers only see committed batches. Batches are
-committed one after another; the caller names them.
+skipped, one that was cut off is written again. Readers open the folders of finished deltas only, and of the
+ledger those of the same batches. Batches are committed one after another; the caller names them.
 
 Signed rows of a key are summed by a shuffle with partial sums; the keys of a batch are broadcast to the
 ledger only if they are measured to be few. Sources of any size are plain sums.
 
-Defined results: in one batch, rows with the same key (document and tokenizer) count once, the largest
-count winning; an insert of a live key is a revision, a revision or delete of an absent key is an insert
+Defined results: in one batch, rows with the same key (document and tokenizer) count once: where the caller
+names an order column, the last one (null is first); of equal ones a delete wins, then the largest count; an insert of a live key is a revision, a revision or delete of an absent key is an insert
 or nothing; null source or language are groups of their own; a row with a null ``doc_id`` has no key: it
 is added as often as it is inserted and cannot be revised or deleted; a null count is 0; empty batches
 commit nothing; other columns are ignored.
@@ -45,23 +45,27 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _finished(self) -> list[str]:
+        """Folder names of the committed batches; the driver holds one name per batch."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/delta")
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            return []
+        marks = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(at, "batch=*/_SUCCESS"))
+        return sorted(mark.getPath().getParent().getName() for mark in marks)
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.folder}/delta/batch={batch}/_SUCCESS")
+        return f"batch={batch}" in self._finished()
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if not self._exists(f"{self.folder}/{name}"):
+        paths = [f"{self.folder}/{name}/{batch}" for batch in self._finished()]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*paths)
 
     def ledger(self) -> DataFrame:
         """Signed rows of committed batches."""
-        done = self._read("delta", DELTA).select("batch").distinct()
-        return self._read("ledger", LEDGER).join(F.broadcast(done), "batch", "left_semi")  # one name per batch
+        return self._read("ledger", LEDGER)
 
     def live(self, keys: DataFrame | None = None) -> DataFrame:
         """The rows that count now: those whose signs sum to one; only of ``keys``, if given."""
@@ -71,16 +75,19 @@ class TokenRollup:
         rows = rows.groupBy(*KEY, "source", "lang", "n_tokens").agg(F.sum("sign").alias("sign"))
         return rows.where(F.col("sign") > 0).drop("sign")
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply ``changes`` (op, doc_id, source, lang, tokenizer, n_tokens); False if the batch was there already."""
+    def commit(self, batch: str, changes: DataFrame, order: str | None = None) -> bool:
+        """Apply ``changes`` (op, doc_id, source, lang, tokenizer, n_tokens); False if the batch was there already.
+
+        ``order`` names a column by which later rows of a key replace earlier ones of the batch.
+        """
         if self.committed(batch):
             return False
         rows = changes.select(
             "op", F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", "tokenizer",
-            F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"),
+            F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"), (F.col(order) if order else F.lit(0)).alias("nth"),
         )
         keyed = rows.where(F.col("doc_id").isNotNull()).groupBy(*KEY).agg(
-            F.max(F.struct(F.col("op") != "delete", "n_tokens", "source", "lang", "op")).alias("r")
+            F.max(F.struct("nth", F.col("op") == "delete", "n_tokens", "source", "lang", "op")).alias("r")
         )
         keyed = store(keyed.select(*KEY, "r.op", "r.source", "r.lang", "r.n_tokens"))
         columns = ["doc_id", "source", "lang", "tokenizer"]

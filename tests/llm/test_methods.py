@@ -1,6 +1,7 @@
 """Each operator's method against brute force, an invariant or held-out rows, on small fixtures."""
 
 import itertools
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -276,6 +277,28 @@ def test_rollup_commits_once(spark, tmp_path):
     assert rollup.commit("c", change(("insert", 4, 4))) and total() == [(4, 16)]
 
 
+def test_rollup_reads_finished_batches_and_deletes_win(spark, tmp_path):
+    folder = f"{tmp_path}/rollup"
+    rollup = token_rollup.TokenRollup(spark, folder)
+    schema = "op string, doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint, at int"
+    change = lambda *rows: spark.createDataFrame([(op, i, "s", "en", "t", n, at) for op, i, n, at in rows], schema)
+    total = lambda: [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()]
+    assert rollup.totals().count() == rollup.ledger().count() == 0
+    rollup.commit("a", change(("insert", 1, 10, 0)))
+    # A delta and its ledger rows that were written but not finished are not seen, and are written again.
+    for name, extra in (("ledger", "doc_id bigint, source string, lang string, tokenizer string, sign int, n_tokens bigint"),
+                        ("delta", "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint")):
+        row = (5, "s", "en", "t", 1, 999) if name == "ledger" else ("s", "en", "t", 1, 999)
+        spark.createDataFrame([row], extra).write.parquet(f"{folder}/{name}/batch=b")
+    os.remove(f"{folder}/delta/batch=b/_SUCCESS")
+    assert not rollup.committed("b") and total() == [(1, 10)] and rollup.live().count() == 1
+    # Without an order a delete wins; with one, the later row does.
+    assert rollup.commit("b", change(("revise", 1, 7, 1), ("delete", 1, 0, 0), ("insert", 2, 4, 0)))
+    assert total() == [(1, 4)]
+    assert rollup.commit("c", change(("delete", 2, 0, 1), ("revise", 2, 6, 2), ("insert", 3, 9, 1), ("delete", 3, 0, 2)), order="at")
+    assert total() == [(1, 6)] and [r.doc_id for r in rollup.live().collect()] == [2]
+
+
 def test_byte_pair_counts(spark):
     import public_tokenizers
 
