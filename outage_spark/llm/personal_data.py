@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outage_spark.llm.text import bound, store, table
+from outage_spark.operators.spread import lookup_join
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -36,6 +37,8 @@ PATTERNS = {
 }
 NEEDS = {"email": "%@%", "ip": "%.%.%.%", "card": "%", "phone": "%+%"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+STEPS = 128
+TEXT_KEY = ("_text_key", "_text_check")
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -44,25 +47,33 @@ def spans_of(text: Column, pattern: str) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     steps = F.zip_with(pieces, values, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("value")))
+    return bound(F.filter(steps, lambda s: s.value.isNotNull()), _placed)
+
+
+def _placed(steps: Column) -> Column:
+    """Spans of (gap, value) steps. A fold copies what it has gathered at every step, so it runs within blocks of steps."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    walked = F.aggregate(
-        F.filter(steps, lambda s: s.value.isNotNull()),
-        start,
-        lambda a, s: F.struct(
-            (a.at + s.gap + F.length(s.value)).alias("at"),
-            F.concat(
-                a.spans,
-                F.array(
-                    F.struct(
-                        (a.at + s.gap).alias("start"),
-                        (a.at + s.gap + F.length(s.value)).alias("end"),
-                        s.value.alias("value"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-    )
-    return walked.spans
+
+    def walk(a: Column, s: Column) -> Column:
+        end = a.at + s.gap + F.length(s.value)
+        span = F.struct((a.at + s.gap).alias("start"), end.alias("end"), s.value.alias("value"))
+        return F.struct(end.alias("at"), F.concat(a.spans, F.array(span)).alias("spans"))
+
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1)), F.lit(STEPS))
+    return bound(F.transform(firsts, lambda first: F.aggregate(F.slice(steps, first, F.lit(STEPS)), start, walk)), _moved)
+
+
+def _moved(blocks: Column) -> Column:
+    """Spans of all blocks, each block moved to where the one before it ended."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    begins = F.aggregate(
+        blocks, start, lambda a, b: F.struct((a.at + b.at).alias("at"), F.concat(a.begins, F.array(a.at)).alias("begins"))
+    ).begins
+
+    def shift(by: Column) -> Callable[[Column], Column]:
+        return lambda s: F.struct((s.start + by).alias("start"), (s.end + by).alias("end"), s.value.alias("value"))
+
+    return F.flatten(F.zip_with(blocks, begins, lambda b, by: F.transform(b.spans, shift(by))))
 
 
 def _digits(value: Column) -> Column:
@@ -212,8 +223,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
     key = [keep[0], "_row"]
     seen = store(occurrences(found, key))
     discovered = store(bootstrap(seen, **options))
-    free = seen.where(F.col("kind").isNull()).drop("kind")
-    added = free.join(discovered, "instance").select(
+    added = _added(seen, discovered).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
         F.struct("kind", "start", "end", F.col("instance").alias("value")).alias("span"),
     )
@@ -225,22 +235,32 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
     return joined.select(*keep, "base", F.coalesce("added", empty).alias("added"))
 
 
-def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def _added(seen: DataFrame, discovered: DataFrame) -> DataFrame:
+    """Occurrences outside base spans whose instance was discovered; an instance may be everywhere, its kind is one row."""
+    return lookup_join(seen.where(F.col("kind").isNull()).drop("kind"), discovered, ["instance"], "inner")
+
+
+def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with every span, base and added, replaced by its kind in brackets.
 
-    Overlapping spans are merged and named after the first. A null text stays null.
+    Overlapping spans are merged and named after the first. A null text stays null. Spans follow from the
+    text alone, so texts find theirs by two hashes; patterns run once over the texts, and texts are only
+    shuffled where the spans of all of them are too many to broadcast.
     """
     # The row as one value, so that its names cannot clash with those of the spans.
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_body"), F.struct("*").alias("_doc"))
-    found = find_personal_data(rows, "_body", ("_id", "_body", "_doc"), **options)
-    spans = F.array_sort(
-        F.transform(F.concat("base", "added"), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))
-    )
+    body = F.col("_doc").getField(text)
+    rows = docs.select(F.struct("*").alias("_doc"))
+    rows = rows.select("_doc", F.xxhash64(body).alias(TEXT_KEY[0]), F.xxhash64(F.lit("check"), body).alias(TEXT_KEY[1]))
+    seen = store(occurrences(base_spans(rows.select(*TEXT_KEY, body.alias("_body")), "_body", TEXT_KEY), list(TEXT_KEY)))
+    added = _added(seen, store(bootstrap(seen, **options)))
+    span = F.struct("start", "end", "kind").alias("span")
+    both = seen.where(F.col("kind").isNotNull()).select(*TEXT_KEY, span).unionByName(added.select(*TEXT_KEY, span))
+    per_text = both.groupBy(*TEXT_KEY).agg(F.sort_array(F.collect_set("span")).alias("_spans"))
+    found = lookup_join(rows, per_text, list(TEXT_KEY), "left")
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    body = F.col("_body")
     cut = F.aggregate(
-        spans,
+        "_spans",
         start,
         lambda a, s: F.struct(
             F.greatest(a.at, s.end).alias("at"),
@@ -249,7 +269,7 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **option
             .alias("parts"),
         ),
     )
-    rows = found.withColumn("_cut", F.when(F.size("base") + F.size("added") > 0, cut))
+    rows = found.withColumn("_cut", F.when(F.col("_spans").isNotNull(), cut))
     rest = F.substring(body, F.col("_cut.at") + 1, F.length(body))
     clean = F.when(F.col("_cut").isNull(), body).otherwise(F.concat(F.array_join("_cut.parts", ""), rest))
     return rows.select(F.col("_doc").withField(f"`{text}`", clean).alias("_doc")).select("_doc.*")
