@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction (native).
 
 Fixed patterns give the base spans (email, ip, card, phone). They are also the seeds: every token that
-carries a digit or ``@`` is an *instance*, seen in a *pattern*, its lexical context (the word before it
+carries a digit or ``@``, and every run of two to eight neighbouring tokens made of digits and separators
+(``030 555 99 99``), is an *instance*, seen in a *pattern*, its lexical context (the word before it
 and the word after it). Pattern and instance form a weighted graph. A pattern that holds many seed
 instances of a kind, and little else, is trusted; an instance that trusted patterns hold becomes a seed
 of the next round. Instances reached at the end add spans of the pattern's kind; base spans stay.
@@ -36,7 +37,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "%@%", "ip": "%.%.%.%", "card": "%", "phone": "%+%"}
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+GROUP = r"[+(]?[0-9][0-9()./+-]*+(?![^\x20\x09-\x0D,;:!?])"
+TOKEN = (
+    rf"(?<![^\x20\x09-\x0D])(?:{GROUP}(?:\x20{GROUP}){{1,7}}+"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
 STEPS = 128
 TEXT_KEY = ("_text_key", "_text_check")
 SPAN = "array<struct<start:int,end:int,value:string>>"

@@ -196,6 +196,20 @@ def test_contexts_find_what_patterns_miss(spark):
     assert clean[20] == "call hotline: [phone] now" and clean[0].endswith("hotline: [phone] end") and clean[21] == rows[-1][1]
 
 
+def test_grouped_identifiers(spark):
+    rng = random.Random(16)
+    rows = [(i, f"{prose(rng, 5)} hotline: +49 (30) 555-{1000 + i} end", "s") for i in range(16)]
+    rows += [(20, "call hotline: 030 555 99 99, or not", "s"), (21, "hotline: 030 555 99 98", "s"), (22, "rows 12 13 14 15 of 2024", "s")]
+    rows += [(23, "hotline: 030 55a 1", "s"), (24, " ".join(map(str, range(100, 140))), "s"), (None, "hotline: 030 555 99 98", None)]
+    docs = table(spark, rows)
+    added = {r.doc_id: [s.value for s in r.added] for r in personal_data.find_personal_data(docs).collect()}
+    assert added[20] == ["030 555 99 99"] and added[21] == added[None] == ["030 555 99 98"]
+    assert not added[22] and not added[23] and not added[24]
+    clean = [(r.doc_id, r.text) for r in personal_data.redact(docs).collect()]
+    assert (20, "call hotline: [phone], or not") in clean and clean.count((21, "hotline: [phone]")) == 1
+    assert (None, "hotline: [phone]") in clean and len(clean) == len(rows)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
