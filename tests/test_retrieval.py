@@ -209,3 +209,13 @@ def test_hashed_join_of_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert rows(similar_hashed(df, df, 1)) == rows(R.similar(df, df, 1))
     assert similar_hashed(df.where("false"), df, 2).count() == similar_hashed(df, df.where("false"), 2).count() == 0
+
+
+def test_word_vectors_do_not_depend_on_what_is_broadcast(spark):
+    """Without room for any word, all are rare; a row that comes twice and texts without words stay."""
+    texts = ["storm in the storm", "the power outage", "the power of the storm", "", None, "the", "the power outage"]
+    df = spark.createDataFrame([(min(i, 5), t) for i, t in enumerate(texts)] + [(1, texts[1])], "vec_id bigint, text string")
+    want = sorted(map(str, R.embed_words(df, dims=16).collect()))
+    assert len(want) == 8 and R.embed_words(df, dims=16).columns == ["vec_id", "text", "embedding"]
+    for max_bytes in (0, 200):
+        assert sorted(map(str, R.embed_words(df, dims=16, max_bytes=max_bytes).collect())) == want
