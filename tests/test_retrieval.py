@@ -219,3 +219,27 @@ def test_word_vectors_do_not_depend_on_what_is_broadcast(spark):
     assert len(want) == 8 and R.embed_words(df, dims=16).columns == ["vec_id", "text", "embedding"]
     for max_bytes in (0, 200):
         assert sorted(map(str, R.embed_words(df, dims=16, max_bytes=max_bytes).collect())) == want
+
+
+def test_scores_are_held_by_tiles(monkeypatch):
+    """No array of scores is larger than a tile; ties, copies and vectors that are not numbers are as before."""
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(300, 3)), 1)
+    vectors[7] = np.nan
+    ids = rng.permutation(np.repeat(np.arange(150), 2))
+    seen = []
+    merge = R._TopK._merge
+    monkeypatch.setattr(R, "QUESTION_SLICE", 16)
+    monkeypatch.setattr(R, "ROW_SLICE", 32)
+    monkeypatch.setattr(R._TopK, "_merge", lambda self, part, some, scores: (seen.append(scores.shape), merge(self, part, some, scores)))
+    best_of = R._TopK(np.arange(40), vectors[20:60], K)
+    for at in range(0, 300, 100):
+        best_of.add(ids[at : at + 100], vectors[at : at + 100])
+    assert max(a * b for a, b in seen) <= 16 * 32
+    scores = np.nan_to_num(np.round(vectors[20:60] @ vectors.T, 6), nan=-1e9)
+    for question, row in enumerate(scores):
+        order = np.lexsort((ids, -row))[:K]
+        assert best_of.ids[question].tolist() == ids[order].tolist() and best_of.scores[question].tolist() == row[order].tolist()
+    few = R._TopK(np.arange(2), vectors[:2], K)
+    few.add(ids[:3], vectors[:3])
+    assert few.batch().num_rows == 6
