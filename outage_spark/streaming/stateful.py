@@ -1,6 +1,6 @@
 """Streams that keep only the state they still need.
 
-``weather_interval_stream`` joins two streams in event time and drops both sides once the watermark has passed
+``weather_interval_stream`` matches two streams in event time and drops both sides once the watermark has passed
 them. ``conversation_state`` keeps turns per chat in a keyed store, so a batch touches the chats it has rows of.
 ``session_stream`` carries open sessions as rows from batch to batch and writes each closed one once.
 """
@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from outage_spark.operators.conversation import clean_turns
@@ -20,43 +23,128 @@ from outage_spark.operators.weather import OBSERVATION
 from outage_spark.streaming.jobs import EPOCH, each_batch, zoned
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SLOT_ROWS = ["is_ask", "at", "tie", "text"]
 CONTEXT = "conv_id bigint, turn bigint, context_turns bigint, context_chars bigint"
 
 
+def _text_of(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The columns as one JSON text from which ``_from_text`` makes the same values again."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if isinstance(kinds[c], T.AtomicType) else F.col(c) for c in columns]))
+
+
+def _from_text(text: str, fields: Sequence[T.StructField], name: str) -> Column:
+    written = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.AtomicType) else f.dataType) for f in fields])
+    read = F.from_json(text, written)
+    return F.when(F.col(text).isNotNull(), F.struct(*[read[f.name].cast(f.dataType).alias(f.name) for f in fields])).alias(name)
+
+
+class _Slot(StatefulProcessor):
+    """Requests and observations of one postcode and time slot, kept as packed blocks of rows until the slot is over.
+
+    Both sides are sorted and each request takes the last observation before it, so no pair is a row. A batch
+    answers the requests that its rows concern; those that never had an answer get one without weather at the end.
+    """
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getListState("blocks", "packed binary")
+
+    def _held(self) -> list[pd.DataFrame]:
+        return [pa.ipc.open_stream(packed).read_pandas() for (packed,) in self.blocks.get()] if self.blocks.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A key's rows of a batch may come in several calls.
+        for fresh in rows:
+            held = self._held()
+            if key[1] is not None and not held:
+                self.handle.registerTimer((int(key[1]) + 2) * self.seconds * 1000)
+            if key[1] is not None:
+                packed = pa.BufferOutputStream()
+                table = pa.Table.from_pandas(fresh[SLOT_ROWS], preserve_index=False)
+                with pa.ipc.new_stream(packed, table.schema) as writer:
+                    writer.write_table(table)
+                self.blocks.appendValue((packed.getvalue().to_pybytes(),))
+            yield _last_before(held, fresh, found=key[1] is not None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._held()
+        self.blocks.clear()
+        return iter([_last_before([], pd.concat(held), found=False)] if held else ())
+
+    def close(self) -> None:
+        pass
+
+
+def _last_before(held: list[pd.DataFrame], fresh: pd.DataFrame, found: bool) -> pd.DataFrame:
+    """(request, observation) of the requests that ``fresh`` rows answer; with ``found=False`` of those without any."""
+    rows = pd.concat([*held, fresh], ignore_index=True)
+    new = np.arange(len(rows)) >= len(rows) - len(fresh)
+    asks = rows["is_ask"].to_numpy(bool)
+    seen = np.flatnonzero(~asks)
+    seen = seen[np.lexsort((rows["tie"].to_numpy()[seen], rows["at"].to_numpy()[seen]))]
+    asks = np.flatnonzero(asks)
+    at = rows["at"].to_numpy()[seen]
+    last = np.searchsorted(at, rows["at"].to_numpy()[asks], side="right") - 1
+    answered = (last >= 0) & (at[last] >= rows["tie"].to_numpy()[asks]) if len(at) else np.zeros(len(asks), bool)
+    which = seen[last[answered]] if len(at) else seen
+    text = rows["text"].to_numpy(object)
+    if not found:
+        return pd.DataFrame({"ask": text[asks[~answered]], "seen": pd.Series([None] * int((~answered).sum()), dtype=object)})
+    now = new[asks[answered]] | new[which]
+    return pd.DataFrame({"ask": text[asks[answered][now]], "seen": text[which[now]]})
+
+
 def weather_interval_stream(
     requests: DataFrame, observations: DataFrame, home: str, tolerance: str, delay: str
 ) -> StreamingQuery:
     """Weather as of each request from observations up to ``tolerance`` old, written to ``home``/out.
 
-    Rows of either stream may come ``delay`` later than later ones. Observations go from the state when no request
-    can reach them any more, and requests when all their observations are in; so the state holds about ``delay`` and
-    ``tolerance`` of both streams, whatever the length of the run, and a batch reads no other rows. Streams meet on
-    postcode and a time slot as long as the tolerance (a request asks its own and the one before), so a row is
-    compared with the few rows of its slot. A batch writes its best observation per request; ``best_weather`` takes
-    the best of all batches, which equals ``weather_asof(..., tolerance)``. A request without a fresh observation
-    has its row, with nulls, once the watermark has passed it. ``request_id`` identifies a request.
+    Rows of either stream may come ``delay`` later than later ones. Requests and observations meet by postcode and a
+    time slot as long as the tolerance (a request asks its own and the one before), and a slot goes from the state once
+    the watermark has passed all its requests; so the state holds about ``delay`` and twice ``tolerance`` of both streams,
+    whatever the length of the run. Within a slot both sides are sorted and each request takes the last
+    observation before it: work grows with the rows, not with their pairs. A batch writes the best observation so far of
+    the requests that it concerns; ``best_weather`` takes the best of all batches, which equals ``weather_asof(...,
+    tolerance)``. A request without a fresh observation has its rows, with nulls, once its slots are over.
+    ``request_id`` identifies a request.
     """
     # A slot may not be shorter than the tolerance.
     spark = requests.sparkSession
+    # A keyed store is needed; a running session may still have the default one.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     seconds = spark.range(1).select(F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.lit(EPOCH).cast("timestamp_ntz") + F.expr(f"INTERVAL {tolerance}"))).first()[0]
+    seconds = max(seconds + 1, 1)
+    own = F.floor(F.unix_seconds("_at") / F.lit(seconds))
+    fields = list(requests.schema)
+    weather = [observations.schema[c] for c in OBSERVATION]
 
-    def slot(name: str) -> Column:
-        return F.floor(F.unix_seconds(name) / F.lit(max(seconds + 1, 1)))
-
-    columns = requests.columns
+    # ``tie`` is the earliest time that still counts for a request, and the order of equal times for an observation.
     asked = requests.withColumn("_at", zoned("asked_at")).withWatermark("_at", delay)
-    asked = asked.withColumn("_slot", F.explode(F.array(slot("_at"), slot("_at") - 1)))
-    seen = observations.select(
-        F.col("postcode").alias("_place"), F.struct(*OBSERVATION).alias("_seen"), F.xxhash64(*OBSERVATION).alias("_tie"),
-        zoned("observed_at").alias("_seen_at"),
-    ).withWatermark("_seen_at", delay)
-    seen = seen.withColumn("_seen_slot", slot("_seen_at"))
-    reach = (F.col("_seen_at") <= F.col("_at")) & (F.col("_seen_at") >= F.col("_at") - F.expr(f"INTERVAL {tolerance}"))
-    met = asked.join(seen, (F.col("postcode") == F.col("_place")) & (F.col("_slot") == F.col("_seen_slot")) & reach, "leftOuter")
+    since = F.unix_micros(F.col("_at") - F.expr(f"INTERVAL {tolerance}"))
+    slots = F.explode(F.when(F.col("_at").isNull(), F.array(own)).otherwise(F.array(own, own - 1)))
+    asked = asked.select(
+        "_at", "postcode", slots.alias("slot"), F.lit(True).alias("is_ask"), F.coalesce(F.unix_micros("_at"), F.lit(0)).alias("at"),
+        F.coalesce(since, F.lit(0)).alias("tie"), _text_of(requests, requests.columns).alias("text"),
+    )
+    seen = observations.withColumn("_at", zoned("observed_at")).withWatermark("_at", delay)
+    seen = seen.where(F.col("postcode").isNotNull() & F.col("_at").isNotNull()).select(
+        "_at", "postcode", own.alias("slot"), F.lit(False).alias("is_ask"), F.unix_micros("_at").alias("at"),
+        F.xxhash64(*OBSERVATION).alias("tie"), _text_of(observations, OBSERVATION).alias("text"),
+    )
+    met = asked.unionByName(seen).groupBy("postcode", "slot").transformWithStateInPandas(
+        statefulProcessor=_Slot(seconds), outputStructType="ask string, seen string", outputMode="Append", timeMode="EventTime"
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        best = batch.groupBy(*columns).agg(F.max_by("_seen", F.struct("_seen_at", "_tie")).alias("_last"), F.max(F.struct("_seen_at", "_tie")).alias("_rank"))
-        best.select(*columns, "_last.*", F.col("_rank._tie").alias("_tie")).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
+        read = batch.select(_from_text("ask", fields, "_ask"), _from_text("seen", weather, "_seen"))
+        rank = F.when(F.col("_seen").isNotNull(), F.struct(F.col("_seen.observed_at").alias("observed_at"), F.xxhash64(*[f"_seen.{c}" for c in OBSERVATION]).alias("_tie")))
+        ranked = read.select("_ask.*", "_seen", rank.alias("_rank"))
+        best = ranked.groupBy(*requests.columns).agg(F.max_by("_seen", "_rank").alias("_last"), F.max("_rank").alias("_rank"))
+        best.select(*requests.columns, "_last.*", F.col("_rank._tie").alias("_tie")).write.mode("overwrite").parquet(f"{home}/out/batch_id={batch_id}")
 
     return each_batch(met, write, home)
 

@@ -320,3 +320,25 @@ def test_a_batch_opens_only_the_ids_of_its_buckets(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in text and "bucket" in text.split("PartitionFilters")[1]
     assert sorted(r.chunk_id for r in plan.collect()) == [3, 11, 19]
+
+
+def test_rows_of_a_slot_are_sorted_not_paired():
+    """Forty thousand rows of one slot in two batches: each request takes the last observation before it."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    n, at = 40_000, rng.integers(0, 5_000, 40_000)
+    is_ask = rng.random(n) < 0.5
+    rows = pd.DataFrame({"is_ask": is_ask, "at": at, "tie": np.where(is_ask, at - 3, rng.permutation(n)), "text": [str(i) for i in range(n)]})
+    rows.loc[~is_ask & (at > 1_000) & (at < 1_100), "at"] = 1_000
+    first, second = rows[::2], rows[1::2]
+    given = pd.concat([stateful._last_before([], first, True), stateful._last_before([first], second, True)])
+    none = stateful._last_before([], rows, False)
+    seen = {t: i for t, _, i in sorted(rows.loc[~rows["is_ask"], ["at", "tie", "text"]].itertuples(index=False))}
+    want = {}
+    for ask in rows[rows["is_ask"]].itertuples():
+        near = [t for t in range(ask.at, ask.at - 4, -1) if t in seen]
+        want[ask.text] = seen[near[0]] if near else None
+    got = dict(zip(given["ask"], given["seen"])) | dict.fromkeys(none["ask"])
+    assert got == want and None in want.values()
