@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outage_spark.operators.retrieval import INDEX_BLOCK, ListMap, VectorIndex, _matrix, _vectors, centres_of, place_in_lists
+from outage_spark.operators.retrieval import ListMap, VectorIndex, _matrix, _vectors, centres_of, place_in_lists
 from outage_spark.operators.spread import lookup_join, settle
 
 ROWS = "vec_id bigint, v array<float>, angle double, norm double"
@@ -56,7 +56,7 @@ def apply_changes(home: str, feed: DataFrame, batch_id: int, vec_id: str = "vec_
     placed.unionByName(deleted, allowMissingColumns=True).write.mode("overwrite").parquet(f"{home}/changes/batch_id={batch_id}")
 
 
-def read_index(spark: SparkSession, home: str, block_rows: int = INDEX_BLOCK) -> VectorIndex:
+def read_index(spark: SparkSession, home: str, block_rows: int | None = None) -> VectorIndex:
     """The index with all changes so far."""
     manifest = settle(_manifest(spark, home))
     changed = _pending(spark, home, manifest)

@@ -243,3 +243,16 @@ def test_scores_are_held_by_tiles(monkeypatch):
     few = R._TopK(np.arange(2), vectors[:2], K)
     few.add(ids[:3], vectors[:3])
     assert few.batch().num_rows == 6
+
+
+def test_a_question_meets_a_block_once(data, monkeypatch):
+    """However many lists of a block a question asks, its vector is sent there once, and only its lists are scored."""
+    df, vectors = data
+    index = R.build_index(df, n_lists=12, block_rows=300)
+    blocks, sent = index.lists.count_blocks(), []
+    monkeypatch.setattr(R, "settle", lambda frame: (sent.append(frame) if "block_id" in frame.columns else None, settle(frame))[1])
+    same(rows(R.search_index(index, df, K, 6)), best(vectors, vectors))
+    assert blocks < 6 and len(sent) == 2
+    for probes in sent:
+        assert probes.count() == probes.select("vec_id", "block_id").distinct().count() and "near" in probes.columns
+        assert dict(probes.dtypes)["v"] == "array<float>"
