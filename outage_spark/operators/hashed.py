@@ -2,7 +2,8 @@
 
 A table's bucket is the side of several random planes on which a vector lies. Corpus rows lie in one bucket per
 table; a question looks into its own bucket and into those that differ only at planes close to it: every
-bucket whose crossed planes are together no farther than a limit. Rows and questions are joined by bucket and
+bucket whose crossed planes are together no farther than a limit. Buckets with the same first planes form a block;
+rows and questions are joined by block, a question with the marks of its buckets, and within a block bucket by bucket
 scored exactly, so scores are right and only hits can be missed. The limit is fitted: it is the distance within
 which the share ``target`` of the true hits of ``SAMPLE`` questions is found. The exact way is ``similar``.
 """
@@ -10,21 +11,19 @@ which the share ``target`` of the true hits of ``SAMPLE`` questions is found. Th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outage_spark.operators.retrieval import HITS, _matrix, _ranked, _TopK, _unit, _vectors, similar
-from outage_spark.operators.spread import lookup_join, settle
+from outage_spark.operators.retrieval import BLOCK_BYTES, GRID, HITS, QUESTION_SLICE, _matrix, _ranked, _TopK, _unit, _vectors, similar
+from outage_spark.operators.spread import lookup_join, settle, size_in_blocks
 
 TABLES = 6
 SAMPLE = 256
 ROWS_PER_BUCKET = 1024
-BLOCK = 4096
-PLACED = "vec_id bigint, v array<double>, tbl int, bucket bigint"
 
 
 class PlaneTables:
@@ -73,12 +72,14 @@ def similar_hashed(
     vec: str = "embedding",
     seed: int = 5,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    block_rows: int = BLOCK,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """About the ``k`` most similar corpus vectors per question: (question_id, vec_id, score, rank).
 
-    Buckets are planned for ``rows_per_bucket`` rows, and larger ones are cut into blocks of ``block_rows``
-    rows, as are their questions, so a bucket of copies is many bounded groups and no pair is a row.
+    Buckets are planned for ``rows_per_bucket`` rows. A table has ``GRID`` blocks of buckets, or as many as are needed
+    for ``BLOCK_BYTES`` of rows; larger ones are cut into parts of ``block_rows`` rows (by default of those bytes), as are
+    their questions, so a bucket of copies is many bounded groups, no pair is a row, and a question is sent to a block
+    once, however many of its buckets it asks.
     """
     asked, stored = settle(_vectors(questions, vec_id, vec)), settle(_vectors(corpus, vec_id, vec))
     count, width = stored.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
@@ -88,40 +89,58 @@ def similar_hashed(
     hashes = PlaneTables(width, tables, bits, seed)
     limit = fit_limit(hashes, asked, stored, k, target)
 
+    kinds = [f"vec_id bigint, v {side.schema['v'].dataType.simpleString()}, tbl int, block bigint" for side in (asked, stored)]
+    low = max(bits - math.ceil(math.log2(max(GRID, size_in_blocks(stored, BLOCK_BYTES)))), 0)
+    block_rows = block_rows or max(BLOCK_BYTES // (8 * max(width, 1)), 1)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, unit in enumerate(_unit(_matrix(batch.column(1))) if batch.num_rows else ()):
-                for one, buckets in hashes.near(unit, limit):
-                    own = batch.slice(row, 1).take(pa.array(np.zeros(len(buckets), np.int64)))
-                    yield _placed(own, one, buckets)
+            for at in range(0, batch.num_rows, QUESTION_SLICE):
+                part, found = batch.slice(at, QUESTION_SLICE), []
+                for row, unit in enumerate(_unit(_matrix(part.column(1)))):
+                    for one, buckets in hashes.near(unit, limit):
+                        marks = np.zeros((1 << (bits - low), 1 << low), bool)
+                        marks[buckets >> low, buckets & ((1 << low) - 1)] = True
+                        for block in np.flatnonzero(marks.any(axis=1)):
+                            found.append((row, one, block, np.packbits(marks[block]).tobytes()))
+                rows, tables_of, blocks, marks = zip(*found)
+                yield _placed(part.take(pa.array(rows)), tables_of, blocks, pa.array(marks, pa.binary()), "marks")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 unit = _unit(_matrix(batch.column(1)))
                 for one in range(tables):
-                    yield _placed(batch, one, hashes.buckets(unit, one))
+                    buckets = hashes.buckets(unit, one)
+                    yield _placed(batch, np.full(len(buckets), one), buckets >> low, pa.array(buckets & ((1 << low) - 1)), "bucket")
 
-    probes = settle(asked.mapInArrow(probe, PLACED))
-    rows = stored.mapInArrow(place, PLACED)
-    sizes = probes.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("_asked"))
-    sizes = settle(sizes.join(rows.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("_rows")), ["tbl", "bucket"]))
+    probes = settle(asked.mapInArrow(probe, f"{kinds[0]}, marks binary"))
+    rows = stored.mapInArrow(place, f"{kinds[1]}, bucket bigint")
+    sizes = probes.groupBy("tbl", "block").agg(F.count(F.lit(1)).alias("_asked"))
+    sizes = settle(sizes.join(rows.groupBy("tbl", "block").agg(F.count(F.lit(1)).alias("_rows")), ["tbl", "block"]))
 
-    def cut(side: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        sized = lookup_join(side, sizes, ["tbl", "bucket"], "inner", settled=True)
-        block = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col(n_own) / F.lit(block_rows))).cast("int").alias(own)
+    def cut(side: DataFrame, place: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        sized = lookup_join(side, sizes, ["tbl", "block"], "inner", settled=True)
+        part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col(n_own) / F.lit(block_rows))).cast("int").alias(own)
         others = F.sequence(F.lit(0), F.ceil(F.col(n_other) / F.lit(block_rows)).cast("int") - 1)
-        return sized.select("vec_id", "v", F.col("tbl"), F.col("bucket"), block, F.explode(others).alias(other))
+        return sized.select("vec_id", "v", place, "tbl", "block", part, F.explode(others).alias(other))
 
-    group = ["tbl", "bucket", "ask_block", "row_block"]
-    left = cut(probes, "ask_block", "_asked", "row_block", "_rows").groupBy(*group)
-    right = cut(rows, "row_block", "_rows", "ask_block", "_asked").groupBy(*group)
+    group = ["tbl", "block", "ask_part", "row_part"]
+    left = cut(probes, "marks", "ask_part", "_asked", "row_part", "_rows").groupBy(*group)
+    right = cut(rows, "bucket", "row_part", "_rows", "ask_part", "_asked").groupBy(*group)
 
     def meet(questions: pa.Table, vectors: pa.Table) -> pa.Table:
         ids = questions.column("vec_id").to_numpy().astype(np.int64)
         best = _TopK(ids, _matrix(questions.column("v")) if len(ids) else np.empty((0, 0)), k)
-        if len(ids) and vectors.num_rows:
-            best.add(vectors.column("vec_id").to_numpy().astype(np.int64), _matrix(vectors.column("v")))
+        if not len(ids) or not vectors.num_rows:
+            return best.table()
+        packed = np.frombuffer(b"".join(questions.column("marks").to_pylist()), np.uint8).reshape(len(ids), -1)
+        marks = np.unpackbits(packed, axis=1)
+        row_ids, matrix = vectors.column("vec_id").to_numpy().astype(np.int64), _matrix(vectors.column("v"))
+        buckets, of_row = np.unique(vectors.column("bucket").to_numpy(), return_inverse=True)
+        for place, bucket in enumerate(buckets):
+            own = np.flatnonzero(of_row == place)
+            best.add(row_ids[own], matrix[own], np.flatnonzero(marks[:, bucket]))
         return best.table()
 
     # A row is met in several tables.
@@ -143,7 +162,6 @@ def fit_limit(hashes: PlaneTables, asked: DataFrame, stored: DataFrame, k: int,
     return float(np.quantile(distances, target, method="higher")) + 1e-9
 
 
-def _placed(rows: pa.RecordBatch, one: int, buckets: np.ndarray) -> pa.RecordBatch:
-    vectors = rows.column(1).cast(pa.list_(pa.float64()))
-    table = pa.array(np.full(len(buckets), one, np.int32))
-    return pa.RecordBatch.from_arrays([rows.column(0), vectors, table, pa.array(buckets)], names=["vec_id", "v", "tbl", "bucket"])
+def _placed(rows: pa.RecordBatch, tables: Sequence[int], blocks: Sequence[int], last: pa.Array, name: str) -> pa.RecordBatch:
+    places = pa.array(np.asarray(tables, np.int32)), pa.array(np.asarray(blocks, np.int64))
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *places, last], names=["vec_id", "v", "tbl", "block", name])

@@ -256,3 +256,15 @@ def test_a_question_meets_a_block_once(data, monkeypatch):
     for probes in sent:
         assert probes.count() == probes.select("vec_id", "block_id").distinct().count() and "near" in probes.columns
         assert dict(probes.dtypes)["v"] == "array<float>"
+
+
+def test_hashed_questions_meet_a_block_once(data, monkeypatch):
+    """A question is sent to a block of buckets once, as it was given, with the marks of its buckets."""
+    from outage_spark.operators import hashed
+
+    df, _ = data
+    sent = []
+    monkeypatch.setattr(hashed, "settle", lambda frame: (sent.append(frame) if "marks" in frame.columns else None, settle(frame))[1])
+    hashed.similar_hashed(df, df, K, rows_per_bucket=5)
+    assert len(sent) == 1 and dict(sent[0].dtypes)["v"] == "array<float>"
+    assert sent[0].count() == sent[0].select("vec_id", "tbl", "block").distinct().count() <= 600 * hashed.TABLES * 8
