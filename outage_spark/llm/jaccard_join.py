@@ -13,8 +13,10 @@ decide the order; the result is exact whatever they are.
 Large families of near copies would make nearly every pair a candidate. Therefore classes are formed
 first: documents with the same two least hashes are compared in blocks, by ORDERS hash orders with
 different blocks, with whole sets. From then on only index entries that still hold two classes matter, and only
-pairs across classes are compared. A bound on the overlap (token counts in hash bins) removes pairs that
-only share a passage. Entries of any size are cut into block pairs, so no task holds a whole one.
+pairs across classes are compared. A bound on the overlap (token counts in hash bins, as many as the set
+needs) removes pairs that only share a passage. A pair leaves an entry only if the two sets do not share one
+of the entries just before it too, so a pair is not made once per shared key. Entries of any size are cut into
+block pairs, so no task holds a whole one.
 
 Defined results: empty and null texts have no tokens, size 0, and form a class alone; fewer words than a
 shingle are one token; a null ``doc_id`` takes part and names no class unless it is alone; repeated rows
@@ -23,7 +25,7 @@ are equal sets; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ CELLS = 1 << 20
 FREQUENT = 64
 PAIRS_BELOW = 128
 BINS = 128
+BIN_TOKENS = 12
+BEFORE = 2
 BLOCK = 512
 ORDERS = 2
 NO_ID = -(1 << 63)
@@ -65,9 +69,45 @@ def _least_overlap(n: int, percent: int) -> int:
 
 
 def _bins(tokens: np.ndarray) -> bytes:
-    """Tokens per hash bin; 255 stands for any larger number."""
-    counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Tokens per hash bin modulo 16, two bins a byte; at most BIN_TOKENS tokens per bin on average."""
+    bins = BINS
+    while bins * BIN_TOKENS < len(tokens):
+        bins *= 2
+    counts = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % bins, minlength=bins).astype(np.uint8) & 15
+    return (counts[: bins // 2] | counts[bins // 2 :] << 4).tobytes()
+
+
+class _Bins:
+    """The bins of many sets, and how far two sets differ by them at least."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = np.array([np.frombuffer(p, np.uint8) for p in packed] + [None], object)[:-1]
+        self.width = np.array([2 * len(p) for p in packed])
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where a set's row is, and the rows of all sets of at least ``width`` bins, folded to that many."""
+        if width not in self.folded:
+            place, rows = np.zeros(len(self.width), np.int64), []
+            for own in np.unique(self.width[self.width >= width]).tolist():
+                at = np.flatnonzero(self.width == own)
+                place[at] = sum(map(len, rows)) + np.arange(len(at))
+                packed = np.stack(self.packed[at])
+                row = np.concatenate([packed & 15, packed >> 4], axis=1)
+                rows.append(row.reshape(len(at), -1, width).sum(axis=1, dtype=np.uint8) & 15)
+            self.folded[width] = place, np.concatenate(rows)
+        return self.folded[width]
+
+    def differ(self, i: np.ndarray, j: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+        """At most the number of tokens that only one of two sets has: differences modulo 16, the shorter way round."""
+        least, widths = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(widths).tolist():
+            place, rows = self._at(width)
+            some = np.flatnonzero(widths == width)
+            for at in np.split(some, range(cells // width, len(some), cells // width)):
+                apart = (rows[place[i[at]]] - rows[place[j[at]]]) & 15
+                least[at] = np.minimum(apart, 16 - apart).sum(axis=1, dtype=np.int64)
+        return least
 
 
 def _least(tokens: np.ndarray) -> list[int]:
@@ -81,7 +121,7 @@ def _least(tokens: np.ndarray) -> list[int]:
 
 
 def _index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set; see the module's text."""
+    """Index keys of a set, in one order for all sets: rare tokens, frequent ones, pairs; see the module's text."""
     n = len(tokens)
     prefix = n - _least_overlap(n, percent) + 1
     rank = mix(tokens)
@@ -177,10 +217,10 @@ def _arrow(schema) -> pa.Schema:
 
 
 class _Classes:
-    """Union-find over positions."""
+    """Union-find over names."""
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
+    def __init__(self, names: Iterable[int] = ()):
+        self.parent = {name: name for name in names}
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -199,21 +239,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _enough(n: np.ndarray, m: np.ndarray, bound: np.ndarray, percent: int) -> np.ndarray:
-    return bound * (100 + percent) >= percent * (n + m)
-
-
-def _may_link(columns: dict, bins: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def _may_link(columns: dict, bins: _Bins, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs are of two classes (and two blocks, in a pair of blocks) and can be linked by size and tokens per bin."""
     n, m = columns["n"][i], columns["n"][j]
     good = (columns["class"][i] != columns["class"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     good &= (columns["low"][i] == columns["high"][i]) | (columns["own"][i] != columns["own"][j])
     at = np.flatnonzero(good)
-    mine, theirs = bins[i[at]], bins[j[at]]
-    # A full bin may hold any number, so its sets are compared in any case.
-    unsure = (mine == 255).any(axis=1) | (theirs == 255).any(axis=1)
-    bound = np.minimum(mine, theirs).sum(axis=1, dtype=np.int64)
-    return at[unsure | _enough(n[at], m[at], bound, percent)]
+    both = n[at] + m[at]
+    return at[(both - bins.differ(i[at], j[at])) * (100 + percent) >= 2 * percent * both]
+
+
+def _first_shared(before: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs share none of the keys just before this one. The first key that two sets share is always such a one."""
+    shared = np.zeros(len(i), bool)
+    for mine in before:
+        for theirs in before:
+            shared |= (mine[i] == theirs[j]) & (mine[i] != 0)
+    return np.flatnonzero(~shared)
 
 
 def _pairs_within(cuts: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,9 +278,9 @@ def _pairs_within(cuts: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.nd
 def _link_block(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """(name, name) edges that span the classes within one block."""
     sizes = np.array([len(s) for s in sets])
-    bins = np.stack([np.frombuffer(_bins(s), np.uint8) for s in sets])
+    bins = _Bins([_bins(s) for s in sets])
     columns = {"n": sizes, "class": np.arange(len(sets)), "low": np.zeros(len(sets)), "high": np.zeros(len(sets))}
-    classes, edges = _Classes(len(sets)), []
+    classes, edges = _Classes(range(len(sets))), []
     for i, j in _pairs_within(np.array([0, len(sets)])):
         good = _may_link(columns | {"own": columns["class"]}, bins, i, j, percent)
         for a, b in zip(i[good].tolist(), j[good].tolist()):
@@ -291,7 +333,11 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     # Two sets of sizes too far apart cannot be linked; most entries that two sets share are of this kind.
     apart = (F.col("size") == 2) & (100 * F.col("least").cast("bigint") < percent * F.col("most").cast("bigint"))
     mixed = mixed.where((F.col("low") < F.col("high")) & ~apart).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    held = lookup_join(sets.select(F.explode("keys").alias("key"), "set_key", "n", "class", "bins"), mixed, ["key"], "inner")
+    # Sets have their keys in the same order; 0 stands for none before.
+    none = [F.array(*[F.lit(0).cast("bigint")] * k) for k in range(1, BEFORE + 1)]
+    runs = F.arrays_zip(F.col("keys").alias("key"), *[F.concat(z, "keys").alias(f"before{k}") for k, z in enumerate(none, 1)])
+    placed = sets.select(F.explode(runs).alias("k"), "set_key", "n", "class", "bins").where(F.col("k.key").isNotNull())
+    held = lookup_join(placed.select("k.*", "set_key", "n", "class", "bins"), mixed, ["key"], "inner")
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     held = held.withColumn("own", own).select("*", other.alias("other"))
@@ -302,12 +348,15 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
         seen: set[int] = set()
         for part, cuts in groups(batches, ["key", "low", "high"]):
             columns = {c: part.column(c).to_numpy() for c in ("n", "class", "set_key", "own", "low", "high")}
-            bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            before = [part.column(f"before{k}").to_numpy() for k in range(1, BEFORE + 1)]
+            bins = _Bins(part.column("bins").to_pylist())
             for i, j in _pairs_within(cuts):
+                first = _first_shared(before, i, j)
+                i, j = i[first], j[first]
                 good = _may_link(columns, bins, i, j, percent)
                 a, b = columns["set_key"][i[good]], columns["set_key"][j[good]]
                 a, b = np.minimum(a, b), np.maximum(a, b)
-                # The same pair comes from many keys; most repeats go before the shuffle.
+                # The same pair may still come from several keys; most repeats go before the shuffle.
                 mixed = (mix(a.view(np.uint64)) ^ b.view(np.uint64)).tolist()
                 fresh = [k for k, m in enumerate(mixed) if m not in seen and not seen.add(m)]
                 if len(seen) > 500_000:
@@ -318,10 +367,10 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs whose whole sets are linked.
+    """Of the pairs whose whole sets are linked, enough to span their classes.
 
     Pairs are checked by connected group, or by pairs of blocks of a large one, so a text travels once
-    per group and not once per pair.
+    per group and not once per pair. Links that close a ring within such a spot are left out.
     """
     roots = components(pairs)
     group = F.coalesce("root", "a")
@@ -338,18 +387,20 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int,
     both = both.repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "pair")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, now = {}, None
+        sets, classes, now = {}, _Classes(), None
         for batch in batches:
             spots = zip(*(batch.column(c).to_pylist() for c in ("g", "low", "high")))
             rest = zip(batch.column("pair").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("_text"))
             good = []
             for spot, (is_pair, a, b, body) in zip(spots, rest):
                 if spot != now:
-                    sets, now = {}, spot
+                    sets, classes, now = {}, _Classes(), spot
                 if not is_pair:
                     if a not in sets:
                         sets[a] = tokens_of(body.as_py(), shingle)
-                elif linked(sets[a], sets[b], percent):
+                        classes.parent[a] = a
+                elif classes.find(a) != classes.find(b) and linked(sets[a], sets[b], percent):
+                    classes.join(a, b)
                     good.append((a, b))
             yield _edges(good)
 

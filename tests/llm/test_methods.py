@@ -72,6 +72,51 @@ def test_jaccard_classes_equal_all_pairs(spark, monkeypatch, block, frequent):
     assert got == {i: (len(sets[i]), c) for i, c in _classes(sets, 85).items()}
 
 
+def test_jaccard_bins_never_overstate_a_difference():
+    """Also where numbers of bins differ, and bins hold more than 16 tokens; unrelated large sets are far apart."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 40, 1536, 1537, 3000, 3200, 9000, 14000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [base, base[: max(1, n * 9 // 10)], np.append(base, rng.integers(0, 1 << 63, 1 + n // 20, dtype=np.uint64))]
+        sets.append(np.arange(n, dtype=np.uint64) << np.uint64(27))
+    i, j = np.triu_indices(len(sets), 1)
+    differ = jaccard_join._Bins([jaccard_join._bins(s) for s in sets]).differ(i, j, cells=1 << 14)
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (differ <= real).all() and differ.max() > 0
+    a, b = (rng.integers(0, 1 << 63, 9000, dtype=np.uint64) for _ in range(2))
+    assert jaccard_join._Bins([jaccard_join._bins(a), jaccard_join._bins(b)]).differ(np.array([0]), np.array([1]))[0] > 9000 * 2 / 9
+
+
+def test_jaccard_large_sets_with_one_common_token_are_no_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(4):
+        tokens = rng.integers(0, 1 << 63, 8000, dtype=np.uint64)
+        if k == 3:
+            tokens = np.append(first[:7900], tokens[:100])
+        first = tokens if not k else first
+        rows.append((k + 1, len(tokens), k + 1, jaccard_join._bins(tokens), [77]))
+    sets = spark.createDataFrame(rows, "set_key bigint, n bigint, class bigint, bins binary, keys array<bigint>")
+    assert [tuple(r) for r in jaccard_join._candidates(sets, 80).collect()] == [(1, 4)]
+
+
+def test_jaccard_pairs_leave_few_of_their_entries():
+    """The first key that two sets share is among those, and most of a long shared run is not."""
+    rng = random.Random(6)
+    for share in (0.2, 0.9):
+        lists = [[k for k in range(1, 200) if rng.random() < share] for _ in range(12)]
+        for a, b in itertools.combinations(lists, 2):
+            at = [(a.index(k), b.index(k)) for k in sorted(set(a) & set(b))]
+            if at:
+                before = [
+                    np.array([x[i - d] if i >= d else 0 for x, i in [(a, i) for i, _ in at] + [(b, j) for _, j in at]])
+                    for d in range(1, jaccard_join.BEFORE + 1)
+                ]
+                left = jaccard_join._first_shared(before, np.arange(len(at)), np.arange(len(at)) + len(at)).tolist()
+                assert left[0] == 0 and (share < 0.9 or len(left) < len(at) / 4)
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (101, 100), (7, 7)]
     got = dict(components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
