@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outage_spark.llm.text import nullable, store, table
+from outage_spark.llm.text import bound_batches, nullable, store, table
 from outage_spark.operators.spread import lookup_join
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "I", "H", "T", "N", "R", "O"
@@ -150,6 +150,7 @@ def _strongest(sets: DataFrame, lexicon: Lexicon) -> DataFrame:
             entries = pa.array([[e for _, e in es] for es in held], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, best, entries], ["y", "words", "entry", "entries"])
 
+    bound_batches(sets.sparkSession)
     return sets.select("y", "words").mapInArrow(read, nullable(schema))
 
 
@@ -266,18 +267,20 @@ class Matcher:
 
 
 def with_evidence(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "evidence") -> DataFrame:
-    """``docs`` without its text column, with the log-scaled clause counts in the order of KINDS."""
-    rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest, F.array().cast("array<double>").alias(name)).schema
+    """``docs`` without its text column, with the log-scaled clause counts in the order of KINDS.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the text goes to Python and only the counts come back; other columns, long ones too, stay with Spark.
+    """
+
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            found = [matcher.evidence(t.as_py()) for t in batch.column(0)]
-            columns = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.float64()))], [*rest, name])
+            yield pa.array([matcher.evidence(t.as_py()) for t in batch], pa.list_(pa.float64()))
 
-    return docs.select(text, *rest).mapInArrow(read, nullable(schema))
+    bound_batches(docs.sparkSession)
+    # As if it were random: a filter on the score would otherwise be moved below and have texts read twice.
+    counts = F.arrow_udf(read, "array<double>").asNondeterministic()
+    return docs.select(*[c for c in docs.columns if c != text], counts(text).alias(name))
 
 
 @dataclass(frozen=True)

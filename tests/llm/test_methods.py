@@ -417,6 +417,42 @@ def test_groups_of_a_sorted_stream():
     assert list(text.groups(iter([]), ["k"])) == []
 
 
+def _exchanged_with_python(df):
+    """Rows of ``df`` and the bytes that its plan's operators sent to Python and got back."""
+    rows, todo, total = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        for name in ("pythonDataSent", "pythonDataReceived"):
+            total += node.metrics().apply(name).value() if node.metrics().contains(name) else 0
+    return rows, total
+
+
+def test_toxicity_stage_sends_a_text_to_python_once(spark, monkeypatch):
+    model = toxicity.Model(toxicity.Lexicon({"grobian": 9.0}), tuple(toxicity.PRIOR.values()), toxicity.PRIOR_INTERCEPT)
+    monkeypatch.setattr(toxicity, "fit", lambda *_: model)
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 4000) + (" you grobian." if i % 4 == 0 else ""), "s") for i in range(40)] + [(50, None, "s"), (51, "", None)]
+    docs = text.store(table(spark, rows))
+    kept, moved = _exchanged_with_python(corpus_pipeline.drop_toxic(spark, docs, SMALL))
+    assert Counter(r[:2] for r in kept) == Counter(r[:2] for r in rows if r[0] % 4 or r[0] > 40)
+    assert moved < 1.5 * sum(len(r[1] or "") for r in rows)
+
+
+@pytest.mark.parametrize("own", [None, "1000000"])
+def test_toxicity_bounds_the_bytes_of_a_batch(spark, own):
+    docs = table(spark, [(1, "one", "s")])
+    before = spark.conf.getAll.get(text.BATCH_BYTES)
+    spark.conf.unset(text.BATCH_BYTES)
+    try:
+        if own:
+            spark.conf.set(text.BATCH_BYTES, own)
+        assert toxicity.with_evidence(docs, toxicity.Lexicon()).count() == 1
+        assert spark.conf.get(text.BATCH_BYTES) == (own or str(text.MAX_BATCH))
+    finally:
+        spark.conf.set(text.BATCH_BYTES, before) if before else spark.conf.unset(text.BATCH_BYTES)
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     rng = random.Random(10)
     item, insult = prose(rng, 20), "grobian"
