@@ -25,9 +25,12 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from math import log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -54,6 +57,8 @@ NEGATION_REACH = 3
 PRODUCTIVE = 5
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
+# Everything in ASCII but letters becomes a blank: runs of what is left hold whole words of WORD, mostly one each.
+_RUNS = bytes(c if c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 @dataclass(frozen=True)
@@ -120,10 +125,14 @@ class Lexicon:
     words: dict = field(default_factory=dict)
     beginnings: dict = field(default_factory=dict)
 
+    @cached_property
+    def lengths(self) -> tuple[int, ...]:
+        return tuple({len(b) for b in self.beginnings})
+
     def entries(self, word: str) -> Iterator[tuple[float, str]]:
         if word in self.words:
             yield self.words[word], word
-        for n in {len(b) for b in self.beginnings} if self.beginnings else ():
+        for n in self.lengths:
             if len(word) >= n and word[:n] in self.beginnings:
                 yield self.beginnings[word[:n]], f"{word[:n]}*"
 
@@ -139,13 +148,30 @@ def _significant(toxic: Column, clean: Column, rate: float) -> Column:
     return F.when(share > rate, gain).otherwise(0.0)
 
 
+def _rows_of(lists: pa.Array, at: np.ndarray) -> np.ndarray:
+    """The rows of a list column to which its flat places ``at`` belong."""
+    return np.searchsorted(np.cumsum(lists.value_lengths().fill_null(0).to_numpy()), at, "right")
+
+
+def _held(words: pa.Array, lexicon: Lexicon) -> list[set[tuple[float, str]]]:
+    """Entries of each row of a list column; the lexicon is asked once per different word."""
+    coded = words.flatten().dictionary_encode()
+    entries = [tuple(lexicon.entries(w)) for w in coded.dictionary.to_pylist()]
+    codes = coded.indices.to_numpy()
+    at = np.flatnonzero(np.array([bool(e) for e in entries], bool)[codes])
+    held: list[set] = [set() for _ in range(len(words))]
+    for row, code in zip(_rows_of(words, at).tolist(), codes[at].tolist(), strict=True):
+        held[row].update(entries[code])
+    return held
+
+
 def _strongest(sets: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``sets`` (y, words) with ``entry``, the lexicon entry of highest gain in the row, or null, and all ``entries``."""
     schema = sets.select("y", "words", F.lit("").alias("entry"), F.array(F.lit("")).alias("entries")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [{e for w in row.as_py() for e in lexicon.entries(w)} for row in batch.column(1)]
+            held = _held(batch.column(1), lexicon)
             best = pa.array([max(es, default=(0, None))[1] for es in held], pa.string())
             entries = pa.array([[e for _, e in es] for es in held], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, best, entries], ["y", "words", "entry", "entries"])
@@ -241,19 +267,44 @@ class Matcher:
         self.machine = grammar().step
         self.classes = {w: symbol for symbol, words in CLASSES.items() for w in words}
         self.threats = frozenset(CLASSES[THREAT])
-
-    def clauses(self, text: str | None) -> list[tuple[str, set[str]]]:
-        """(clause, kinds of match in it) for the clauses with a match."""
+        self.whole = pa.array(sorted(self.threats | set(lexicon.words)), pa.string())
+        self.starts = [(n, pa.array([b for b in lexicon.beginnings if len(b) == n], pa.string())) for n in lexicon.lengths]
+
+    def matters(self, word: str) -> bool:
+        return word in self.threats or self.lexicon.holds(word)
+
+    def marked(self, lowers: list[str]) -> tuple[np.ndarray, set[str]]:
+        """(places of the texts with a word that matters, those words); a different word is judged once for all texts."""
+        clean = pa.array([t.encode().translate(_RUNS) for t in lowers], pa.binary())
+        runs = pc.ascii_split_whitespace(clean.cast(pa.string()))
+        coded = runs.flatten().dictionary_encode()
+        hot = pc.is_in(coded.dictionary, value_set=self.whole)
+        for n, starts in self.starts:
+            hot = pc.or_(hot, pc.is_in(pc.utf8_slice_codeunits(coded.dictionary, 0, n), value_set=starts))
+        words, hot = set(coded.dictionary.filter(hot).to_pylist()), hot.to_numpy(zero_copy_only=False).copy()
+        # A run beyond ASCII may hold several words, or signs and digits that part them.
+        odd = np.flatnonzero(~pc.string_is_ascii(coded.dictionary).to_numpy(zero_copy_only=False))
+        for place, run in zip(odd.tolist(), coded.dictionary.take(pa.array(odd)).to_pylist(), strict=True):
+            if not run.isalpha():
+                found = [w for w in WORD.findall(run) if self.matters(w)]
+                hot[place] = bool(found)
+                words.update(found)
+        return np.unique(_rows_of(runs, np.flatnonzero(hot[coded.indices.to_numpy()]))), words
+
+    def clauses(self, text: str | None, marked: set[str] | None = None) -> list[tuple[str, set[str]]]:
+        """(clause, kinds of match in it) for the clauses with a match; ``marked`` holds the words that matter, if known."""
         lower = (text or "").lower()
-        there = set(WORD.findall(lower))
-        insults = {w for w in there if self.lexicon.holds(w)}
-        if not insults and not there & self.threats:
-            return []
+        if marked is None:
+            marked = {w for w in set(WORD.findall(lower)) if self.matters(w)}
         found = []
-        for clause in CLAUSE.split(lower):
+        for clause in CLAUSE.split(lower) if marked else ():
+            words = WORD.findall(clause)
+            # Only insults and threats are emitted, and every clause starts anew.
+            if marked.isdisjoint(words):
+                continue
             state, kinds = 0, set()
-            for word in WORD.findall(clause):
-                symbol = INSULT if word in insults else self.classes.get(word, OTHER)
+            for word in words:
+                symbol = INSULT if word in marked and self.lexicon.holds(word) else self.classes.get(word, OTHER)
                 state, out = self.machine[state][symbol]
                 if out in EMITS:
                     kinds |= EMITS[out]
@@ -261,10 +312,18 @@ class Matcher:
                 found.append((clause, kinds))
         return found
 
-    def evidence(self, text: str | None) -> list[float]:
-        counts = Counter(kind for _, kinds in self.clauses(text) for kind in kinds)
+    def evidence(self, text: str | None, marked: set[str] | None = None) -> list[float]:
+        counts = Counter(kind for _, kinds in self.clauses(text, marked) for kind in kinds)
         return [float(log(1 + counts[kind])) for kind in KINDS]
 
+    def evidences(self, texts: list[str | None]) -> list[list[float]]:
+        """Evidence of every text; only texts with a word that matters are read clause by clause."""
+        out = [[0.0] * len(KINDS)] * len(texts)
+        places, marked = self.marked([(t or "").lower() for t in texts])
+        for place in places.tolist():
+            out[place] = self.evidence(texts[place], marked)
+        return out
+
 
 def with_evidence(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "evidence") -> DataFrame:
     """``docs`` without its text column, with the log-scaled clause counts in the order of KINDS.
@@ -275,7 +334,7 @@ def with_evidence(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: s
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            yield pa.array([matcher.evidence(t.as_py()) for t in batch], pa.list_(pa.float64()))
+            yield pa.array(matcher.evidences(batch.to_pylist()), pa.list_(pa.float64()))
 
     bound_batches(docs.sparkSession)
     # As if it were random: a filter on the score would otherwise be moved below and have texts read twice.

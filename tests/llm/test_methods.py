@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,3 +490,31 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     taken = sum(sizes[i] * n for i, n in kept["mixture"].items())
     assert abs(taken - 1.5 * sum(sizes.values())) < 3 * max(sizes.values()) and max(kept["mixture"].values()) <= 2
     assert np.isfinite(taken)
+
+
+class _AskedLexicon(toxicity.Lexicon):
+    def entries(self, word):
+        ASKED[word] += 1
+        return super().entries(word)
+
+
+ASKED = Counter()
+
+
+def test_toxicity_judges_a_word_once_per_batch():
+    lexicon = _AskedLexicon({"idiot": 2.0, "größe": 1.0}, {"lowei": 1.5, "naï": 1.0, "lo": 0.5})
+    rows = [["idiot", "plain", "loweixy"], [], ["plain", "größe"], ["x", "plain"]] * 50
+    ASKED.clear()
+    held = toxicity._held(pa.array(rows, pa.list_(pa.string())), lexicon)
+    assert held == [{e for w in row for e in toxicity.Lexicon.entries(lexicon, w)} for row in rows]
+    assert set(ASKED) == {w for row in rows for w in row} and max(ASKED.values()) == 1
+    texts = [None, "", "Nothing here", "You IDIOT! fine", "so “naïf”lowei²x 7idiot_", "lOWEI5naï", "x½größe. not größe", "İdiot\nkill", "lo"]
+    texts += [" ".join(f"w{i % 7}é q\x85z" for i in range(30))] * 40
+    matcher = toxicity.Matcher(lexicon)
+    ASKED.clear()
+    found = matcher.evidences(texts)
+    assert max(ASKED.values()) <= 4 and sum(map(any, found)) == 6
+    assert found == [matcher.evidence(t) for t in texts]
+    assert matcher.evidences([]) == [] and matcher.evidences([None, ""]) == [[0.0] * len(toxicity.KINDS)] * 2
+    # A slice of a column, as batches may be, counts from its own begin.
+    assert toxicity._held(pa.array(rows, pa.list_(pa.string())).slice(2, 3), lexicon) == held[2:5]
