@@ -2,11 +2,12 @@
 
 Every vector is kept as integers ``floor(256 * x)`` and, besides, as rotated one-bit codes: the signs of the
 rotated vector, the alignment of the vector with its code vector, and the length of what the code leaves
-over; the rest is coded again, ``LEVELS`` times. An anchor is compared with codes first: popcounts over its
-8-bit planes give an estimate, and by Cauchy-Schwarz the part left over by the codes is at most the product
-of the lengths at right angles to the code vector. So every score lies in a known interval, without any
-probability. A pair is dropped only where its interval cannot reach the ranks asked for; the scores of all
-others are computed in integers, so results are exact.
+over; the rest is coded again, ``LEVELS`` times. Anchors are compared with codes first: products of matrices of a
+block of anchors with the vectors that the codes stand for give estimates, and by Cauchy-Schwarz the part left over by
+the codes is at most the product of the lengths at right angles to the code vector. So every score lies in a known
+interval, without any probability. A pair is dropped only where its interval cannot reach the ranks asked for; the
+scores of all others are computed in integers, so results are exact. Every anchor meets every row once, so the number of
+pairs grows with the square of the rows; what is held at once does not.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from outage_spark.operators.spread import first_per_key, top_per_key
 
 SCALE = 256.0
 LEVELS = 6
-PLANES = 8
 POSITIVES = 5
 NEGATIVES = 3
+# Pairs of an anchor and a row whose estimates are held at once.
+PAIRS = 1 << 18
 FOUND = "anchor_id bigint, slot int, other_id bigint, score bigint"
 CODED = (
     "vec_id bigint, label bigint, ints array<bigint>, codes array<bigint>, aligned array<double>, rest array<double>"
@@ -60,16 +62,11 @@ class OneBitCodes:
 
 
 class _Query:
-    """A rotated anchor in bit planes."""
+    """A rotated anchor, or several as rows of a matrix."""
 
     def __init__(self, codes: OneBitCodes, rotated: np.ndarray):
-        low = rotated.min()
-        self.step = max((rotated.max() - low) / ((1 << PLANES) - 1), 1e-300)
-        units = np.rint((rotated - low) / self.step).astype(np.uint8)
-        self.low, self.total = low, int(units.astype(np.int64).sum())
-        self.planes = np.stack([codes._pack(((units >> p) & 1)[None, :].astype(bool))[0] for p in range(PLANES)])
-        miss = rotated - (low + self.step * units)
-        self.miss, self.length = float(np.sqrt((miss * miss).sum())), float(np.sqrt((rotated * rotated).sum()))
+        self.rotated = rotated
+        self.length = np.sqrt((rotated * rotated).sum(axis=-1, keepdims=True))
 
 
 class _Rows:
@@ -82,28 +79,30 @@ class _Rows:
         self.ints = matrix(block.column("ints"), width, np.int64)
         packed = matrix(block.column("codes"), codes.levels * codes.words, np.int64).view(np.uint64)
         self.bits = packed.reshape(len(self.ids), codes.levels, codes.words)
-        self.ones = np.bitwise_count(self.bits).sum(axis=2, dtype=np.int64)
         self.aligned = matrix(block.column("aligned"), codes.levels)
         self.rest = matrix(block.column("rest"), codes.levels)
         self.floats = self.ints.astype(np.float64)
         self.lengths = np.sqrt((self.floats * self.floats).sum(axis=1))
 
-    def along(self, query: _Query, level: int, at: np.ndarray) -> np.ndarray:
-        """Inner product of the anchor's planes with the code vectors of a level, by popcount."""
-        bits, sums = self.bits[at, level], np.zeros(len(at))
-        for p, plane in enumerate(query.planes):
-            sums += np.bitwise_count(bits & plane).sum(axis=1, dtype=np.int64) * float(1 << p)
-        ones = self.ones[at, level]
-        signed = query.low * (2 * ones - self.codes.bits) + query.step * (2 * sums - query.total)
-        return signed / np.sqrt(self.codes.bits)
-
-    def interval(self, query: _Query, level: int, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def signs(self, level: int, at: np.ndarray | slice) -> np.ndarray:
+        """The code vectors of a level."""
+        marks = np.unpackbits(np.ascontiguousarray(self.bits[at, level]).view(np.uint8), axis=1, bitorder="little")
+        return (2.0 * marks - 1.0) / np.sqrt(self.codes.bits)
+
+    def decoded(self, levels: int) -> np.ndarray:
+        """The vectors that the first levels stand for."""
+        out = np.zeros((len(self.ids), self.codes.bits))
+        for level in range(levels):
+            out += self.aligned[:, level, None] * self.signs(level, slice(None))
+        return out
+
+    def interval(
+        self, query: _Query, level: int, at: np.ndarray | slice, before: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(estimate, least, most) of the scores of rows ``at``; ``before`` is the estimate of the levels before."""
-        along = self.along(query, level, at)
+        along = query.rotated @ self.signs(level, at).T
         estimate = before + self.aligned[at, level] * along
-        rest, sure = self.rest[at, level], np.maximum(np.abs(along) - query.miss, 0.0)
-        across = np.sqrt(np.maximum(query.length**2 - sure**2, 0.0))
-        half = rest * across + (self.lengths[at] + rest) * query.miss
+        half = self.rest[at, level] * np.sqrt(np.maximum(query.length**2 - along**2, 0.0))
         half += 1e-9 * (1.0 + self.lengths[at] * query.length)
         return estimate, estimate - half, estimate + half
 
@@ -116,10 +115,6 @@ class _Rows:
         return (self.ints[at] * anchor).sum(axis=1)
 
 
-def _kth(values: np.ndarray, k: int) -> float:
-    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
-
-
 def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(scores) > 4 * k:
         near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
@@ -127,38 +122,66 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def best(rows: _Rows, query: _Query, anchor: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _lengths(vectors: np.ndarray) -> list[float]:
+    floats = vectors.astype(np.float64)
+    return np.sqrt((floats * floats).sum(axis=1)).tolist()
+
+
+def _reached(values: np.ndarray, k: int, groups: int = 64) -> np.ndarray:
+    """A value that at least k of each row's reach, near the k-th largest: the k-th of the largest of groups."""
+    if values.shape[1] > 4 * max(groups, k):
+        groups = max(groups, k)
+        part = values.shape[1] // groups
+        values = values[:, : part * groups].reshape(len(values), part, groups).max(axis=1)
+    n = values.shape[1]
+    return np.partition(values, n - k, axis=1)[:, n - k] if n >= k else np.full(len(values), -np.inf)
+
+
+def may_rank(
+    rows: _Rows,
+    decoded: np.ndarray,
+    rotated: np.ndarray,
+    out: np.ndarray,
+    low: np.ndarray,
+    least_high: np.ndarray,
+    high: np.ndarray,
+    k: int,
+) -> Iterator[np.ndarray]:
+    """For each anchor the places of the rows that may be among the k best of a band, by their codes.
+
+    ``decoded`` holds what all levels of the rows but the last stand for. ``out`` marks pairs that take no part. The bands of an anchor begin at ``low`` or above and end between
+    ``least_high`` and ``high``. k rows at most ``least_high`` lie in each band that begins under them, so no row
+    under all of them can be among the k best of any band.
+    """
+    last = rows.codes.levels - 1
+    _, least, most = rows.interval(_Query(rows.codes, rotated), last, slice(None), rotated @ decoded.T)
+    np.copyto(most, -np.inf, where=out)
+    np.copyto(least, -np.inf, where=out)
+    floor = np.maximum(low, _reached(np.where(most <= least_high[:, None], least, -np.inf), k))
+    keep = (most >= floor[:, None]) & (least <= high[:, None])
+    for row in keep:
+        yield np.flatnonzero(row)
+
+
+def best(rows: _Rows, anchor: np.ndarray, length: float, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row places, scores) of the k best of rows ``at``, exactly."""
-    floor, estimate = -np.inf, np.zeros(len(at))
-    for level in range(rows.codes.levels):
-        estimate, least, most = rows.interval(query, level, at, estimate)
-        floor = max(floor, _kth(least, k))
-        keep = most >= floor
-        at, estimate = at[keep], estimate[keep]
-    scores = rows.scores(anchor, query.length, at)
+    scores = rows.scores(anchor, length, at)
     order = _first(scores, rows.ids[at], k)
     return at[order], scores[order]
 
 
 def best_in_bands(
-    rows: _Rows, query: _Query, anchor: np.ndarray, at: np.ndarray, bands: list[tuple[int, int]], k: int
+    rows: _Rows, anchor: np.ndarray, length: float, at: np.ndarray, bands: list[tuple[int, int]], k: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(band, row places, scores) of the k best of rows ``at`` with scores in each band (low, high), exactly."""
-    estimate, floors = np.zeros(len(at)), [float(low) for low, _ in bands]
-    for level in range(rows.codes.levels):
-        estimate, least, most = rows.interval(query, level, at, estimate)
-        keep = np.zeros(len(at), bool)
-        for band, (low, high) in enumerate(bands):
-            inside = least[(least >= low) & (most <= high)]
-            floors[band] = max(floors[band], _kth(inside, k))
-            keep |= (most >= floors[band]) & (least <= high)
-        at, estimate = at[keep], estimate[keep]
-    scores = rows.scores(anchor, query.length, at)
+    scores = rows.scores(anchor, length, at)
+    order = np.lexsort((rows.ids[at], -scores))
+    at, scores = at[order], scores[order]
     for band, (low, high) in enumerate(bands):
-        here = np.flatnonzero((scores >= low) & (scores <= high))
-        order = here[_first(scores[here], rows.ids[at[here]], k)]
-        if len(order):
-            yield band, at[order], scores[order]
+        begin, end = np.searchsorted(-scores, [-high, -low + 1]).tolist()
+        end = min(end, begin + k)
+        if begin < end:
+            yield band, at[begin:end], scores[begin:end]
 
 
 def band_under(score: int) -> tuple[int, int]:
@@ -221,20 +244,27 @@ def mine(coded: DataFrame, width: int, anchors: DataFrame, seed: int = 11, ask_b
     anchors = first_per_key(anchors, ["vec_id"], ["label", "ints", "_at"]).select("vec_id", "label", "ints", "_at")
     anchors = store(anchors)
 
-    def each(asked: pa.Table) -> Iterator[tuple[int, int, np.ndarray, _Query]]:
-        ints = matrix(asked.column("ints"), width, np.int64)
-        for row, rotated in enumerate(codes.rotate(ints.astype(np.float64))):
-            yield row, asked.column("vec_id")[row].as_py(), ints[row], _Query(codes, rotated)
+    def pieces(asked: pa.Table, rows: _Rows) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, vectors, rotated vectors, which rows are their own) of some anchors at a time."""
+        ids, ints = asked.column("vec_id").to_numpy(), matrix(asked.column("ints"), width, np.int64)
+        step = max(1, PAIRS // max(1, len(rows.ids)))
+        for start in range(0, len(ids), step):
+            some = slice(start, start + step)
+            yield some, ints[some], codes.rotate(ints[some].astype(np.float64)), ids[some, None] == rows.ids
 
     def positives_of(asked: pa.Table, block: pa.Table) -> pa.Table | None:
         rows = _Rows(codes, block, width)
-        owners, ids, scores = [], [], []
-        for _, anchor_id, ints, query in each(asked):
-            at, score = best(rows, query, ints, np.flatnonzero(rows.ids != anchor_id), POSITIVES)
-            owners.append(anchor_id)
-            ids.append(rows.ids[at])
-            scores.append(score)
-        return _found(owners, [0] * len(owners), ids, scores)
+        decoded, ids = rows.decoded(codes.levels - 1), asked.column("vec_id").to_numpy()
+        owners, found_ids, scores = [], [], []
+        for some, ints, rotated, own in pieces(asked, rows):
+            ends = np.full(len(ints), np.inf)
+            there = may_rank(rows, decoded, rotated, own, np.full(len(ints), np.finfo(np.float64).min), ends, ends, POSITIVES)
+            for owner, anchor, length, at in zip(ids[some].tolist(), ints, _lengths(ints), there, strict=True):
+                at, score = best(rows, anchor, length, at, POSITIVES)
+                owners.append(owner)
+                found_ids.append(rows.ids[at])
+                scores.append(score)
+        return _found(owners, [0] * len(owners), found_ids, scores)
 
     near = meet(anchors, coded, ["label"], positives_of, FOUND, ask_block, row_block)
     near = top_per_key(near.drop("slot"), ["anchor_id"], [F.desc("score"), F.asc("other_id")], POSITIVES, "slot")
@@ -245,16 +275,22 @@ def mine(coded: DataFrame, width: int, anchors: DataFrame, seed: int = 11, ask_b
 
     def negatives_of(asked: pa.Table, block: pa.Table) -> pa.Table | None:
         rows = _Rows(codes, block, width)
-        owners, slots, ids, scores = [], [], [], []
-        labels, positives = asked.column("label").to_numpy(), asked.column("positives").to_pylist()
-        for row, anchor_id, ints, query in each(asked):
-            at = np.flatnonzero((rows.labels != labels[row]) & (rows.ids != anchor_id))
-            for band, places, score in best_in_bands(rows, query, ints, at, [band_under(p) for p in positives[row]], NEGATIVES):
-                owners.append(anchor_id)
-                slots.append(band + 1)
-                ids.append(rows.ids[places])
-                scores.append(score)
-        return _found(owners, slots, ids, scores)
+        decoded, ids, labels = rows.decoded(codes.levels - 1), asked.column("vec_id").to_numpy(), asked.column("label").to_numpy()
+        bands = [[band_under(p) for p in positives] for positives in asked.column("positives").to_pylist()]
+        # Bands without any score do not count; an anchor that has no other band asks for nothing.
+        ends = [[b for b in own if b[0] <= b[1]] or [(np.inf, -np.inf)] for own in bands]
+        low, least_high, high = (np.array([f(b[i] for b in own) for own in ends], np.float64) for f, i in ((min, 0), (min, 1), (max, 1)))
+        owners, slots, found_ids, scores = [], [], [], []
+        for some, ints, rotated, own in pieces(asked, rows):
+            out = own | (labels[some, None] == rows.labels)
+            there = may_rank(rows, decoded, rotated, out, low[some], least_high[some], high[some], NEGATIVES)
+            for owner, anchor, length, asks, at in zip(ids[some].tolist(), ints, _lengths(ints), bands[some], there, strict=True):
+                for band, places, score in best_in_bands(rows, anchor, length, at, asks, NEGATIVES):
+                    owners.append(owner)
+                    slots.append(band + 1)
+                    found_ids.append(rows.ids[places])
+                    scores.append(score)
+        return _found(owners, slots, found_ids, scores)
 
     one = F.lit(0).alias("_all")
     far = meet(asked.select("*", one), coded.select("*", one), ["_all"], negatives_of, FOUND, ask_block, row_block)

@@ -101,6 +101,38 @@ def test_intervals_hold_every_score():
             assert widths[-1] < widths[0] or anchor == 7
 
 
+@pytest.mark.parametrize("width, scale", [(5, 10), (64, 300), (64, 1e8)])
+def test_codes_of_many_anchors_are_compared_at_once(monkeypatch, width, scale):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    whole = np.floor(rng.normal(size=(900, width)) * scale)
+    whole[7], whole[8], whole[20:40] = 0, whole[9], whole[50]
+    labels, codes = rng.integers(3, size=900), hard_negatives.OneBitCodes(width)
+    packed, aligned, rest = codes.encode(whole)
+    block = pa.table({
+        "vec_id": np.arange(900) // 2 * 2, "label": labels, "ints": lists(whole.astype(np.int64)),
+        "codes": lists(packed.view(np.int64)), "aligned": lists(aligned), "rest": lists(rest),
+    })
+    rows, truth = hard_negatives._Rows(codes, block, width), whole.astype(np.int64) @ whole[:90].astype(np.int64).T
+    calls, interval = [], hard_negatives._Rows.interval
+    monkeypatch.setattr(hard_negatives._Rows, "interval", lambda *a: calls.append(1) or interval(*a))
+    out = np.arange(90)[:, None] // 2 == np.arange(900) // 2
+    bands = [[hard_negatives.band_under(int(s)) for s in sorted(truth[:, a])[-6:-1]] for a in range(90)]
+    low, least_high, high = (np.array([f(b[i] for b in own) for own in bands], float) for f, i in ((min, 0), (min, 1), (max, 1)))
+    there = hard_negatives.may_rank(rows, rows.decoded(codes.levels - 1), codes.rotate(whole[:90]), out, low, least_high, high, 3)
+    left = 0
+    for a, at in enumerate(there):
+        left += len(at)
+        length = float(np.sqrt((whole[a] ** 2).sum()))
+        got = [(b, list(zip(rows.ids[p].tolist(), x.tolist()))) for b, p, x in hard_negatives.best_in_bands(rows, whole[a].astype(np.int64), length, at, bands[a], 3)]
+        inside = [[(int(truth[j, a]), int(rows.ids[j])) for j in range(900) if not out[a, j] and lo <= truth[j, a] <= hi] for lo, hi in bands[a]]
+        want = [(b, [(i, x) for x, i in sorted(found, key=lambda f: (-f[0], f[1]))[:3]]) for b, found in enumerate(inside) if found]
+        assert got == want
+    # One comparison for all anchors, and most pairs are never scored in integers.
+    assert len(calls) == 1 and left < 0.5 * 90 * 900
+
+
 def near_by_hand(rows, k):
     rows = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows if takes_part(i, v) and any(v)}
     width = max(len(v) for v in rows.values())
