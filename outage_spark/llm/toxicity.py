@@ -57,6 +57,8 @@ NEGATION_REACH = 3
 PRODUCTIVE = 5
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
+# Rows of a batch whose words are held at once.
+PIECE = 256
 # Everything in ASCII but letters becomes a blank: runs of what is left hold whole words of WORD, mostly one each.
 _RUNS = bytes(c if c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -171,7 +173,7 @@ def _strongest(sets: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = _held(batch.column(1), lexicon)
+            held = [row for k in range(0, batch.num_rows, PIECE) for row in _held(batch.column(1).slice(k, PIECE), lexicon)]
             best = pa.array([max(es, default=(0, None))[1] for es in held], pa.string())
             entries = pa.array([[e for _, e in es] for es in held], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, best, entries], ["y", "words", "entry", "entries"])
@@ -319,9 +321,10 @@ class Matcher:
     def evidences(self, texts: list[str | None]) -> list[list[float]]:
         """Evidence of every text; only texts with a word that matters are read clause by clause."""
         out = [[0.0] * len(KINDS)] * len(texts)
-        places, marked = self.marked([(t or "").lower() for t in texts])
-        for place in places.tolist():
-            out[place] = self.evidence(texts[place], marked)
+        for start in range(0, len(texts), PIECE):
+            places, marked = self.marked([(t or "").lower() for t in texts[start : start + PIECE]])
+            for place in (start + places).tolist():
+                out[place] = self.evidence(texts[place], marked)
         return out
 
 

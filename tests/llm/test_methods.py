@@ -515,6 +515,7 @@ def test_toxicity_judges_a_word_once_per_batch():
     found = matcher.evidences(texts)
     assert max(ASKED.values()) <= 4 and sum(map(any, found)) == 6
     assert found == [matcher.evidence(t) for t in texts]
+    assert matcher.evidences(texts * 11) == found * 11 and len(texts) * 11 > 2 * toxicity.PIECE
     assert matcher.evidences([]) == [] and matcher.evidences([None, ""]) == [[0.0] * len(toxicity.KINDS)] * 2
     # A slice of a column, as batches may be, counts from its own begin.
     assert toxicity._held(pa.array(rows, pa.list_(pa.string())).slice(2, 3), lexicon) == held[2:5]
